@@ -122,3 +122,177 @@ def q_rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 25-26 + 19 for every group (unfiltered)."""
     df = outliers.scored_groups(ad.trades_by_supplier_nation(spark, sf_dir))
     return _round(df, "mean", "std_dev", "z")
+
+
+# ---------------------------------------------------------------------------
+# Ingest: text round trip, keys, lookups, eligibility (ops 1-4, 11-17, 22, 23, 24i)
+# ---------------------------------------------------------------------------
+
+from flockwatch.operators import enrich  # noqa: E402
+from flockwatch.session import scratch_path  # noqa: E402
+from flockwatch.sources import delimited, sinks  # noqa: E402
+
+
+def _write_pipe_text(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """Write ``df`` as pipe-delimited text with a header line per file."""
+    path = scratch_path(spark, name)
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    sinks.write_lines(df.select(line.alias("value")), path, header="|".join(df.columns))
+    return path
+
+
+def _ingested_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw_path = _write_pipe_text(spark, ad.raw_fact(spark, sf_dir), "raw_fact")
+    dims = {}
+    for name, fn in [("side", ad.side_dimension), ("acct", ad.account_dimension),
+                     ("trust", ad.trust_dimension), ("feed", ad.feed_dimension)]:
+        p = _write_pipe_text(spark, fn(spark, sf_dir), f"dim_{name}")
+        dims[name] = delimited.read_delimited(spark, p, delim_regex=r"\|")
+    raw = delimited.read_fixed_delimited(spark, raw_path, "|")
+    return enrich.build_trades(raw, dims["side"], dims["acct"], dims["trust"], dims["feed"],
+                               on_missing="error", **ad.ADAPTER_ELIGIBILITY)
+
+
+_SQL_CASCADE = """coalesce(
+  case when bin_number in ('', '-998', '-999') then null else bin_number end,
+  case when ext_acct_key in ('', '-998', '-999') then null else ext_acct_key end,
+  case when rep_alias_key in ('', '-998', '-999') then null else rep_alias_key end,
+  case when client_acct_key in ('', '-998', '-999') then null else client_acct_key end,
+  'INVALID_KEY')"""
+
+_SQL_SOURCE = """case
+  when bin_number not in ('', '-998', '-999') then 'bin_number'
+  when ext_acct_key not in ('', '-998', '-999') then 'ext_acct_key'
+  when rep_alias_key not in ('', '-998', '-999') then 'rep_alias_key'
+  when client_acct_key not in ('', '-998', '-999') then 'client_acct_key'
+  else 'ERROR' end"""
+
+SQL_ELIGIBLE = f"""
+with f as ({ad.SQL_RAW_FACT}),
+sd as (select distinct l_returnflag k,
+              case when l_returnflag = 'A' then 'S' else l_returnflag end code from lineitem),
+ac as (select cast(s_suppkey as varchar) k, cast(s_nationkey as varchar) trust_key from supplier),
+tr as (select cast(n_nationkey as varchar) k, r_name code
+       from nation join region on n_regionkey = r_regionkey),
+fe as (select cast(p_partkey as varchar) k, p_brand fc, p_type fd, cast(p_size as varchar) fl
+       from part)
+select cast(strptime(f.trade_date_key, '%Y%m%d') as date) trade_date, f.prdct_acct_key fund,
+       sd.code side, {_SQL_CASCADE} acct_key, f.shareclass_cusip_key share_class_key,
+       f.exec_reltn_key executing_key, f.clearing_reltn_key clearing_key,
+       f.trading_entity_key, f.usd_gross_amt_num usd_gross_amt, f.sdm_feed_key feed_key
+from f join sd on f.trade_class_key = sd.k
+       join ac on f.prdct_acct_key = ac.k
+       join tr on ac.trust_key = tr.k
+       join fe on f.sdm_feed_key = fe.k
+where sd.code in ('S', 'R') and fe.fc not in ('Brand#1', 'Brand#2', 'Brand#3')
+  and fe.fd not in ('PROMO') and fe.fl not in ('1')
+  and tr.code in ('AMERICA', 'EUROPE', 'ASIA')
+"""
+
+
+@register("eligible_trades", SQL_ELIGIBLE)
+def q_eligible_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw fact as pipe-delimited text -> op 3 read -> lookups (23) -> eligibility (22)."""
+    return _ingested_trades(spark, sf_dir)
+
+
+@register("eligible_outlier_groups", _SQL_SCORED.format(trades=SQL_ELIGIBLE) + """
+select trade_date, fund, side, n_accts, total, round(mean, 9) mean, round(std_dev, 9) std_dev,
+       round(z, 9) z
+from s where z >= 2
+""")
+def q_eligible_outlier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 29 end to end from delimited text: ingest, lookups, eligibility, outliers."""
+    df = outliers.outlier_groups(_ingested_trades(spark, sf_dir))
+    return _round(df, "mean", "std_dev", "z")
+
+
+@register("account_key_cascade", f"""
+with f as ({ad.SQL_RAW_FACT})
+select trade_date_key, prdct_acct_key, trade_class_key, {_SQL_CASCADE} acct_key from f
+""")
+def q_account_key_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 11-12 on every raw fact row."""
+    from flockwatch.functions.keys import CASCADE_SOURCES, cascade_key
+    raw = ad.raw_fact(spark, sf_dir)
+    return raw.select("trade_date_key", "prdct_acct_key", "trade_class_key",
+                      cascade_key(*CASCADE_SOURCES).alias("acct_key"))
+
+
+@register("account_key_sources", f"""
+with f as ({ad.SQL_RAW_FACT})
+select distinct {_SQL_CASCADE} acct_key, {_SQL_SOURCE} source from f
+""")
+def q_account_key_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 24i: distinct (account key, source column) over the unfiltered fact."""
+    return enrich.account_key_sources(ad.raw_fact(spark, sf_dir))
+
+
+# Customer rows as comma-delimited text exercising the quote-aware reader:
+# a quoted field holding the delimiter and escaped quotes, padded fields, and
+# an empty last field for customers with a negative balance (such rows have
+# the wrong width once the trailing empty field is dropped, D2).
+def _customer_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cu = ad.load(spark, sf_dir, "customer")
+    line = F.concat_ws(
+        ",",
+        F.col("c_custkey").cast("string"),
+        F.concat(F.lit('" '), F.col("c_name"), F.lit(', ""'), F.col("c_mktsegment"), F.lit('"" "')),
+        F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit(" ")),
+        F.when(F.col("c_acctbal") < 0, F.lit("")).otherwise(F.col("c_nationkey").cast("string")))
+    return cu.select(line.alias("value"))
+
+
+_SQL_CUSTOMER_READ = """
+select cast(c_custkey as varchar) {id}, c_name || ', ' || c_mktsegment {name},
+       c_mktsegment {seg}, cast(c_nationkey as varchar) {nation}
+from customer where not (c_acctbal < 0)
+"""
+
+
+@register("delimited_read", _SQL_CUSTOMER_READ.format(id="id", name='"na me"', seg="segment",
+                                                       nation="nation"))
+def q_delimited_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 1: quote-aware comma reader over text derived from the customer table."""
+    path = scratch_path(spark, "customer_text")
+    sinks.write_lines(_customer_text(spark, sf_dir), path, header='id,"na me", segment ,nation')
+    return delimited.read_delimited(spark, path)
+
+
+@register("delimited_read_external_header",
+          _SQL_CUSTOMER_READ.format(id="cust", name="label", seg="seg", nation="nat"))
+def q_delimited_read_external_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 2: names from a separate one-line file; the data's own header is dropped."""
+    path = scratch_path(spark, "customer_text")
+    sinks.write_lines(_customer_text(spark, sf_dir), path, header="id,name,segment,nation")
+    head = scratch_path(spark, "customer_header")
+    sinks.write_lines(spark.range(1).select(F.lit('"cust", label ,seg,nat').alias("value")), head,
+                      single_file=True)
+    return delimited.read_delimited(spark, path, header_path=head)
+
+
+_LINEITEM_TYPES = [("l_orderkey", "NUMBER(19)"), ("l_partkey", "NUMBER(19)"),
+                   ("l_suppkey", "NUMBER(19)"), ("l_linenumber", "NUMBER(10) NOT NULL"),
+                   ("l_quantity", "NUMBER(12,2)"), ("l_extendedprice", "NUMBER(12,2)"),
+                   ("l_discount", "NUMBER(12,2)"), ("l_tax", "NUMBER(12,2)"),
+                   ("l_returnflag", "VARCHAR2(1 CHAR) NOT NULL"), ("l_linestatus", "CHAR(1)"),
+                   ("l_shipdate", "DATE")]
+
+
+@register("catalog_typed_read", """
+select cast(l_orderkey as double) l_orderkey, cast(l_partkey as double) l_partkey,
+       cast(l_suppkey as double) l_suppkey, cast(l_linenumber as double) l_linenumber,
+       l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus,
+       strftime(l_shipdate, '%Y-%m-%d') l_shipdate
+from lineitem
+""")
+def q_catalog_typed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 3-4: lineitem as pipe text, typed by a schema catalogue built from its columns."""
+    li = ad.load(spark, sf_dir, "lineitem").withColumn(
+        "l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    path = _write_pipe_text(spark, li, "lineitem_text")
+    catalog = spark.createDataFrame(
+        [("lineitem", c, i + 1, t) for i, (c, t) in enumerate(_LINEITEM_TYPES)],
+        "table_name string, column_name string, column_id int, type_text string")
+    raw = delimited.read_fixed_delimited(spark, path, "|")
+    return delimited.apply_schema(raw, delimited.struct_type_for(catalog, "lineitem"))

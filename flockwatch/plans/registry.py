@@ -296,3 +296,245 @@ def q_catalog_typed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         "table_name string, column_name string, column_id int, type_text string")
     raw = delimited.read_fixed_delimited(spark, path, "|")
     return delimited.apply_schema(raw, delimited.struct_type_for(catalog, "lineitem"))
+
+
+# ---------------------------------------------------------------------------
+# Baskets, similarity, target search (ops 30-32, 36-39)
+# ---------------------------------------------------------------------------
+
+from flockwatch.operators import baskets as bk  # noqa: E402
+from flockwatch.operators import report as rp  # noqa: E402
+from flockwatch.operators import runs as rn  # noqa: E402
+from flockwatch.operators.ranking import global_positions  # noqa: E402
+
+_ADAPTERS = {"A": (ad.trades_by_supplier_nation, ad.SQL_TRADES_A),
+             "A3": (ad.trades_by_segment, ad.SQL_TRADES_A3)}
+
+
+def _flagged_trades(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
+    return outliers.outlier_trades(_ADAPTERS[adapter][0](spark, sf_dir))
+
+
+def _members(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
+    return bk.basket_members(_flagged_trades(spark, sf_dir, adapter))
+
+
+def _sql_flagged(adapter: str) -> str:
+    """CTEs t, s (scored), ft (flagged trades, distinct) and fl (basket members)."""
+    return _SQL_SCORED.format(trades=_ADAPTERS[adapter][1]) + """,
+ft as (select distinct s.trade_date, s.fund, s.side, s.n_accts, s.total, s.mean, s.std_dev, s.z,
+              t.acct_key, t.share_class_key, t.executing_key, t.clearing_key,
+              t.trading_entity_key, t.usd_gross_amt, t.feed_key
+       from s join t on s.trade_date = t.trade_date and s.fund = t.fund and s.side = t.side
+       where s.z >= 2),
+fl as (select distinct trade_date, fund, side, acct_key from ft),
+sz as (select trade_date, fund, side, count(*) basket_size from fl group by trade_date, fund, side),
+ob as (select *, row_number() over (order by basket_size, trade_date, fund, side) - 1 ord from sz)
+"""
+
+
+@register("baskets", _sql_flagged("A3") + """
+select trade_date, fund, side, count(*) basket_size,
+       string_agg(acct_key, ',' order by acct_key) members
+from fl group by trade_date, fund, side
+""")
+def q_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 30: one account set per flagged (day, fund, side), adapter A3."""
+    sets = bk.basket_sets(_members(spark, sf_dir, "A3"))
+    return sets.select(*bk.BASKET_KEYS, "basket_size",
+                       F.array_join("accts", ",").alias("members"))
+
+
+@register("basket_overlap_pairs", _sql_flagged("A3") + """,
+m as (select fl.acct_key, ob.* from fl join ob using (trade_date, fund, side)),
+p as (select a.ord a, b.ord b, count(*) overlap from m a join m b on a.acct_key = b.acct_key
+      where a.ord < b.ord group by a.ord, b.ord)
+select a.trade_date a_trade_date, a.fund a_fund, a.side a_side, a.basket_size a_size,
+       b.trade_date b_trade_date, b.fund b_fund, b.side b_side, b.basket_size b_size,
+       p.overlap, round(p.overlap / least(a.basket_size, b.basket_size), 9) coef
+from p join ob a on p.a = a.ord join ob b on p.b = b.ord
+where p.overlap / least(a.basket_size, b.basket_size) > 0.8
+""")
+def q_basket_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 31: basket pairs with overlap coefficient > 0.8 (adapter A3)."""
+    return _round(bk.basket_overlap_pairs(_members(spark, sf_dir, "A3")), "coef")
+
+
+@register("basket_best_match", _sql_flagged("A3") + """,
+m as (select fl.acct_key, ob.* from fl join ob using (trade_date, fund, side)),
+p as (select a.ord a, b.ord b, count(*) overlap from m a join m b on a.acct_key = b.acct_key
+      where a.ord <> b.ord group by a.ord, b.ord),
+c as (select p.*, p.overlap / least(x.basket_size, y.basket_size) coef
+      from p join ob x on p.a = x.ord join ob y on p.b = y.ord),
+rk as (select *, row_number() over (partition by a order by coef desc, b) rn from c where coef > 0)
+select x.trade_date, x.fund, x.side, y.trade_date match_trade_date, y.fund match_fund,
+       y.side match_side, rk.overlap, round(rk.coef, 9) coef
+from rk join ob x on rk.a = x.ord join ob y on rk.b = y.ord where rn = 1
+""")
+def q_basket_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 32: each basket's best other basket; ties to the lowest order (D6)."""
+    return _round(bk.basket_best_match(_members(spark, sf_dir, "A3")), "coef")
+
+
+def _largest_basket_target(members: DataFrame) -> DataFrame:
+    """Op 36 with a data-derived pin: the largest basket (ties by day, fund, side)."""
+    top = (bk.basket_sizes(members)
+           .orderBy(F.col("basket_size").desc(), *bk.BASKET_KEYS).limit(1).collect())
+    if not top:
+        return members.limit(0).select("acct_key")
+    r = top[0]
+    return bk.target_accounts(members, r.trade_date, r.fund, r.side)
+
+
+_SQL_TARGET = """,
+tg as (select trade_date, fund, side from sz
+       order by basket_size desc, trade_date, fund, side limit 1),
+ta as (select distinct fl.acct_key from fl join tg using (trade_date, fund, side))
+"""
+
+
+@register("containment_search", _sql_flagged("A") + _SQL_TARGET + """,
+h as (select trade_date, fund, side, count(*) overlap from fl
+      where acct_key in (select acct_key from ta) group by trade_date, fund, side)
+select h.trade_date, h.fund, h.side, h.overlap, sz.basket_size,
+       (select count(*) from ta) t_size
+from h join sz using (trade_date, fund, side)
+where h.overlap / (select count(*) from ta) > 0.8
+""")
+def q_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 37: baskets holding > 80% of the target's accounts (adapter A)."""
+    members = _members(spark, sf_dir, "A")
+    return bk.containment_search(members, _largest_basket_target(members))
+
+
+# Stand-in model family derived from the flagged baskets by plain SQL rules,
+# so that the model reports have an SQL oracle: per (fund, side) the accounts
+# seen in >= 2 of its baskets (min size 2), per (side, year) those seen in >= 3
+# (min size 3).  Every basket is claimed by two models.
+def standin_models(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    m1 = (members.groupBy("fund", "side", "acct_key").agg(F.count(F.lit(1)).alias("c"))
+                 .filter("c >= 2").drop("c"))
+    k1 = global_positions(m1.select("fund", "side").distinct(), ["fund", "side"], "model_id")
+    n1 = k1.count()
+    fy = members.withColumn("yr", F.year("trade_date"))
+    m2 = (fy.groupBy("side", "yr", "acct_key").agg(F.count(F.lit(1)).alias("c"))
+            .filter("c >= 3").drop("c"))
+    k2 = global_positions(m2.select("side", "yr").distinct(), ["side", "yr"], "model_id") \
+        .withColumn("model_id", F.col("model_id") + F.lit(n1))
+    mm = (m1.join(k1, ["fund", "side"]).select("model_id", F.lit(2).cast("long").alias("min_size"), "acct_key")
+            .unionByName(m2.join(k2, ["side", "yr"])
+                         .select("model_id", F.lit(3).cast("long").alias("min_size"), "acct_key")))
+    keys = members.select(*bk.BASKET_KEYS).distinct()
+    mt = (keys.join(k1, ["fund", "side"]).select("model_id", F.lit(2).cast("long").alias("min_size"), *bk.BASKET_KEYS)
+              .unionByName(keys.withColumn("yr", F.year("trade_date")).join(k2, ["side", "yr"])
+                           .select("model_id", F.lit(3).cast("long").alias("min_size"), *bk.BASKET_KEYS)))
+    return mm, mt
+
+
+_SQL_MODELS = """,
+m1 as (select fund, side, acct_key from fl group by fund, side, acct_key having count(*) >= 2),
+k1 as (select fund, side, row_number() over (order by fund, side) - 1 model_id
+       from (select distinct fund, side from m1)),
+m2 as (select side, year(trade_date) yr, acct_key from fl
+       group by side, year(trade_date), acct_key having count(*) >= 3),
+k2 as (select side, yr, (select count(*) from k1) + row_number() over (order by side, yr) - 1 model_id
+       from (select distinct side, yr from m2)),
+mm as (select k1.model_id, cast(2 as bigint) min_size, m1.acct_key from m1 join k1 using (fund, side)
+       union all
+       select k2.model_id, cast(3 as bigint) min_size, m2.acct_key from m2 join k2 using (side, yr)),
+bkeys as (select distinct trade_date, fund, side from fl),
+mt as (select k1.model_id, cast(2 as bigint) min_size, b.trade_date, b.fund, b.side
+       from bkeys b join k1 using (fund, side)
+       union all
+       select k2.model_id, cast(3 as bigint) min_size, b.trade_date, b.fund, b.side
+       from bkeys b join k2 on b.side = k2.side and year(b.trade_date) = k2.yr)
+"""
+
+
+@register("target_vs_sets", _sql_flagged("A3") + _SQL_TARGET + _SQL_MODELS + """,
+msz as (select model_id, min_size, count(distinct acct_key) model_size from mm group by all),
+h as (select model_id, min_size, count(distinct acct_key) overlap from mm
+      where acct_key in (select acct_key from ta) group by all)
+select h.model_id, h.min_size, round(h.overlap / msz.model_size, 9) model_ratio, h.overlap
+from h join msz using (model_id, min_size) where h.overlap >= h.min_size
+""")
+def q_target_vs_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 38: models overlapping the target by at least their min size (adapter A3)."""
+    members = _members(spark, sf_dir, "A3")
+    mm, _ = standin_models(members)
+    return _round(bk.target_vs_sets(mm, _largest_basket_target(members)), "model_ratio")
+
+
+@register("target_coverage", _sql_flagged("A") + """,
+tg as (select trade_date, fund, side from sz
+       order by basket_size desc, trade_date, fund, side limit 1),
+ta as (select distinct fl.acct_key from fl join tg using (trade_date, fund, side))
+""" + _SQL_MODELS + """,
+c as (select count(*) target_size,
+             count(*) filter (where acct_key not in (select acct_key from mm)) uncovered from ta)
+select uncovered, target_size,
+       case when target_size > 0 then 100.0 * uncovered / target_size end pct_uncovered
+from c
+""")
+def q_target_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 39: share of the target's accounts in no model (adapter A)."""
+    members = _members(spark, sf_dir, "A")
+    mm, _ = standin_models(members)
+    return bk.target_coverage(mm, _largest_basket_target(members)).drop("pct_text")
+
+
+# ---------------------------------------------------------------------------
+# Reports and runs (ops 41-44) over the stand-in models
+# ---------------------------------------------------------------------------
+
+def _sql_report(keys: str) -> str:
+    return _sql_flagged("A3") + _SQL_MODELS + f""",
+ag as (select {keys}, cast(count(distinct acct_key) as double) n_accts,
+              sum(usd_gross_amt) sum_usd from ft group by {keys})
+select distinct mt.model_id, mt.min_size, {', '.join('ag.' + k.strip() for k in keys.split(','))},
+       ag.n_accts, round(ag.sum_usd, 2) sum_usd
+from ag join mt on ag.trade_date = mt.trade_date and ag.fund = mt.fund and ag.side = mt.side
+"""
+
+
+@register("trade_analysis_firm",
+          _sql_report("trade_date, fund, side, executing_key, clearing_key"))
+def q_trade_analysis_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 42: accounts and USD per model trade and (executing, clearing) firm."""
+    ft = _flagged_trades(spark, sf_dir, "A3")
+    _, mt = standin_models(bk.basket_members(ft))
+    df = rp.trade_analysis_firm(ft, mt)
+    return df.withColumn("sum_usd", F.round("sum_usd", 2))
+
+
+@register("trade_analysis_entity", _sql_report("trade_date, fund, side, trading_entity_key"))
+def q_trade_analysis_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 43: accounts and USD per model trade and trading entity."""
+    ft = _flagged_trades(spark, sf_dir, "A3")
+    _, mt = standin_models(bk.basket_members(ft))
+    df = rp.trade_analysis_entity(ft, mt)
+    return df.withColumn("sum_usd", F.round("sum_usd", 2))
+
+
+@register("participation_runs", _sql_flagged("A3") + _SQL_MODELS + """,
+ev0 as (select distinct model_id, trade_date, fund, side from mt),
+ev as (select *, row_number() over (partition by model_id order by trade_date, fund, side) - 1 idx,
+              count(*) over (partition by model_id) n from ev0),
+mm2 as (select distinct model_id, acct_key from mm),
+tr as (select ev.model_id, fl.acct_key, ev.idx, ev.trade_date, ev.n
+       from ev join fl on ev.trade_date = fl.trade_date and ev.fund = fl.fund and ev.side = fl.side
+       join mm2 on mm2.model_id = ev.model_id and mm2.acct_key = fl.acct_key),
+isl as (select *, idx - row_number() over (partition by model_id, acct_key order by idx) grp from tr),
+ru as (select model_id, acct_key, min(idx) fi, max(idx) li, count(*) len,
+             arg_min(trade_date, idx) first_date, arg_max(trade_date, idx) last_date,
+             any_value(n) n
+      from isl group by model_id, acct_key, grp)
+select model_id, acct_key, first_date, last_date, len run_length,
+       cast(li = n - 2 as integer) last_flag
+from ru where li < n - 1 and (len > 1 or li = n - 2)
+""")
+def q_participation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 44: runs of consecutive model trades per member (faithful formula)."""
+    members = _members(spark, sf_dir, "A3")
+    mm, mt = standin_models(members)
+    return rn.participation_runs(members, mm, mt)

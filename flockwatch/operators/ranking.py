@@ -3,7 +3,8 @@
 ``row_number()`` over an unpartitioned window, or over one hot group, runs in a
 single task.  Here rows are range-partitioned on the order key, numbered inside
 each partition, and shifted by the row counts of the partitions before them
-(a table with one row per partition).
+(a table with one row per partition).  The numbered rows are written once to
+the shared checkpoint folder, so every consumer sees the same numbering.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flockwatch.session import materialize
+
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
 
 
@@ -26,6 +29,9 @@ def global_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
                 .withColumn("_mid", F.monotonically_increasing_id()))
     ranged = ranged.withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS)).withColumn(
         "_loc", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+    # Range bounds come from a sample; pin one evaluation so the counts and the
+    # rows below see the same partitioning.
+    ranged = materialize(ranged, "positions")
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
     # One row per partition: a bounded table, ordered in a single small window.
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -538,3 +538,100 @@ def q_participation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _members(spark, sf_dir, "A3")
     mm, mt = standin_models(members)
     return rn.participation_runs(members, mm, mt)
+
+
+# ---------------------------------------------------------------------------
+# Mining (ops 33-35), export round trip (ops 7-10, 24d), itemsets (op 40)
+# ---------------------------------------------------------------------------
+
+from flockwatch.operators import itemsets as fi  # noqa: E402
+from flockwatch.operators import mining as mn  # noqa: E402
+
+# Scale-appropriate parameters for the test data: baskets here hold a handful
+# of accounts, so the reference's minimum sizes (50, 100, 200) would find
+# nothing; sizes 2, 3, 4 and two passes are the settings of FIXTURES.md.
+MINING_SIZES = (2, 3, 4)
+MINING_PASSES = 2
+
+
+def _mined(spark: SparkSession, sf_dir: str, adapter: str = "A") -> mn.MiningResult:
+    return mn.recurring_sets(_members(spark, sf_dir, adapter), MINING_SIZES, MINING_PASSES)
+
+
+@register("recurring_sets")
+def q_recurring_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 33-35: members of repeated sets (adapter A); rows-only check."""
+    return _mined(spark, sf_dir).members
+
+
+@register("recurring_set_trades")
+def q_recurring_set_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 33-35: the baskets credited to each repeated set (adapter A)."""
+    return _mined(spark, sf_dir).trades
+
+
+@register("recurring_set_summary")
+def q_recurring_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every current set with its size and number of distinct baskets."""
+    return _mined(spark, sf_dir).sets
+
+
+@register("sets_union_export")
+def q_sets_union_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 7-10, 24d: per-size outputs unioned, exported as headerless CSV and
+    read back as member sets joined to their trades."""
+    res = _mined(spark, sf_dir)
+    pm, pt = scratch_path(spark, "model_members"), scratch_path(spark, "model_trades")
+    sinks.export_models(res.members, res.trades, pm, pt)
+    sets = delimited.model_member_sets(delimited.read_model_members(spark, pm))
+    trades = delimited.read_model_trades(spark, pt)
+    return trades.join(sets, ["model_id", "min_size"]).select(
+        "model_id", "min_size", "trade_date", "fund", "side",
+        F.array_join("accts", ",").alias("members"))
+
+
+@register("mined_trade_analysis_firm")
+def q_mined_trade_analysis_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 42 over the mined sets (adapter A), end to end."""
+    ft = _flagged_trades(spark, sf_dir, "A")
+    res = mn.recurring_sets(bk.basket_members(ft), MINING_SIZES, MINING_PASSES)
+    return rp.trade_analysis_firm(ft, res.trades)
+
+
+@register("mined_participation_runs")
+def q_mined_participation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 44 over the mined sets (adapter A), end to end."""
+    members = _members(spark, sf_dir, "A")
+    res = mn.recurring_sets(members, MINING_SIZES, MINING_PASSES)
+    return rn.participation_runs(members, res.members, res.trades)
+
+
+_SQL_ITEMS = _sql_flagged("A3") + """,
+nb as (select count(*) n from sz),
+s1 as (select acct_key, count(*) freq from fl group by acct_key),
+p2 as (select a.acct_key x, b.acct_key y, count(*) freq from fl a join fl b
+       on a.trade_date = b.trade_date and a.fund = b.fund and a.side = b.side
+       and a.acct_key < b.acct_key group by a.acct_key, b.acct_key)
+select acct_key items, 1 itemset_size, freq from s1 where freq >= ceil(0.1 * (select n from nb))
+union all
+select x || ',' || y items, 2 itemset_size, freq from p2 where freq >= ceil(0.1 * (select n from nb))
+"""
+
+
+@register("frequent_itemsets", _SQL_ITEMS)
+def q_frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 40: FP-growth at support 0.1 over the flagged baskets (adapter A3).
+
+    The SQL oracle enumerates itemsets of one and two accounts, so this query
+    reports those sizes; ``frequent_itemsets_all`` reports every size."""
+    df = fi.frequent_itemsets(_members(spark, sf_dir, "A3"), num_partitions=None)
+    return (df.filter(F.col("itemset_size") <= 2)
+              .select(F.array_join("items", ",").alias("items"),
+                      F.col("itemset_size").cast("int").alias("itemset_size"), "freq"))
+
+
+@register("frequent_itemsets_all")
+def q_frequent_itemsets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 40: all frequent itemsets (length, frequency) as the reference keeps them."""
+    df = fi.frequent_itemsets(_members(spark, sf_dir, "A3"), num_partitions=None)
+    return df.select(F.array_join("items", ",").alias("items"), "itemset_size", "freq")

@@ -11,9 +11,15 @@ def _col(c) -> Column:
 
 
 def share_of_total(value, total) -> Column:
-    """Op 18: value / total; 0 when the value is missing or the total unknown."""
+    """Op 18: value / total; 0 when the value is missing or the total unknown.
+
+    A zero total gives IEEE infinity (NaN for 0/0) as JVM double division does,
+    instead of Spark's ANSI division error.
+    """
     v, t = _col(value), _col(total)
-    return F.when(v.isNull() | t.isNull(), F.lit(0.0)).otherwise(v / t)
+    return (F.when(v.isNull() | t.isNull(), F.lit(0.0))
+             .when(t == 0, v.cast("double") * F.lit(float("inf")))
+             .otherwise(v / t))
 
 
 def guarded_z(n, total, mean, sd) -> Column:

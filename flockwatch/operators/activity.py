@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockwatch.functions.stats import share_of_total
@@ -47,10 +47,11 @@ def daily_totals(activity: DataFrame) -> DataFrame:
 def with_daily_share(activity: DataFrame) -> DataFrame:
     """Op 23b + 18: attach each day's total and the fund's share of it.
 
-    The totals are a small aggregate joined back on (day, side); adaptive
-    execution broadcasts them when their measured size allows, and falls back
-    to a shuffle join otherwise.
+    The total is a window sum over (day, side) on the activity table, so the
+    trades are scanned once (an aggregate joined back would scan them twice).
+    A window partition holds one row per fund active that day, whatever the
+    trade volume.
     """
-    totals = daily_totals(activity)
-    out = activity.join(totals, ["trade_date", "side"], "left")
+    w = Window.partitionBy("trade_date", "side")
+    out = activity.withColumn("total", F.sum("n_accts").over(w))
     return out.withColumn("share", share_of_total("n_accts", "total"))

@@ -35,7 +35,7 @@ are its new models and its reduced version):
 
 All state is long tables keyed by min size, so all min sizes run together:
 models(ms, lin, acct), model info (ms, lin, vseq, vage, msize, age),
-occurrences(ms, lin, vseq, ord), pending(ms, ord).  State is checkpointed
+occurrences(ms, lin, vseq, ord) appended per round, pending(ms, ord).  State is checkpointed
 to the shared checkpoint folder after every round.
 """
 
@@ -87,12 +87,12 @@ def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
 
     CM = spark.createDataFrame([], _CM_SCHEMA)
     MI = spark.createDataFrame([], _MI_SCHEMA)
-    OCC = spark.createDataFrame([], _OCC_SCHEMA)
+    OCC: list = []
     rounds_per_pass = []
     vseq_counter = 0
 
     for it in range(iterations):
-        OCC = spark.createDataFrame([], _OCC_SCHEMA)
+        OCC = []                    # per-round occurrence tables of this pass
         PEND = _cp(B.select("ms", "ord").distinct())
         n_pend = PEND.count()
         rounds = 0
@@ -106,7 +106,10 @@ def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
             n_pend = PEND.count()
         rounds_per_pass.append(rounds)
 
-    return _finish(ob, CM, MI, OCC, list(min_sizes), rounds_per_pass)
+    occ_all = spark.createDataFrame([], _OCC_SCHEMA)
+    for part in OCC:
+        occ_all = occ_all.unionByName(part)
+    return _finish(ob, CM, MI, occ_all, list(min_sizes), rounds_per_pass)
 
 
 def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
@@ -156,7 +159,7 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
     psz = PR.groupBy("ms", "ord", "pos").agg(F.count(F.lit(1)).alias("psize"))
     red = (pb.join(mt.filter("reduce").select("ms", "ord", "mlin"), ["ms", "ord"])
              .join(cm_m, ["ms", "mlin", "acct_key"], "left_semi"))
-    RD = _keep(red)                                                     # (ms, ord, mlin, acct)
+    RD = red                                                          # (ms, ord, mlin, acct)
 
     # R4: checked proposals against current models, minus the lineage this
     # basket reduces (its reduced version is disjoint from both kinds).
@@ -217,19 +220,18 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
                            .join(cm_m, ["ms", "mlin"]).select("ms", "ord", "acct_key"))
             .distinct())
     FP = _keep(fp)
-    n_d = D.count()
-    while n_d > 0:
-        dmin = FP.join(D, ["ms", "ord"]).groupBy("ms", "acct_key").agg(F.min("ord").alias("dmin"))
+    # Semi-naive: only baskets deferred in the last step can defer more.
+    delta = D
+    while not delta.isEmpty():
+        dmin = (FP.join(delta, ["ms", "ord"]).groupBy("ms", "acct_key")
+                  .agg(F.min("ord").alias("dmin")))
         more = (FP.join(dmin, ["ms", "acct_key"]).filter(F.col("dmin") < F.col("ord"))
-                  .select("ms", "ord"))
-        D2 = _keep(D.unionByName(more).distinct())
-        n2 = D2.count()
-        D = D2
-        if n2 == n_d:
-            break
-        n_d = n2
+                  .select("ms", "ord").distinct().join(D, ["ms", "ord"], "left_anti"))
+        delta = _keep(more)
+        D = D.unionByName(delta)
+    D = _keep(D)
 
-    C = _keep(PEND.join(D, ["ms", "ord"], "left_anti"))                # committed baskets
+    C = PEND.join(D, ["ms", "ord"], "left_anti")                      # committed baskets
 
     # 4. Commit.
     base = (F.lit(it) * F.lit(n_b) + F.col("ord")) * F.lit(4)
@@ -256,10 +258,10 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
     occ_new = (new_models.select("ms", "lin", "ord").distinct()
                          .withColumn("vseq", F.lit(vseq).cast("long")))
     occ_red = red_info.select("ms", "lin", F.lit(vseq).cast("long").alias("vseq"), "ord")
-    OCC2 = OCC.unionByName(occ_counts).unionByName(occ_new.select("ms", "lin", "vseq", "ord")) \
-              .unionByName(occ_red)
+    occ_part = occ_counts.unionByName(occ_new.select("ms", "lin", "vseq", "ord")) \
+                         .unionByName(occ_red)
     PEND2 = PEND.join(C, ["ms", "ord"], "left_anti")
-    return _cp(CM2), _cp(MI2), _cp(OCC2), _cp(PEND2)
+    return _cp(CM2), _cp(MI2), OCC + [_cp(occ_part)], _cp(PEND2)
 
 
 def _finish(ob, CM, MI, OCC, min_sizes, rounds):

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flockwatch.operators.overlap import overlap_above
 from flockwatch.operators.ranking import global_positions
 
 BASKET_KEYS = ["trade_date", "fund", "side"]
@@ -76,21 +77,22 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lsize
 
 
 def basket_overlap_pairs(members: DataFrame, threshold: float = HIGH_RATIO,
-                         strict: bool = True) -> DataFrame:
-    """Op 31 over flagged baskets: pairs (a earlier than b) above the threshold."""
+                         strict: bool = True, prefix_filter: bool = True) -> DataFrame:
+    """Op 31 over flagged baskets: pairs (a earlier than b) above the threshold.
+
+    Uses the prefix-filtered overlap join, so an account in most baskets does
+    not make the candidate set quadratic.
+    """
     m, ob = with_ord(members)
     a = m.select(F.col("ord").alias("a"), "acct_key")
     b = m.select(F.col("ord").alias("b"), "acct_key")
-    pairs = overlap_counts(a, b, "a", "b").filter(F.col("a") < F.col("b"))
+    pairs = (overlap_above(a, b, ["a"], ["b"], threshold, strict, prefix_filter=prefix_filter)
+             .filter(F.col("a") < F.col("b")).select("a", "b", "overlap", "coef"))
     sa = ob.select(F.col("ord").alias("a"), *[F.col(k).alias(f"a_{k}") for k in BASKET_KEYS],
                    F.col("basket_size").alias("a_size"))
     sb = ob.select(F.col("ord").alias("b"), *[F.col(k).alias(f"b_{k}") for k in BASKET_KEYS],
                    F.col("basket_size").alias("b_size"))
-    out = pairs.join(sa, "a").join(sb, "b")
-    coef = F.col("overlap") / F.least("a_size", "b_size")
-    out = out.withColumn("coef", coef)
-    out = out.filter(coef > threshold) if strict else out.filter(coef >= threshold)
-    return out.drop("a", "b")
+    return pairs.join(sa, "a").join(sb, "b").drop("a", "b")
 
 
 def best_match(candidates: DataFrame, key: str, target: str, coef: str = "coef",
@@ -107,7 +109,12 @@ def best_match(candidates: DataFrame, key: str, target: str, coef: str = "coef",
 
 
 def basket_best_match(members: DataFrame) -> DataFrame:
-    """Op 32 over baskets: for each basket, the best other basket (ties: lowest ord)."""
+    """Op 32 over baskets: for each basket, the best other basket (ties: lowest ord).
+
+    Without a threshold every pair sharing an account is a candidate (plain
+    inverted index).  The mining loop only needs matches above 0.2 and uses
+    the prefix-filtered join instead.
+    """
     m, ob = with_ord(members)
     a = m.select(F.col("ord").alias("a"), "acct_key")
     b = m.select(F.col("ord").alias("b"), "acct_key")

@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flockwatch.operators.baskets import BASKET_KEYS, HIGH_RATIO, LOW_RATIO, ordered_baskets
+from flockwatch.operators.overlap import overlap_above
 from flockwatch.operators.ranking import global_positions
 from flockwatch.session import ensure_checkpoint_dir, materialize
 
@@ -74,8 +75,13 @@ def _cp(df: DataFrame) -> DataFrame:
 
 def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
                    iterations: int = DEFAULT_ITERATIONS, high: float = HIGH_RATIO,
-                   low: float = LOW_RATIO, max_rounds: int = 100_000) -> MiningResult:
-    """Op 33-35 over basket members (trade_date, fund, side, acct_key)."""
+                   low: float = LOW_RATIO, max_rounds: int = 100_000,
+                   prefix_filter: bool = True) -> MiningResult:
+    """Op 33-35 over basket members (trade_date, fund, side, acct_key).
+
+    ``prefix_filter`` selects the prefix-filtered overlap join (safe when some
+    accounts occur in a large share of baskets) over the plain inverted index.
+    """
     spark = members.sparkSession
     ensure_checkpoint_dir(spark)
     ob = _cp(ordered_baskets(members))
@@ -102,7 +108,7 @@ def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
                 raise RuntimeError(f"mining pass {it} did not finish in {max_rounds} rounds")
             vseq_counter += 1
             CM, MI, OCC, PEND = _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq_counter,
-                                       high, low)
+                                       high, low, prefix_filter)
             n_pend = PEND.count()
         rounds_per_pass.append(rounds)
 
@@ -112,18 +118,20 @@ def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
     return _finish(ob, CM, MI, occ_all, list(min_sizes), rounds_per_pass)
 
 
-def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
+def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=True):
     _keep = _cp
     ms = F.col("ms")
     pb = B.join(PEND, ["ms", "ord"])                              # pending basket accounts
     bsz = PEND.join(BS, "ord")                                     # (ms, ord, bsize)
     info = MI.select("ms", "lin", "msize", "age", "vseq")
 
-    # 1. Best match of each pending basket among current models.
-    ov = (pb.join(CM, ["ms", "acct_key"]).groupBy("ms", "ord", "lin")
-            .agg(F.count(F.lit(1)).alias("n")))
-    ov = (ov.join(bsz, ["ms", "ord"]).join(info, ["ms", "lin"])
-            .withColumn("coef", F.col("n") / F.least("bsize", "msize")))
+    # 1. Best match of each pending basket among current models.  Only matches
+    # above ``low`` change what a basket does (R1 ignores the model), so the
+    # prefix-filtered join at ``low`` is enough; below it r counts as 0.
+    ov = (overlap_above(pb, CM, ["ord"], ["lin"], low, True, shared=["ms"],
+                        prefix_filter=prefix_filter)
+            .select("ms", "ord", "lin", F.col("overlap").alias("n"), "coef")
+            .join(info.select("ms", "lin", "msize", "age"), ["ms", "lin"]))
     w = Window.partitionBy("ms", "ord").orderBy(F.col("coef").desc(), F.col("age").asc())
     best = (ov.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
               .select("ms", "ord", F.col("lin").alias("mlin"), "n", F.col("coef").alias("r"),
@@ -156,7 +164,6 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
                .select("ms", "ord", F.col("pos_mmb").alias("pos"), F.lit("MmB").alias("kind"),
                        "acct_key"))
     PR = _keep(pw.unionByName(pbm).unionByName(pmb))
-    psz = PR.groupBy("ms", "ord", "pos").agg(F.count(F.lit(1)).alias("psize"))
     red = (pb.join(mt.filter("reduce").select("ms", "ord", "mlin"), ["ms", "ord"])
              .join(cm_m, ["ms", "mlin", "acct_key"], "left_semi"))
     RD = red                                                          # (ms, ord, mlin, acct)
@@ -164,12 +171,12 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
     # R4: checked proposals against current models, minus the lineage this
     # basket reduces (its reduced version is disjoint from both kinds).
     pc = PR.filter(F.col("kind") != "W")
-    ovp = (pc.join(CM, ["ms", "acct_key"]).groupBy("ms", "ord", "pos", "lin")
-             .agg(F.count(F.lit(1)).alias("n")))
+    ovp = (overlap_above(pc, CM, ["ord", "pos"], ["lin"], high, True, shared=["ms"],
+                         prefix_filter=prefix_filter)
+             .select("ms", "ord", "pos", "lin", "coef"))
     ovp = (ovp.join(mt.select("ms", "ord", "mlin", "reduce"), ["ms", "ord"])
               .filter(~(F.col("reduce") & (F.col("lin") == F.col("mlin"))))
-              .join(psz, ["ms", "ord", "pos"]).join(info, ["ms", "lin"])
-              .withColumn("coef", F.col("n") / F.least("psize", "msize")))
+              .join(info.select("ms", "lin", "age"), ["ms", "lin"]))
     wp = Window.partitionBy("ms", "ord", "pos").orderBy(F.col("coef").desc(), F.col("age").asc())
     TG = _keep(ovp.withColumn("_rn", F.row_number().over(wp))
                 .filter((F.col("_rn") == 1) & (F.col("coef") > high))
@@ -178,7 +185,6 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
     # Writes of every pending basket: new models (wid = pos) and reductions (wid = 3).
     WR = _keep(newp.select("ms", "ord", F.col("pos").alias("wid"), "acct_key")
                  .unionByName(RD.select("ms", "ord", F.lit(3).alias("wid"), "acct_key")))
-    wsz = WR.groupBy("ms", "ord", "wid").agg(F.count(F.lit(1)).alias("wsize"))
 
     # Models counted by each basket: its match (count branches) and targets.
     CNT = (mt.filter("count_m").select("ms", "ord", F.col("mlin").alias("lin"))
@@ -186,22 +192,18 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low):
 
     # 3. Conflicts.
     wq = WR.withColumnRenamed("ord", "q")
-    # (a) a write of q vs basket o.
-    ca = (wq.join(pb.withColumnRenamed("ord", "o"), ["ms", "acct_key"])
+    # (a) a write of q vs basket o (pairs above ``low`` suffice: both branches
+    # of the rule need a coefficient above it).
+    ca = (overlap_above(wq, pb.withColumnRenamed("ord", "o"), ["q", "wid"], ["o"], low, True,
+                        shared=["ms"], prefix_filter=prefix_filter)
             .filter(F.col("q") < F.col("o"))
-            .groupBy("ms", "o", "q", "wid").agg(F.count(F.lit(1)).alias("k"))
-            .join(wsz.withColumnRenamed("ord", "q"), ["ms", "q", "wid"])
-            .join(mt.select("ms", F.col("ord").alias("o"), "bsize", "r"), ["ms", "o"]))
-    cc = F.col("k") / F.least("bsize", "wsize")
-    ca = ca.filter(((F.col("r") > low) & (cc >= F.col("r"))) | ((F.col("r") <= low) & (cc > low)))
+            .join(mt.select("ms", F.col("ord").alias("o"), "r"), ["ms", "o"]))
+    ca = ca.filter((F.col("r") <= low) | (F.col("coef") >= F.col("r")))
     d_a = ca.select("ms", F.col("o").alias("ord"))
     # (b) a write of q vs a checked proposal of o.
-    cb = (wq.join(pc.withColumnRenamed("ord", "o"), ["ms", "acct_key"])
-            .filter(F.col("q") < F.col("o"))
-            .groupBy("ms", "o", "pos", "q", "wid").agg(F.count(F.lit(1)).alias("k"))
-            .join(wsz.withColumnRenamed("ord", "q"), ["ms", "q", "wid"])
-            .join(psz.withColumnRenamed("ord", "o"), ["ms", "o", "pos"])
-            .filter(F.col("k") / F.least("psize", "wsize") > high))
+    cb = (overlap_above(wq, pc.withColumnRenamed("ord", "o"), ["q", "wid"], ["o", "pos"], high,
+                        True, shared=["ms"], prefix_filter=prefix_filter)
+            .filter(F.col("q") < F.col("o")))
     d_b = cb.select("ms", F.col("o").alias("ord"))
     # (c) q reduces a model o matched or counts.
     reds = mt.filter("reduce").select("ms", F.col("ord").alias("q"), F.col("mlin").alias("lin"))

@@ -129,7 +129,7 @@ def q_rolling_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 from flockwatch.operators import enrich  # noqa: E402
-from flockwatch.session import scratch_path  # noqa: E402
+from flockwatch.session import materialize, scratch_path  # noqa: E402
 from flockwatch.sources import delimited, sinks  # noqa: E402
 
 
@@ -554,8 +554,21 @@ MINING_SIZES = (2, 3, 4)
 MINING_PASSES = 2
 
 
+_MINED: dict = {}
+
+
 def _mined(spark: SparkSession, sf_dir: str, adapter: str = "A") -> mn.MiningResult:
-    return mn.recurring_sets(_members(spark, sf_dir, adapter), MINING_SIZES, MINING_PASSES)
+    """Mine once per session, data and adapter; later queries read the written
+    model tables back, as the reference's reports read its model files."""
+    key = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), sf_dir, adapter,
+           MINING_SIZES, MINING_PASSES)
+    if key not in _MINED:
+        res = mn.recurring_sets(_members(spark, sf_dir, adapter), MINING_SIZES, MINING_PASSES)
+        _MINED[key] = mn.MiningResult(members=materialize(res.members, "model_members"),
+                                      trades=materialize(res.trades, "model_trades"),
+                                      sets=materialize(res.sets, "model_sets"),
+                                      rounds=res.rounds)
+    return _MINED[key]
 
 
 @register("recurring_sets")
@@ -594,15 +607,14 @@ def q_sets_union_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_mined_trade_analysis_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 42 over the mined sets (adapter A), end to end."""
     ft = _flagged_trades(spark, sf_dir, "A")
-    res = mn.recurring_sets(bk.basket_members(ft), MINING_SIZES, MINING_PASSES)
-    return rp.trade_analysis_firm(ft, res.trades)
+    return rp.trade_analysis_firm(ft, _mined(spark, sf_dir).trades)
 
 
 @register("mined_participation_runs")
 def q_mined_participation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 44 over the mined sets (adapter A), end to end."""
     members = _members(spark, sf_dir, "A")
-    res = mn.recurring_sets(members, MINING_SIZES, MINING_PASSES)
+    res = _mined(spark, sf_dir)
     return rn.participation_runs(members, res.members, res.trades)
 
 

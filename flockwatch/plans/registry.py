@@ -311,12 +311,27 @@ _ADAPTERS = {"A": (ad.trades_by_supplier_nation, ad.SQL_TRADES_A),
              "A3": (ad.trades_by_segment, ad.SQL_TRADES_A3)}
 
 
+_FLAGGED: dict = {}
+
+
+def _flagged_tables(spark: SparkSession, sf_dir: str, adapter: str) -> tuple[DataFrame, DataFrame]:
+    """Flagged trades (op 28) and their basket members, written once per
+    session, data and adapter to the shared folder and read back by the later
+    steps, as the reference persists its flagged-trades table (ops 5, 8)."""
+    from flockwatch.session import materialize
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, adapter)
+    if key not in _FLAGGED:
+        ft = materialize(outliers.outlier_trades(_ADAPTERS[adapter][0](spark, sf_dir)), "flagged")
+        _FLAGGED[key] = (ft, materialize(bk.basket_members(ft), "basket_members"))
+    return _FLAGGED[key]
+
+
 def _flagged_trades(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
-    return outliers.outlier_trades(_ADAPTERS[adapter][0](spark, sf_dir))
+    return _flagged_tables(spark, sf_dir, adapter)[0]
 
 
 def _members(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
-    return bk.basket_members(_flagged_trades(spark, sf_dir, adapter))
+    return _flagged_tables(spark, sf_dir, adapter)[1]
 
 
 def _sql_flagged(adapter: str) -> str:
@@ -560,7 +575,7 @@ _MINED: dict = {}
 def _mined(spark: SparkSession, sf_dir: str, adapter: str = "A") -> mn.MiningResult:
     """Mine once per session, data and adapter; later queries read the written
     model tables back, as the reference's reports read its model files."""
-    key = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), sf_dir, adapter,
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, adapter,
            MINING_SIZES, MINING_PASSES)
     if key not in _MINED:
         res = mn.recurring_sets(_members(spark, sf_dir, adapter), MINING_SIZES, MINING_PASSES)

@@ -77,11 +77,12 @@ def overlap_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lsize
 
 
 def basket_overlap_pairs(members: DataFrame, threshold: float = HIGH_RATIO,
-                         strict: bool = True, prefix_filter: bool = True) -> DataFrame:
+                         strict: bool = True, prefix_filter: bool | None = None) -> DataFrame:
     """Op 31 over flagged baskets: pairs (a earlier than b) above the threshold.
 
-    Uses the prefix-filtered overlap join, so an account in most baskets does
-    not make the candidate set quadratic.
+    Uses the overlap join of ``operators.overlap``: prefix-filtered whenever the
+    plain inverted index would emit too many rows, so an account in most
+    baskets does not make the candidate set quadratic.
     """
     m, ob = with_ord(members)
     a = m.select(F.col("ord").alias("a"), "acct_key")

@@ -76,11 +76,12 @@ def _cp(df: DataFrame) -> DataFrame:
 def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
                    iterations: int = DEFAULT_ITERATIONS, high: float = HIGH_RATIO,
                    low: float = LOW_RATIO, max_rounds: int = 100_000,
-                   prefix_filter: bool = True) -> MiningResult:
+                   prefix_filter: bool | None = None) -> MiningResult:
     """Op 33-35 over basket members (trade_date, fund, side, acct_key).
 
-    ``prefix_filter`` selects the prefix-filtered overlap join (safe when some
-    accounts occur in a large share of baskets) over the plain inverted index.
+    ``prefix_filter`` is passed to every overlap join: None (default) picks the
+    prefix-filtered join when the plain inverted index would emit too many rows
+    (some accounts in a large share of baskets), True or False forces one.
     """
     spark = members.sparkSession
     ensure_checkpoint_dir(spark)
@@ -118,7 +119,7 @@ def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
     return _finish(ob, CM, MI, occ_all, list(min_sizes), rounds_per_pass)
 
 
-def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=True):
+def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=None):
     _keep = _cp
     ms = F.col("ms")
     pb = B.join(PEND, ["ms", "ord"])                              # pending basket accounts
@@ -222,15 +223,23 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=Tru
                            .join(cm_m, ["ms", "mlin"]).select("ms", "ord", "acct_key"))
             .distinct())
     FP = _keep(fp)
-    # Semi-naive: only baskets deferred in the last step can defer more.
+    # Semi-naive: only baskets deferred in the last step can defer more.  Three
+    # hops are planned per written table.
     delta = D
     while not delta.isEmpty():
-        dmin = (FP.join(delta, ["ms", "ord"]).groupBy("ms", "acct_key")
-                  .agg(F.min("ord").alias("dmin")))
-        more = (FP.join(dmin, ["ms", "acct_key"]).filter(F.col("dmin") < F.col("ord"))
-                  .select("ms", "ord").distinct().join(D, ["ms", "ord"], "left_anti"))
-        delta = _keep(more)
-        D = D.unionByName(delta)
+        hops, known = [], D
+        for k in range(3):
+            dmin = (FP.join(delta, ["ms", "ord"]).groupBy("ms", "acct_key")
+                      .agg(F.min("ord").alias("dmin")))
+            more = (FP.join(dmin, ["ms", "acct_key"]).filter(F.col("dmin") < F.col("ord"))
+                      .select("ms", "ord").distinct().join(known, ["ms", "ord"], "left_anti"))
+            hops.append(more.withColumn("_hop", F.lit(k)))
+            known = known.unionByName(more)
+            delta = more
+        step = hops[0].unionByName(hops[1]).unionByName(hops[2])
+        step = _keep(step)
+        D = D.unionByName(step.select("ms", "ord"))
+        delta = step.filter(F.col("_hop") == 2).select("ms", "ord")
     D = _keep(D)
 
     C = PEND.join(D, ["ms", "ord"], "left_anti")                      # committed baskets

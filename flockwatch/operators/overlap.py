@@ -54,19 +54,43 @@ def _prefix(items: DataFrame, set_cols: list[str], size_col: str, t: float,
                  .filter(F.col("_rarer") < cut))
 
 
+# The plain inverted index is used only while the number of (left, right, item)
+# rows it would emit stays within this multiple of the input rows.
+PLAIN_PAIRS_PER_ROW = 20.0
+
+
+def inverted_index_size(L: DataFrame, R: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """(rows the plain inverted-index join would emit, input rows): one small
+    aggregation per side, joined on the item."""
+    lc = L.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lc"))
+    rc = R.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rc"))
+    row = (lc.join(rc, keys, "full")
+             .agg(F.sum(F.coalesce(F.col("_lc"), F.lit(0)) * F.coalesce(F.col("_rc"), F.lit(0)))
+                  .alias("pairs"),
+                  F.sum(F.coalesce(F.col("_lc"), F.lit(0)) + F.coalesce(F.col("_rc"), F.lit(0)))
+                  .alias("rows"))
+             .first())
+    return int(row.pairs or 0), int(row.rows or 0)
+
+
 def overlap_above(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str],
                   t: float, strict: bool = True, item: str = "acct_key",
-                  shared: list[str] | None = None, prefix_filter: bool = True) -> DataFrame:
+                  shared: list[str] | None = None, prefix_filter: bool | None = None) -> DataFrame:
     """Pairs above the threshold: lkeys + rkeys + (overlap, lsize, rsize, coef).
 
     ``shared`` columns (e.g. a min-size key) must be equal on both sides and are
-    part of both set keys; ``lkeys``/``rkeys`` must not collide.  With
-    ``prefix_filter=False`` candidates come from the plain inverted index.
+    part of both set keys; ``lkeys``/``rkeys`` must not collide.
+    ``prefix_filter``: True always filters, False always uses the plain
+    inverted index, None (default) counts what the plain index would emit and
+    uses it only within ``PLAIN_PAIRS_PER_ROW`` times the input rows.
     """
     shared = shared or []
     L = left.select(*shared, *lkeys, item).distinct()
     R = right.select(*shared, *rkeys, item).distinct()
     lset, rset = shared + lkeys, shared + rkeys
+    if prefix_filter is None:
+        pairs_n, rows_n = inverted_index_size(L, R, shared + [item])
+        prefix_filter = pairs_n > PLAIN_PAIRS_PER_ROW * max(rows_n, 1)
     lsz = L.groupBy(*lset).agg(F.count(F.lit(1)).alias("_ls"))
     rsz = R.groupBy(*rset).agg(F.count(F.lit(1)).alias("_rs"))
 

@@ -2,6 +2,7 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+import pytest
 import seq_mining
 from flockwatch.operators import itemsets, mining
 
@@ -61,12 +62,15 @@ def _random_collections(seed, k):
     return rows, colls
 
 
-def test_rounds_equal_sequential_on_random_collections(spark):
+@pytest.mark.parametrize("seed,k,prefix", [(5, 24, None), (13, 10, True)])
+def test_rounds_equal_sequential_on_random_collections(spark, seed, k, prefix):
     # Collections use disjoint accounts, so they never interact and one Spark
-    # run checks them all against the sequential simulation.
-    rows, colls = _random_collections(5, 24)
+    # run checks them all against the sequential simulation.  prefix=True
+    # forces the prefix-filtered overlap joins inside the rounds.
+    rows, colls = _random_collections(seed, k)
     ms_list, iters = (1, 2, 3), 2
-    res = mining.recurring_sets(_frame(spark, rows), min_sizes=ms_list, iterations=iters)
+    res = mining.recurring_sets(_frame(spark, rows), min_sizes=ms_list, iterations=iters,
+                                prefix_filter=prefix)
     sets, mem, occ = _spark_result(res)
     got = defaultdict(list)
     for mid, accts in mem.items():

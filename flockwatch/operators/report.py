@@ -28,9 +28,10 @@ def _analysis(flagged_trades: DataFrame, model_trades: DataFrame, keys: list[str
     agg = (flagged_trades.groupBy(*keys)
            .agg(F.countDistinct("acct_key").cast("double").alias("n_accts"),
                 F.sum("usd_gross_amt").alias("sum_usd")))
+    # One aggregate row per group and one row per (model, trade key): the join
+    # output is already distinct, so no further de-duplication is needed.
     mt = model_trades.select("model_id", "min_size", *TRADE_KEYS).distinct()
-    return (agg.join(mt, TRADE_KEYS)
-               .select("model_id", "min_size", *keys, "n_accts", "sum_usd").distinct())
+    return agg.join(mt, TRADE_KEYS).select("model_id", "min_size", *keys, "n_accts", "sum_usd")
 
 
 def trade_analysis_firm(flagged_trades: DataFrame, model_trades: DataFrame) -> DataFrame:

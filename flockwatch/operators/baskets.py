@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flockwatch.operators.overlap import overlap_above
+from flockwatch.operators.overlap import PLAIN_PAIRS_PER_ROW, inverted_index_size, overlap_above
+from flockwatch.session import materialize
 from flockwatch.operators.ranking import global_positions
 
 BASKET_KEYS = ["trade_date", "fund", "side"]
@@ -109,21 +110,40 @@ def best_match(candidates: DataFrame, key: str, target: str, coef: str = "coef",
                       .filter("_rn = 1").drop("_rn"))
 
 
-def basket_best_match(members: DataFrame) -> DataFrame:
+CASCADE = (0.8, 0.5, 0.3, 0.2, 0.1)
+
+
+def basket_best_match(members: DataFrame, cascade=CASCADE) -> DataFrame:
     """Op 32 over baskets: for each basket, the best other basket (ties: lowest ord).
 
-    Without a threshold every pair sharing an account is a candidate (plain
-    inverted index).  The mining loop only needs matches above 0.2 and uses
-    the prefix-filtered join instead.
+    When the plain inverted index is small enough (size check of
+    ``operators.overlap``) it gives all sharing pairs at once.  Otherwise a
+    threshold cascade runs: at each threshold t the prefix-filtered join finds
+    the pairs above t for the baskets not yet resolved; a basket with any pair
+    above t has its best among them (ties included), so it is resolved
+    exactly.  Only baskets whose every partner is at most the last threshold
+    reach the plain index.
     """
     m, ob = with_ord(members)
     a = m.select(F.col("ord").alias("a"), "acct_key")
     b = m.select(F.col("ord").alias("b"), "acct_key")
-    pairs = overlap_counts(a, b, "a", "b").filter(F.col("a") != F.col("b"))
-    sizes = ob.select("ord", "basket_size")
-    pairs = (pairs.join(sizes.withColumnRenamed("ord", "a").withColumnRenamed("basket_size", "a_size"), "a")
-                  .join(sizes.withColumnRenamed("ord", "b").withColumnRenamed("basket_size", "b_size"), "b")
-                  .withColumn("coef", F.col("overlap") / F.least("a_size", "b_size")))
+    pairs_n, rows_n = inverted_index_size(a, b, ["acct_key"])
+    if pairs_n <= PLAIN_PAIRS_PER_ROW * max(rows_n, 1):
+        found = [overlap_above(a, b, ["a"], ["b"], 0.0, True, prefix_filter=False)
+                 .filter(F.col("a") != F.col("b"))]
+    else:
+        found, left = [], a
+        for t in cascade:
+            hits = (overlap_above(left, b, ["a"], ["b"], t, True, prefix_filter=True)
+                    .filter(F.col("a") != F.col("b")))
+            hits = materialize(hits, "best_match_level")
+            found.append(hits)
+            left = left.join(hits.select("a").distinct(), "a", "left_anti")
+        found.append(overlap_above(left, b, ["a"], ["b"], 0.0, True, prefix_filter=False)
+                     .filter(F.col("a") != F.col("b")))
+    pairs = found[0].select("a", "b", "overlap", "coef")
+    for more in found[1:]:
+        pairs = pairs.unionByName(more.select("a", "b", "overlap", "coef"))
     best = best_match(pairs, "a", "b")
     keys_a = ob.select(F.col("ord").alias("a"), *BASKET_KEYS)
     keys_b = ob.select(F.col("ord").alias("b"), *[F.col(k).alias(f"match_{k}") for k in BASKET_KEYS])

@@ -50,3 +50,15 @@ def test_containment_target_and_coverage(spark):
     assert vs == {0: (2 / 3, 2)}
     cov = bk.target_coverage(models, target).first()
     assert (cov.uncovered, cov.target_size, cov.pct_text) == (3, 5, "60.0%")
+
+
+def test_best_match_cascade_equals_plain(spark, monkeypatch):
+    import flockwatch.operators.baskets as bmod
+    rng = random.Random(21)
+    sets = [{f"a{x}" for x in rng.sample(range(20), rng.randint(1, 12))} | ({"HOT"} if rng.random() < 0.8 else set())
+            for _ in range(40)]
+    m = _members(spark, sets)
+    plain = sorted(map(tuple, bk.basket_best_match(m).collect()))
+    monkeypatch.setattr(bmod, "PLAIN_PAIRS_PER_ROW", 0.0)  # force the cascade
+    cascade = sorted(map(tuple, bk.basket_best_match(m).collect()))
+    assert cascade == plain and len(plain) == 40

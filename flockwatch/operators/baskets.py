@@ -171,7 +171,7 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
 
 def containment_search(members: DataFrame, target: DataFrame, threshold: float = CONTAINMENT,
                        broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Op 37: baskets B with |T n B| / |T| > threshold, with basket size.
+    """Op 37: baskets B with |T n B| / |T| > threshold, ordered by basket size.
 
     An empty target yields no rows.  The target is broadcast only when its
     counted size is small; the join is on the account column.
@@ -187,7 +187,8 @@ def containment_search(members: DataFrame, target: DataFrame, threshold: float =
     return (hits.filter(F.col("overlap") / F.lit(float(t_size)) > threshold)
                 .join(sizes, BASKET_KEYS)
                 .select(*BASKET_KEYS, "overlap", "basket_size",
-                        F.lit(t_size).cast("long").alias("t_size")))
+                        F.lit(t_size).cast("long").alias("t_size"))
+                .orderBy("basket_size", *BASKET_KEYS))
 
 
 def target_vs_sets(model_members: DataFrame, target: DataFrame,

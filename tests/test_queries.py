@@ -57,3 +57,16 @@ def test_entry_smoke(spark):
     df = se.entry(spark)
     assert df.columns == ["trade_date", "fund", "side", "n_accts", "total", "mean", "std_dev", "z"]
     assert df.count() == 8
+
+
+BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
+          "PythonUDF")
+MINING = {"recurring_sets", "recurring_set_trades", "recurring_set_summary", "sets_union_export",
+          "mined_trade_analysis_firm", "mined_participation_runs"}
+
+
+@pytest.mark.parametrize("name", sorted(set(se.queries()) - MINING))
+def test_plans_have_no_cross_products_or_python(spark, name):
+    df = se.queries()[name](spark, SF_SMALL)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not [b for b in BANNED if b in plan], plan

@@ -41,6 +41,8 @@ to the shared checkpoint folder after every round.
 
 from __future__ import annotations
 
+import os
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -49,7 +51,7 @@ from pyspark.sql import functions as F
 from flockwatch.operators.baskets import BASKET_KEYS, HIGH_RATIO, LOW_RATIO, ordered_baskets
 from flockwatch.operators.overlap import overlap_above
 from flockwatch.operators.ranking import global_positions
-from flockwatch.session import ensure_checkpoint_dir, materialize
+from flockwatch.session import ensure_checkpoint_dir, materialize, scratch_path
 
 # Fixed values that must equal the reference's defaults: minimum set sizes
 # 50, 100 and 200; 5 passes.
@@ -67,10 +69,19 @@ class MiningResult:
     trades: DataFrame       # (model_id, min_size, trade_date, fund, side)
     sets: DataFrame         # every current set: (model_id, min_size, set_size, n_baskets, repeated)
     rounds: list            # rounds per pass
+    scratch_dir: str = ""   # folder holding this run's tables; delete it once results are written
+
+
+_RUN_DIR: list = []
 
 
 def _cp(df: DataFrame) -> DataFrame:
-    return materialize(df, "mining")
+    """Write a step as Parquet under the current run's scratch folder."""
+    if not _RUN_DIR:
+        return materialize(df, "mining")
+    path = os.path.join(_RUN_DIR[-1], f"step-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
@@ -83,6 +94,17 @@ def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
     prefix-filtered join when the plain inverted index would emit too many rows
     (some accounts in a large share of baskets), True or False forces one.
     """
+    spark = members.sparkSession
+    _RUN_DIR.append(scratch_path(spark, "mining-run"))
+    try:
+        res = _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefix_filter)
+        res.scratch_dir = _RUN_DIR[-1]
+        return res
+    finally:
+        _RUN_DIR.pop()
+
+
+def _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefix_filter):
     spark = members.sparkSession
     ensure_checkpoint_dir(spark)
     ob = _cp(ordered_baskets(members))

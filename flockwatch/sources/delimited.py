@@ -96,8 +96,7 @@ def read_delimited(spark: SparkSession, path: str, delim_regex: str = QUOTE_AWAR
         raise ValueError(f"no lines in {path}")
     data_header = first.value
     name_line = _first_line(spark, header_path) if header_path else data_header
-    names = _split_names(name_line, delim_regex, True, True) if strip_quotes or trim else \
-        _split_names(name_line, delim_regex, False, False)
+    names = _split_names(name_line, delim_regex, strip_quotes, trim)
     return split_lines(lines, names, delim_regex, data_header, strip_quotes, trim,
                        keep_trailing_empty)
 

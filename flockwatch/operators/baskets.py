@@ -7,7 +7,7 @@ on the account column followed by a count per pair, never cross joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockwatch.operators.overlap import PLAIN_PAIRS_PER_ROW, inverted_index_size, overlap_above
@@ -103,11 +103,15 @@ def best_match(candidates: DataFrame, key: str, target: str, coef: str = "coef",
 
     Ties go to the oldest target (smallest ``age``, default the target id) —
     decision D6.  Rows with coefficient 0 never win (strict ``>`` from 0).
+    An arg-max aggregate (max over a (coef, -age, ...) struct), so candidates
+    are combined map-side before the shuffle, however many one key has.
     """
     age = age or target
-    w = Window.partitionBy(key).orderBy(F.col(coef).desc(), F.col(age).asc())
-    return (candidates.filter(F.col(coef) > 0).withColumn("_rn", F.row_number().over(w))
-                      .filter("_rn = 1").drop("_rn"))
+    others = [c for c in candidates.columns if c != key]
+    best = F.max(F.struct(F.col(coef).alias("_bm_c"), (-F.col(age)).alias("_bm_a"),
+                          *[F.col(c) for c in others])).alias("_bm")
+    return (candidates.filter(F.col(coef) > 0).groupBy(key).agg(best)
+                      .select(key, *[F.col(f"_bm.{c}").alias(c) for c in others]))
 
 
 CASCADE = (0.8, 0.5, 0.3, 0.2, 0.1)

@@ -45,7 +45,7 @@ import os
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flockwatch.operators.baskets import BASKET_KEYS, HIGH_RATIO, LOW_RATIO, ordered_baskets
@@ -155,10 +155,12 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=Non
                         prefix_filter=prefix_filter)
             .select("ms", "ord", "lin", F.col("overlap").alias("n"), "coef")
             .join(info.select("ms", "lin", "msize", "age"), ["ms", "lin"]))
-    w = Window.partitionBy("ms", "ord").orderBy(F.col("coef").desc(), F.col("age").asc())
-    best = (ov.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-              .select("ms", "ord", F.col("lin").alias("mlin"), "n", F.col("coef").alias("r"),
-                      "msize"))
+    # Arg-max aggregate (coef desc, age asc): combined map-side, skew-safe.
+    best = (ov.groupBy("ms", "ord")
+              .agg(F.max(F.struct(F.col("coef"), (-F.col("age")).alias("nage"), "lin", "n",
+                                  "msize")).alias("_b"))
+              .select("ms", "ord", F.col("_b.lin").alias("mlin"), F.col("_b.n").alias("n"),
+                      F.col("_b.coef").alias("r"), F.col("_b.msize").alias("msize")))
     mt = bsz.join(best, ["ms", "ord"], "left").fillna({"n": 0, "r": 0.0})
     r, n, bsize, msize = F.col("r"), F.col("n"), F.col("bsize"), F.col("msize")
     b_left, m_left = bsize - n, msize - n
@@ -200,10 +202,11 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=Non
     ovp = (ovp.join(mt.select("ms", "ord", "mlin", "reduce"), ["ms", "ord"])
               .filter(~(F.col("reduce") & (F.col("lin") == F.col("mlin"))))
               .join(info.select("ms", "lin", "age"), ["ms", "lin"]))
-    wp = Window.partitionBy("ms", "ord", "pos").orderBy(F.col("coef").desc(), F.col("age").asc())
-    TG = _keep(ovp.withColumn("_rn", F.row_number().over(wp))
-                .filter((F.col("_rn") == 1) & (F.col("coef") > high))
-                .select("ms", "ord", "pos", F.col("lin").alias("tlin")))
+    TG = _keep(ovp.groupBy("ms", "ord", "pos")
+                  .agg(F.max(F.struct(F.col("coef"), (-F.col("age")).alias("nage"), "lin"))
+                       .alias("_b"))
+                  .filter(F.col("_b.coef") > high)
+                  .select("ms", "ord", "pos", F.col("_b.lin").alias("tlin")))
     newp = PR.join(TG.select("ms", "ord", "pos"), ["ms", "ord", "pos"], "left_anti")
     # Writes of every pending basket: new models (wid = pos) and reductions (wid = 3).
     WR = _keep(newp.select("ms", "ord", F.col("pos").alias("wid"), "acct_key")

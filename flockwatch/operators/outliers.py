@@ -60,3 +60,12 @@ def outlier_trades(trades: DataFrame, start=None, end=None, window_days: int = W
     """
     flagged = outlier_groups(trades, start, end, window_days, threshold)
     return flagged.join(trades, ["trade_date", "fund", "side"], "inner").distinct()
+
+
+def flagged_preview(flagged: DataFrame, n: int = 20) -> DataFrame:
+    """Ops 24h, 24j: the most active flagged groups first (a top-n report).
+
+    Ordered by accounts descending with a full tie-break, so the n rows are
+    deterministic; Spark plans it as a per-partition top-n and one merge.
+    """
+    return flagged.orderBy(F.col("n_accts").desc(), "trade_date", "fund", "side").limit(n)

@@ -662,3 +662,15 @@ def q_frequent_itemsets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 40: all frequent itemsets (length, frequency) as the reference keeps them."""
     df = fi.frequent_itemsets(_members(spark, sf_dir, "A3"), num_partitions=None)
     return df.select(F.array_join("items", ",").alias("items"), "itemset_size", "freq")
+
+
+@register("flagged_preview", _SQL_SCORED.format(trades=ad.SQL_TRADES_A) + """
+select trade_date, fund, side, n_accts, total, round(mean, 9) mean, round(std_dev, 9) std_dev,
+       round(z, 9) z
+from s where z >= 2
+order by n_accts desc, trade_date, fund, side limit 20
+""")
+def q_flagged_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 24h, 24j: top 20 flagged groups by activity (adapter A)."""
+    df = outliers.flagged_preview(outliers.outlier_groups(ad.trades_by_supplier_nation(spark, sf_dir)))
+    return _round(df, "mean", "std_dev", "z")

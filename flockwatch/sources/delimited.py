@@ -63,14 +63,20 @@ def split_lines(lines: DataFrame, names: list[str], delim_regex: str, header_lin
     wrong width, a row with surplus empty trailing fields fits.  Rows of another
     width are dropped.
     """
-    v = F.col("value")
+    raw = F.col("value")
     if header_line is not None:
-        lines = lines.filter(v != F.lit(header_line))
+        lines = lines.filter(raw != F.lit(header_line))
+    v = raw
     if not keep_trailing_empty:
-        v = F.regexp_replace(v, f"(?:{delim_regex})+$", "")
+        v = F.regexp_replace(raw, f"(?:{delim_regex})+$", "")
     arr = F.split(v, delim_regex, -1)
+    width = F.size(arr)
+    if not keep_trailing_empty:
+        # A line of delimiters only has no fields at all once trailing empty
+        # fields are dropped (an empty line still has one).
+        width = F.when((v == "") & (raw != ""), F.lit(0)).otherwise(width)
     n = len(names)
-    parts = lines.select(arr.alias("_f")).filter(F.size("_f") == n)
+    parts = lines.select(arr.alias("_f"), width.alias("_w")).filter(F.col("_w") == n)
     return parts.select(*[_clean_field(F.col("_f")[i], strip_quotes, trim).alias(name)
                           for i, name in enumerate(names)])
 

@@ -88,3 +88,8 @@ def test_model_export_round_trip(spark, tmp_path):
     # Parquet table sink and source.
     sinks.write_table(mem, str(tmp_path / "pq"))
     assert sinks.read_table(spark, str(tmp_path / "pq")).count() == 3
+
+
+def test_line_of_delimiters_has_no_fields(spark, tmp_path):
+    df = delimited.read_delimited(spark, _write(tmp_path, "one.csv", ["only", "x", ",,", "", "y,"]))
+    assert sorted(r.only for r in df.collect()) == ["", "x", "y"]

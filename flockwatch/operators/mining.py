@@ -87,12 +87,13 @@ def _cp(df: DataFrame) -> DataFrame:
 def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
                    iterations: int = DEFAULT_ITERATIONS, high: float = HIGH_RATIO,
                    low: float = LOW_RATIO, max_rounds: int = 100_000,
-                   prefix_filter: bool | None = None) -> MiningResult:
+                   prefix_filter: bool | None = True) -> MiningResult:
     """Op 33-35 over basket members (trade_date, fund, side, acct_key).
 
-    ``prefix_filter`` is passed to every overlap join: None (default) picks the
-    prefix-filtered join when the plain inverted index would emit too many rows
-    (some accounts in a large share of baskets), True or False forces one.
+    ``prefix_filter`` is passed to every overlap join.  True (default) always
+    uses the exact prefix-filtered join: safe when some accounts occur in a
+    large share of baskets, and cheaper than a size check in every round.
+    None picks per join by a size check; False forces the plain index.
     """
     spark = members.sparkSession
     _RUN_DIR.append(scratch_path(spark, "mining-run"))

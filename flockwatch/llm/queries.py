@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flockwatch.llm.common import read_table
+from flockwatch.llm.decontaminate import contamination
 from flockwatch.llm.mixing import mix_by_source
 from flockwatch.llm.sharding import shard_documents
+from flockwatch.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,6 +26,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text of documents, learned outside the held-out fifth."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 @register("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards of near equal bytes; equal texts stay together."""
@@ -30,6 +41,43 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+SQL_OP6 = r"""
+with w as (select doc_id, row_number() over () as rid,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+           from documents),
+i as (select distinct item_id,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws
+      from benchmark),
+iw as (select distinct item_id, len(ws[s : s + least(13, len(ws)) - 1]) as k,
+              array_to_string(ws[s : s + least(13, len(ws)) - 1], ' ') as g
+       from (select item_id, ws, unnest(range(1, greatest(len(ws) - 13, 0) + 2)) as s from i where len(ws) > 0)),
+ks as (select distinct k from iw),
+dw as (select rid, k, s, array_to_string(ws[s : s + k - 1], ' ') as g
+       from (select rid, ws, k, unnest(range(1, len(ws) - k + 2)) as s from w, ks where len(ws) >= k)),
+m as (select rid, k, s, item_id from dw join iw using (k, g)),
+hit as (select rid, count(distinct p) as n_hit
+        from (select rid, unnest(range(s, s + k)) as p from (select distinct rid, k, s from m)) group by rid),
+its as (select rid, count(distinct cast(item_id as varchar)) as n_items,
+               string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids
+        from m group by rid)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from w left join hit using (rid) left join its using (rid)
+"""
+
+
+@register("op6_decontamination", SQL_OP6)
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every whole document, and the contamination rule."""
+    out = contamination(read_table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        read_table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 @register("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights of their sources."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flockwatch.llm.common import read_table
 from flockwatch.llm.decontaminate import contamination
+from flockwatch.llm.jaccard import linked_components
 from flockwatch.llm.mixing import mix_by_source
 from flockwatch.llm.sharding import shard_documents
 from flockwatch.llm.toxicity import toxicity
@@ -78,6 +79,13 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+@register("op7_jaccard")
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under exact five-word Jaccard links of 0.8 and more."""
+    out = linked_components(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
 @register("op10_mixing")
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights of their sources."""

@@ -35,8 +35,8 @@ from flockwatch.session import materialize
 
 BITS = 22
 MAX_TRAIN_ROWS = 16384
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 5
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 FOLDS = 5
 
 _WORD = re.compile(r"\w+")

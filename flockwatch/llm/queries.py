@@ -12,6 +12,8 @@ from flockwatch.llm.decontaminate import contamination
 from flockwatch.llm.jaccard import linked_components
 from flockwatch.llm.mixing import mix_by_source
 from flockwatch.llm.sharding import shard_documents
+from flockwatch.llm.suffixdedup import digest as repeat_digest
+from flockwatch.llm.suffixdedup import remove_repeats
 from flockwatch.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +37,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+@register("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole document covered by a 200-byte string that also starts elsewhere, removed."""
+    out = remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", *repeat_digest(), "kept_sha256")
+
+
 @register("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards of near equal bytes; equal texts stay together."""

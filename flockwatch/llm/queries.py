@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockwatch.llm.chunkdedup import remove_chunks
 from flockwatch.llm.common import read_table
 from flockwatch.llm.decontaminate import contamination
 from flockwatch.llm.jaccard import linked_components
+from flockwatch.llm.linededup import dedup_lines
 from flockwatch.llm.mixing import mix_by_source
 from flockwatch.llm.sharding import shard_documents
 from flockwatch.llm.suffixdedup import digest as repeat_digest
@@ -37,6 +39,28 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+SQL_OP2 = r"""
+with l as (select rid, doc_id, i, xs[i] as line,
+                  translate(trim(xs[i], e' \t\n\x0b\x0c\r'),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k
+           from (select rid, doc_id, xs, unnest(range(1, len(xs) + 1)) as i
+                 from (select row_number() over () as rid, doc_id, string_split(coalesce(text, ''), chr(10)) as xs
+                       from documents))),
+o as (select k, min(doc_id) as owner from l where length(k) >= 10 group by k having count(distinct doc_id) > 1),
+m as (select l.*, owner is not null and doc_id <> owner as gone from l left join o using (k))
+select doc_id, count(*) as n_lines, cast(count(*) filter (gone) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from m group by rid, doc_id
+"""
+
+
+@register("op2_line_dedup", SQL_OP2)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every whole document that an earlier document holds too, dropped."""
+    out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register("op3_suffix_dedup")
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every whole document covered by a 200-byte string that also starts elsewhere, removed."""
@@ -51,6 +75,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@register("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of content-defined chunks of every whole document that stand elsewhere first, removed."""
+    out = remove_chunks(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_chunks", "n_repeated", *repeat_digest(), "kept_sha256")
+
+
 SQL_OP6 = r"""
 with w as (select doc_id, row_number() over () as rid,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

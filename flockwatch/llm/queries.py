@@ -13,6 +13,7 @@ from flockwatch.llm.decontaminate import contamination
 from flockwatch.llm.jaccard import linked_components
 from flockwatch.llm.linededup import dedup_lines
 from flockwatch.llm.mixing import mix_by_source
+from flockwatch.llm.neardup import near_duplicates
 from flockwatch.llm.sharding import shard_documents
 from flockwatch.llm.suffixdedup import digest as repeat_digest
 from flockwatch.llm.suffixdedup import remove_repeats
@@ -75,6 +76,12 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(docs, 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+@register("op8_embedding_dedup")
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all embeddings under cosine links of 0.95 and more."""
+    return near_duplicates(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 @register("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of content-defined chunks of every whole document that stand elsewhere first, removed."""

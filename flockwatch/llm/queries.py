@@ -17,6 +17,7 @@ from flockwatch.llm.neardup import near_duplicates
 from flockwatch.llm.sharding import shard_documents
 from flockwatch.llm.suffixdedup import digest as repeat_digest
 from flockwatch.llm.suffixdedup import remove_repeats
+from flockwatch.llm.tokencount import recount
 from flockwatch.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +90,13 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_chunks", "n_repeated", *repeat_digest(), "kept_sha256")
 
 
+@register("op5_token_counts")
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole document before and after its mail addresses and long numbers are masked."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recount(docs).select("doc_id", "tokens_before", "n_edits", "tokens_after", "n_encoded")
+
+
 SQL_OP6 = r"""
 with w as (select doc_id, row_number() over () as rid,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

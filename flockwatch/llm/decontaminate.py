@@ -58,7 +58,9 @@ def _prefix_index(items: DataFrame, counts: DataFrame, window: int) -> DataFrame
     ranked = (at.join(counts, "word", "left")
               .groupBy("_item").agg(F.array_sort(F.collect_list(F.struct(
                   "pos", F.coalesce("n", F.lit(0)).alias("n")))).alias("_r")))
-    ranked = ranked.withColumn("_r", F.transform("_r", lambda x: F.struct(x["n"].alias("n"), x["pos"].alias("q"))))
+    # Of equally rare words those at multiples of the window: each window holds one, so repeats share a position.
+    ranked = ranked.withColumn("_r", F.transform("_r", lambda x: F.struct(
+        x["n"].alias("n"), F.pmod(x["pos"], F.lit(window)).alias("m"), x["pos"].alias("q"))))
     length = F.size("_r")
     span = F.least(F.lit(window), length)
     rarest = F.transform(F.sequence(F.lit(0), length - span),
@@ -71,18 +73,24 @@ def _prefix_index(items: DataFrame, counts: DataFrame, window: int) -> DataFrame
 def _verified(candidates: DataFrame, window: int) -> DataFrame:
     """Candidates (``_w``, ``_iw``, ``_p``, ``_q``) whose equal run around the position holds a window: [a, b).
 
-    The comparison is the argument of a generator, so the optimizer cannot move
-    it into the join, where it would keep positions from being streamed.
+    Only the aligned words leave the join, never a whole document per
+    candidate.  The comparison is the argument of a generator, so the optimizer
+    cannot move it into the join, where it would keep positions from being
+    streamed.
     """
-    d, q = F.col("_p") - F.col("_q"), F.col("_q")
+    d = F.col("_p") - F.col("_q")
     span = F.least(F.lit(window), F.size("_iw"))
     lo, hi = F.greatest(F.lit(0), -d), F.least(F.size("_iw"), F.size("_w") - d)
-    differ = F.filter(F.sequence(lo, hi - 1), lambda j: F.get(F.col("_w"), d + j) != F.get(F.col("_iw"), j))
+    others = [c for c in candidates.columns if c not in ("_w", "_p", "_word")]
+    aligned = (candidates.where(hi - lo >= span)
+               .select(*others, d.alias("_d"), lo.alias("_lo"), hi.alias("_hi"),
+                       F.slice("_w", d + lo + 1, hi - lo).alias("_s")))
+    d, q, lo, hi = (F.col(c) for c in ("_d", "_q", "_lo", "_hi"))
+    differ = F.filter(F.sequence(lo, hi - 1), lambda j: F.get(F.col("_s"), j - lo) != F.get(F.col("_iw"), j))
     run = F.transform(F.array(differ), lambda x: F.struct(
         (F.coalesce(F.array_max(F.filter(x, lambda j: j < q)), lo - 1) + 1 + d).alias("a"),
         (F.coalesce(F.array_min(F.filter(x, lambda j: j > q)), hi) + d).alias("b")))
-    return (candidates.where(hi - lo >= span)
-            .select("*", F.inline(F.filter(run, lambda r: r["b"] - r["a"] >= span))))
+    return aligned.select("*", F.inline(F.filter(run, lambda r: r["b"] - r["a"] >= span)))
 
 
 def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW,
@@ -104,7 +112,8 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         narrow = (positions.select(id_col, "_th", "_p", "_word")
                   .join(index.select("_word", "_item", "_q"), "_word")
                   .select(id_col, "_th", "_p", "_item", "_q"))
-        fetched = join_on_row_key(narrow, words, id_col, "inner").join(items, "_item")
+        # The documents' words come last, so that no row that carries them is shuffled again.
+        fetched = join_on_row_key(narrow.join(items, "_item"), words, id_col, "inner")
         found = _verified(fetched, window)
     per_doc = (found.select(id_col, "_th", "item_id", "a", "b")
                .groupBy(id_col, "_th")

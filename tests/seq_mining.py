@@ -1,92 +1,71 @@
-"""Sequential brute-force simulation of recurring-set mining (rules R1-R6).
+"""Recurring-set mining one basket at a time, from a table of decisions over the rules R1-R6.
 
-Test oracle only: one basket at a time in order, as the reference's driver
-loop does, with ties to the oldest lineage (D6) and repeated meaning more than
-one distinct basket (D7).
+Test oracle only.  A basket is placed in a zone by its best coefficient, and
+the sizes left over on either side choose a row of ``DECISIONS``; the row's
+steps are then carried out in order.
 """
 
 from __future__ import annotations
 
-
-def _best(sets_current, s):
-    best_r, best_i, best_n = 0.0, None, 0
-    for i, m in enumerate(sets_current):
-        n = len(s & m)
-        if not s or not m:
-            continue
-        r = max(n / len(s), n / len(m))
-        if r > best_r:
-            best_r, best_i, best_n = r, i, n
-    return best_r, best_i, best_n
-
-
-def mine(baskets, min_size, iterations, high=0.8, low=0.2):
-    """``baskets``: list of (key, set) already in processing order.
-
-    Returns a list of lineages: dict(versions=[set...], occ=set of basket keys
-    credited to the current version in the last iteration).
-    """
-    lineages = []  # each: {"versions": [set], "occ": set()}
-
-    for _ in range(iterations):
-        for lin in lineages:
-            lin["occ"] = set()
-        for key, basket in baskets:
-            cur = set(basket)
-
-            def tops():
-                return [lin["versions"][-1] for lin in lineages]
-
-            def new_model(accts):
-                lineages.append({"versions": [set(accts)], "occ": {key}})
-
-            def increment(i):
-                lineages[i]["occ"].add(key)
-
-            def add_new(accts, check=True):
-                if check:
-                    r, i, _ = _best(tops(), accts)
-                    if r > high:
-                        increment(i)
-                        return
-                new_model(accts)
-
-            def reduce_model(i):
-                red = lineages[i]["versions"][-1] & cur
-                if len(red) > min_size:
-                    lineages[i]["versions"].append(red)
-                    lineages[i]["occ"] = {key}
-
-            r, i, n = _best(tops(), cur)
-            if r > high:
-                model = lineages[i]["versions"][-1]
-                m_minus = len(model) - n
-                c_minus = len(cur) - n
-                if c_minus >= min_size and m_minus < min_size:
-                    add_new(cur - model)
-                    increment(i)
-                elif m_minus >= min_size and c_minus < min_size:
-                    diff = model - cur
-                    reduce_model(i)
-                    add_new(diff)
-                elif c_minus >= min_size and m_minus >= min_size:
-                    d1, d2 = cur - model, model - cur
-                    reduce_model(i)
-                    add_new(d1)
-                    add_new(d2)
-                else:
-                    increment(i)
-            elif r > low:
-                if len(cur) - n >= min_size:
-                    add_new(cur - lineages[i]["versions"][-1])
+from dataclasses import dataclass, field
+
+# (zone, basket has enough left, set has enough left) -> steps
+DECISIONS = {
+    ("far", True, True): ["found"], ("far", True, False): ["found"],
+    ("part", True, True): ["offer basket rest"], ("part", True, False): ["offer basket rest"],
+    ("near", True, False): ["offer basket rest", "count"],
+    ("near", False, True): ["shrink", "offer set rest"],
+    ("near", True, True): ["shrink", "offer basket rest", "offer set rest"],
+    ("near", False, False): ["count"],
+}
+
+
+@dataclass
+class Line:
+    now: frozenset
+    seen: set = field(default_factory=set)
+
+
+def coefficient(x, y) -> float:
+    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+
+def nearest(lines: list[Line], x) -> tuple[float, Line | None]:
+    """Best coefficient and its line, the oldest on a tie; no line if nothing overlaps."""
+    ranked = sorted(((coefficient(x, line.now), -age) for age, line in enumerate(lines)), reverse=True)
+    if not ranked or ranked[0][0] == 0:
+        return 0.0, None
+    return ranked[0][0], lines[-ranked[0][1]]
+
+
+def one_basket(lines: list[Line], key, basket: frozenset, min_size: int, high: float, low: float) -> None:
+    r, line = nearest(lines, basket)
+    zone = "near" if r > high else "part" if r > low else "far"
+    known = line.now if line and zone != "far" else frozenset()
+    rest = {"basket": basket - known, "set": known - basket}
+    row = (zone, len(rest["basket"]) >= min_size, len(rest["set"]) >= min_size)
+    for step in DECISIONS.get(row, []):
+        if step == "found":
+            lines.append(Line(basket, {key}))
+        elif step == "count":
+            line.seen.add(key)
+        elif step == "shrink" and len(known & basket) > min_size:
+            line.now, line.seen = known & basket, {key}
+        elif step.startswith("offer"):
+            offer = frozenset(rest[step.split()[1]])
+            again, other = nearest(lines, offer)
+            if again > high:
+                other.seen.add(key)
             else:
-                if len(cur) >= min_size:
-                    add_new(cur, check=False)
-    return lineages
-
-
-def summary(lineages):
-    """(all current sets, repeated current sets) as frozensets with occurrences."""
-    cur = {frozenset(l["versions"][-1]): frozenset(l["occ"]) for l in lineages}
-    rep = {s: o for s, o in cur.items() if len(o) > 1}
-    return cur, rep
+                lines.append(Line(offer, {key}))
+
+
+def mine(baskets, min_size: int, passes: int, high: float = 0.8, low: float = 0.2) -> list[Line]:
+    """``baskets``: (key, accounts) in processing order; the lines after the last pass."""
+    lines: list[Line] = []
+    for _ in range(passes):
+        for line in lines:
+            line.seen = set()
+        for key, accounts in baskets:
+            one_basket(lines, key, frozenset(accounts), min_size, high, low)
+    return lines

@@ -1,20 +1,45 @@
 import datetime as dt
+import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 import seq_mining
 from flockwatch.operators import itemsets, mining
 
-D1, D2 = dt.date(2012, 2, 1), dt.date(2012, 2, 2)
-SIX = {
-    "FA": (["A%d" % i for i in range(1, 6)], ["A%d" % i for i in range(1, 7)]),
-    "FB": (["B%d" % i for i in range(1, 6)], ["B%d" % i for i in range(1, 9)]),
-    "FC": (["C%d" % i for i in range(0, 17)], ["C%d" % i for i in range(3, 18)] + ["C20"]),
-    "FD": (["D%d" % i for i in list(range(0, 6)) + list(range(7, 17))],
-           ["D%d" % i for i in list(range(3, 6)) + list(range(7, 20))]),
-    "FE": (["E3", "E4", "E5"], ["E4", "E5", "E7", "E8", "E9"]),
-    "FF": (["F3", "F4", "F5"], ["F4", "F5", "F7", "F8"]),
+DAY1, DAY2, DAY3 = (dt.date(2021, 5, d) for d in (3, 4, 5))
+
+
+def _named(prefix, *numbers):
+    return [f"{prefix}{n}" for n in numbers]
+
+
+# One fund per rule, minimum size 2; accounts of different funds never meet, so cases are independent.
+# fund: baskets in order of size, then {pass count: [(set, baskets that credit it)]} worked out by hand.
+CASES = {
+    # R1: nothing in common, both are new.
+    "new": ([_named("p", 1, 2, 3), _named("q", 1, 2, 3, 4)],
+            {1: [("p1 p2 p3", 1), ("q1 q2 q3 q4", 1)], 2: [("p1 p2 p3", 1), ("q1 q2 q3 q4", 1)]}),
+    # R1 below the minimum size: nothing.
+    "tiny": ([_named("o", 1)], {1: [], 2: []}),
+    # R2, 2 of 5: the rest of the second basket is new.
+    "part": ([_named("r", 1, 2, 3, 4, 5), _named("r", 1, 2, 6, 7, 8, 9)],
+             {1: [("r1 r2 r3 r4 r5", 1), ("r6 r7 r8 r9", 1)]}),
+    # R2, 3 of 4, with too little left.
+    "stub": ([_named("t", 1, 2, 3, 4), _named("t", 1, 2, 3, 5)], {1: [("t1 t2 t3 t4", 1)], 2: [("t1 t2 t3 t4", 1)]}),
+    # R3, little left on both sides: counted.
+    "same": ([_named("k", 1, 2, 3), _named("k", 1, 2, 3, 4)], {1: [("k1 k2 k3", 2)], 2: [("k1 k2 k3", 2)]}),
+    # R3, the basket has more: counted, and the rest is new; the second pass finds it (R4).
+    "more": ([_named("u", 1, 2, 3), _named("u", 1, 2, 3, 4, 5)],
+             {1: [("u1 u2 u3", 2), ("u4 u5", 1)], 2: [("u1 u2 u3", 2), ("u4 u5", 1)]}),
+    # R4: what is left is known already, so that set is counted.
+    "know": ([_named("v", 1, 2, 3), _named("w", 1, 2, 3, 4), _named("v", 1, 2, 3) + _named("w", 1, 2, 3, 4)],
+             {1: [("v1 v2 v3", 2), ("w1 w2 w3 w4", 2)], 2: [("v1 v2 v3", 2), ("w1 w2 w3 w4", 2)]}),
+    # R3 and R5, 10 of 12 in common, enough left on both sides: the set shrinks, both rests are new;
+    # in the second pass both baskets count the common set and one rest each.
+    "both": ([_named("m", *range(1, 13)), _named("m", *range(1, 11), 13, 14, 15)],
+             {1: [("m1 m10 m2 m3 m4 m5 m6 m7 m8 m9", 1), ("m11 m12", 1), ("m13 m14 m15", 1)],
+              2: [("m1 m10 m2 m3 m4 m5 m6 m7 m8 m9", 2), ("m11 m12", 1), ("m13 m14 m15", 1)]}),
 }
 
 
@@ -32,19 +57,39 @@ def _spark_result(res):
     return sets, mem, occ
 
 
-def test_six_case_fixture(spark):
-    rows = [(d, f, "R", a) for f, (x, y) in SIX.items() for d, accts in ((D1, x), (D2, y)) for a in accts]
-    for iters in (1, 2):
-        res = mining.recurring_sets(_frame(spark, rows), min_sizes=(3,), iterations=iters)
-        sets, mem, occ = _spark_result(res)
-        assert len(sets) == 11
-        rep = sorted(tuple(sorted(v)) for v in mem.values())
-        d_set = tuple(sorted(["D%d" % i for i in list(range(3, 6)) + list(range(7, 17))]))
-        if iters == 1:
-            assert d_set not in rep and len(rep) == 3
-        else:
-            assert d_set in rep and len(rep) == 4
-            assert res.rounds[-1] == 1
+def _case_rows():
+    return [(day, fund, "R", a) for fund, (baskets, _) in CASES.items()
+            for day, accounts in zip((DAY1, DAY2, DAY3), baskets, strict=False) for a in accounts]
+
+
+@pytest.mark.parametrize("fund", sorted(CASES))
+def test_decision_table_by_hand(fund):
+    """The sequential oracle itself, against the goldens."""
+    baskets, golden = CASES[fund]
+    for passes, want in golden.items():
+        lines = seq_mining.mine(list(enumerate(baskets)), 2, passes)
+        assert sorted((" ".join(sorted(x.now)), len(x.seen)) for x in lines) == sorted(want)
+
+
+@pytest.mark.parametrize("passes", [1, 2])
+def test_one_case_per_rule(spark, passes):
+    known = {f: g[passes] for f, (_, g) in CASES.items() if passes in g}
+    rows = [r for r in _case_rows() if r[1] in known]
+    res = mining.recurring_sets(_frame(spark, rows), min_sizes=(2,), iterations=passes)
+    sets, mem, occ = _spark_result(res)
+    want = [x for g in known.values() for x in g]
+    assert sorted((r.set_size, r.n_baskets) for r in sets.values()) == sorted((len(s.split()), n) for s, n in want)
+    assert sorted((" ".join(sorted(a)), len(occ[i])) for i, a in mem.items()) == sorted(x for x in want if x[1] > 1)
+
+
+def test_set_that_would_shrink_to_the_minimum_stays(spark):
+    """R5 is strict: two common accounts are not more than three, so the larger set is counted instead (R4)."""
+    rows = ([(DAY1, "F", "R", a) for a in _named("z", 1, 2)]
+            + [(DAY2, "F", "R", a) for a in _named("z", 1, 2, 3, 4, 5, 6)])
+    res = mining.recurring_sets(_frame(spark, rows), min_sizes=(3,), iterations=2)
+    sets, mem, occ = _spark_result(res)
+    assert [(r.set_size, r.n_baskets) for r in sets.values()] == [(6, 2)]
+    assert [sorted(a) for a in mem.values()] == [_named("z", 1, 2, 3, 4, 5, 6)]
 
 
 def _random_collections(seed, k):
@@ -85,8 +130,7 @@ def test_rounds_equal_sequential_on_random_collections(spark, seed, k, prefix):
         for ms in ms_list:
             lin = seq_mining.mine(order, ms, iters)
             exp_sets[ms] += len(lin)
-            exp = sorted((tuple(sorted(l["versions"][-1])), tuple(sorted(l["occ"])))
-                         for l in lin if len(l["occ"]) > 1)
+            exp = sorted((tuple(sorted(x.now)), tuple(sorted(x.seen))) for x in lin if len(x.seen) > 1)
             assert sorted(got.get((f"K{c:03d}", ms), [])) == exp, (c, ms)
     assert dict(n_sets) == dict(exp_sets)
 
@@ -101,20 +145,13 @@ def test_input_partitioning_does_not_change_result(spark):
     assert len(sa) == len(sb)
 
 
-def test_itemsets_golden(spark):
-    baskets = ["1-5", "4,5,6", "1-5", "3-6", "2-5", "1-4", "4-9", "4,5,6,9,10", "1,2,9,10",
-               "4,5,6,9,10", "2,4,9,10"]
-    rows = []
-    for i, b in enumerate(baskets):
-        if "-" in b and "," not in b:
-            lo, hi = map(int, b.split("-"))
-            items = range(lo, hi + 1)
-        else:
-            items = map(int, b.split(","))
-        rows += [(dt.date(2012, 2, 1) + dt.timedelta(days=i), "F1", "R", f"A{n}") for n in items]
-    fi = itemsets.frequent_itemsets(_frame(spark, rows), num_partitions=2).collect()
-    by = defaultdict(list)
-    for r in fi:
-        by[r.itemset_size].append(r.freq)
-    assert {k: len(v) for k, v in by.items()} == {1: 8, 2: 21, 3: 21, 4: 10, 5: 2}
-    assert {k: max(v) for k, v in by.items()} == {1: 10, 2: 8, 3: 5, 4: 3, 5: 2}
+def test_itemsets_by_counting(spark):
+    rng = random.Random(21)
+    baskets = [rng.sample(range(20, 29), rng.randint(2, 6)) for _ in range(14)]
+    rows = [(dt.date(2022, 1, 1) + dt.timedelta(days=i), "F1", "R", f"acct{n}")
+            for i, b in enumerate(baskets) for n in b]
+    want = Counter(c for b in baskets for k in range(1, 7) for c in itertools.combinations(sorted(b), k))
+    want = {tuple(f"acct{n}" for n in c): f for c, f in want.items() if f >= 0.1 * len(baskets)}
+    got = itemsets.frequent_itemsets(_frame(spark, rows), num_partitions=2).collect()
+    assert {tuple(sorted(r["items"])): r["freq"] for r in got} == want
+    assert {r["itemset_size"] for r in got} >= {1, 2, 3}

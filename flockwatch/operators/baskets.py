@@ -166,22 +166,14 @@ def target_accounts(members: DataFrame, trade_date, fund: str, side: str) -> Dat
                    .select("acct_key").distinct())
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, int]:
-    """Count ``df``; broadcast it only if the count is within ``max_rows``, else
-    leave the strategy to the planner (shuffle join).  Returns (df, count)."""
-    n = df.count()
-    return (F.broadcast(df) if n <= max_rows else df), n
-
-
-def containment_search(members: DataFrame, target: DataFrame, threshold: float = CONTAINMENT,
-                       broadcast_rows: int = 1_000_000) -> DataFrame:
+def containment_search(members: DataFrame, target: DataFrame, threshold: float = CONTAINMENT) -> DataFrame:
     """Op 37: baskets B with |T n B| / |T| > threshold, ordered by basket size.
 
-    An empty target yields no rows.  The target is broadcast only when its
-    counted size is small; the join is on the account column.
+    An empty target yields no rows.  The join is on the account column; the
+    planner broadcasts the target when its size in bytes allows.
     """
-    t = target.select("acct_key").distinct()
-    tb, t_size = sized_broadcast(t, broadcast_rows)
+    tb = target.select("acct_key").distinct()
+    t_size = tb.count()
     if t_size == 0:
         return members.limit(0).select(*BASKET_KEYS, F.lit(0).cast("long").alias("overlap"),
                                        F.lit(0).cast("long").alias("basket_size"),
@@ -195,14 +187,13 @@ def containment_search(members: DataFrame, target: DataFrame, threshold: float =
                 .orderBy("basket_size", *BASKET_KEYS))
 
 
-def target_vs_sets(model_members: DataFrame, target: DataFrame,
-                   broadcast_rows: int = 1_000_000) -> DataFrame:
+def target_vs_sets(model_members: DataFrame, target: DataFrame) -> DataFrame:
     """Op 38: models whose overlap with T reaches the model's min size.
 
     Reports (model_id, min_size, overlap / |model|, overlap).  Returned as a
     DataFrame, the rows the reference meant to collect (D8).
     """
-    t, _ = sized_broadcast(target.select("acct_key").distinct(), broadcast_rows)
+    t = target.select("acct_key").distinct()
     mm = model_members.select("model_id", "min_size", "acct_key").distinct()
     sizes = mm.groupBy("model_id", "min_size").agg(F.count(F.lit(1)).alias("model_size"))
     hits = mm.join(t, "acct_key").groupBy("model_id", "min_size").agg(

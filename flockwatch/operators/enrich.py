@@ -35,8 +35,10 @@ def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
            values: list[str], on_missing: str = "error", label: str | None = None) -> DataFrame:
     """Op 23: attach ``values`` of ``dim`` where ``dim_key`` equals ``fact_key``.
 
-    ``on_missing="error"``: a fact key absent from the dimension fails the job
-    when the row is evaluated (lazy guard in the same pass, no extra scan);
+    ``on_missing="error"``: a fact key absent from the dimension fails the job,
+    in any row that later filters on fact columns do not remove first;
+    ``"flag"``: the guard is left to the caller, who finds the message for an
+    unknown key (else NULL) in the column ``_missing``;
     ``"drop"``: such rows are dropped (inner join).  Dimensions are small and
     are broadcast by adaptive execution when their measured size allows.
     """
@@ -44,23 +46,28 @@ def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     d = dedupe_dimension(dim, dim_key, values).withColumnRenamed(dim_key, "_lk_key")
     if on_missing == "drop":
         return fact.join(d, F.col(fact_key) == F.col("_lk_key"), "inner").drop("_lk_key")
-    if on_missing != "error":
-        raise ValueError(f"on_missing must be 'error' or 'drop', not {on_missing!r}")
+    if on_missing not in ("error", "flag"):
+        raise ValueError(f"on_missing must be 'error', 'flag' or 'drop', not {on_missing!r}")
     d = d.withColumn("_lk_hit", F.lit(True))
     out = fact.join(d, F.col(fact_key) == F.col("_lk_key"), "left")
     msg = F.concat(F.lit(f"key not found in {label}: "), F.coalesce(F.col(fact_key).cast("string"),
                                                                      F.lit("NULL")))
-    guarded = {v: F.when(F.col("_lk_hit").isNull(), F.raise_error(msg)).otherwise(F.col(v))
-               for v in values}
-    return out.withColumns(guarded).drop("_lk_key", "_lk_hit")
+    unknown = F.col("_lk_hit").isNull()
+    if on_missing == "flag":
+        before = F.col("_missing") if "_missing" in fact.columns else F.lit(None).cast("string")
+        return out.withColumn("_missing", F.coalesce(before, F.when(unknown, msg))).drop("_lk_key", "_lk_hit")
+    # A filter, so that the guard holds whichever columns are read.
+    return out.filter(F.when(unknown, F.raise_error(msg).cast("boolean")).otherwise(True)).drop("_lk_key", "_lk_hit")
 
 
 def eligibility(side: Column, feed_code: Column, feed_desc: Column, feed_location: Column,
-                trust_code: Column, sides=DEFAULT_SIDES,
+                trust_code: Column, trust_codes, sides=DEFAULT_SIDES,
                 excluded_feed_codes=DEFAULT_EXCLUDED_FEED_CODES,
                 excluded_feed_descs=DEFAULT_EXCLUDED_FEED_DESCS,
-                excluded_locations=DEFAULT_EXCLUDED_LOCATIONS, trust_codes=()) -> Column:
+                excluded_locations=DEFAULT_EXCLUDED_LOCATIONS) -> Column:
     """Op 22: conjunctive, case-sensitive eligibility predicate."""
+    if not trust_codes:
+        raise ValueError("trust_codes is empty: no trade would be eligible")
     return (side.isin(*sides)
             & ~feed_code.isin(*excluded_feed_codes)
             & ~feed_desc.isin(*excluded_feed_descs)
@@ -69,7 +76,7 @@ def eligibility(side: Column, feed_code: Column, feed_desc: Column, feed_locatio
 
 
 def build_trades(raw: DataFrame, side_dim: DataFrame, acct_dim: DataFrame, trust_dim: DataFrame,
-                 feed_dim: DataFrame, on_missing: str = "error", trust_codes=(),
+                 feed_dim: DataFrame, trust_codes, on_missing: str = "error",
                  sides=DEFAULT_SIDES, excluded_feed_codes=DEFAULT_EXCLUDED_FEED_CODES,
                  excluded_feed_descs=DEFAULT_EXCLUDED_FEED_DESCS,
                  excluded_locations=DEFAULT_EXCLUDED_LOCATIONS) -> DataFrame:
@@ -78,9 +85,12 @@ def build_trades(raw: DataFrame, side_dim: DataFrame, acct_dim: DataFrame, trust
     Lookups: side code by trade class key; trust key by product account, trust
     code by trust key; feed code, description and location by feed key.  Under
     ``on_missing="error"`` an unknown key in any row fails the job, whether or
-    not the row is eligible.
+    not the row is eligible: guard and eligibility are one predicate over all
+    four lookups, which cannot sink below any of them.
     """
     df = raw
+    strict = on_missing == "error"
+    on_missing = "flag" if strict else on_missing
     df = lookup(df, side_dim, "trade_class_key", "trade_class_key", ["trade_class_code"],
                 on_missing, "side dimension")
     df = lookup(df, acct_dim.withColumnRenamed("acct_key", "_acct_dim_key"), "prdct_acct_key",
@@ -91,8 +101,11 @@ def build_trades(raw: DataFrame, side_dim: DataFrame, acct_dim: DataFrame, trust
                 "_feed_dim_key", ["feed_code", "feed_desc", "feed_location_code"], on_missing,
                 "feed dimension")
     keep = eligibility(F.col("trade_class_code"), F.col("feed_code"), F.col("feed_desc"),
-                       F.col("feed_location_code"), F.col("trust_code"), sides,
-                       excluded_feed_codes, excluded_feed_descs, excluded_locations, trust_codes)
+                       F.col("feed_location_code"), F.col("trust_code"), trust_codes, sides,
+                       excluded_feed_codes, excluded_feed_descs, excluded_locations)
+    if strict:
+        keep = F.when(F.col("_missing").isNotNull(),
+                      F.raise_error(F.col("_missing")).cast("boolean")).otherwise(keep)
     return df.filter(keep).select(
         parse_yyyymmdd("trade_date_key").alias("trade_date"),
         F.col("prdct_acct_key").alias("fund"),

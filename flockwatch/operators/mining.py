@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 from flockwatch.operators.baskets import BASKET_KEYS, HIGH_RATIO, LOW_RATIO, ordered_baskets
 from flockwatch.operators.overlap import overlap_above
 from flockwatch.operators.ranking import global_positions
-from flockwatch.session import ensure_checkpoint_dir, materialize, scratch_path
+from flockwatch.session import ensure_checkpoint_dir, scratch_path
 
 # Fixed values that must equal the reference's defaults: minimum set sizes
 # 50, 100 and 200; 5 passes.
@@ -72,16 +72,13 @@ class MiningResult:
     scratch_dir: str = ""   # folder holding this run's tables; delete it once results are written
 
 
-_RUN_DIR: list = []
-
-
-def _cp(df: DataFrame) -> DataFrame:
-    """Write a step as Parquet under the current run's scratch folder."""
-    if not _RUN_DIR:
-        return materialize(df, "mining")
-    path = os.path.join(_RUN_DIR[-1], f"step-{uuid.uuid4().hex[:12]}")
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _writer(folder: str):
+    """A function that writes a step as Parquet under the run's scratch folder and reads it back."""
+    def write(df: DataFrame) -> DataFrame:
+        path = os.path.join(folder, f"step-{uuid.uuid4().hex[:12]}")
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.parquet(path)
+    return write
 
 
 def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
@@ -95,16 +92,13 @@ def recurring_sets(members: DataFrame, min_sizes=DEFAULT_MIN_SIZES,
     (some accounts in a large share of baskets), True or False forces one.
     """
     spark = members.sparkSession
-    _RUN_DIR.append(scratch_path(spark, "mining-run"))
-    try:
-        res = _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefix_filter)
-        res.scratch_dir = _RUN_DIR[-1]
-        return res
-    finally:
-        _RUN_DIR.pop()
+    folder = scratch_path(spark, "mining-run")
+    res = _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefix_filter, _writer(folder))
+    res.scratch_dir = folder
+    return res
 
 
-def _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefix_filter):
+def _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefix_filter, _cp):
     spark = members.sparkSession
     ensure_checkpoint_dir(spark)
     ob = _cp(ordered_baskets(members))

@@ -26,12 +26,12 @@ def rolling_stats(shared: DataFrame, window_days: int = WINDOW_DAYS) -> DataFram
     a partition holds at most one row per calendar day, whatever the data size.
     n=1 gives sd 0 (Spark's NULL is mapped to 0).
     """
-    w = (Window.partitionBy("fund", "side")
-               .orderBy(F.unix_date("trade_date"))
-               .rangeBetween(-window_days, 0))
-    return (shared
-            .withColumn("mean", F.avg("share").over(w))
-            .withColumn("std_dev", F.coalesce(F.stddev_samp("share").over(w), F.lit(0.0))))
+    w = Window.partitionBy("fund", "side").orderBy("_day").rangeBetween(-window_days, 0)
+    # The day number is a column first, so that both statistics share one window and one sort.
+    return (shared.withColumn("_day", F.unix_date("trade_date"))
+            .withColumns({"mean": F.avg("share").over(w),
+                          "std_dev": F.coalesce(F.stddev_samp("share").over(w), F.lit(0.0))})
+            .drop("_day"))
 
 
 def scored_groups(trades: DataFrame, start=None, end=None, window_days: int = WINDOW_DAYS,

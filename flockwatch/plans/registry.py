@@ -9,10 +9,12 @@ hash equal.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockwatch.functions import keys
 from flockwatch.operators import activity, outliers
 from flockwatch.sources import adapters as ad
 
@@ -311,19 +313,32 @@ _ADAPTERS = {"A": (ad.trades_by_supplier_nation, ad.SQL_TRADES_A),
              "A3": (ad.trades_by_segment, ad.SQL_TRADES_A3)}
 
 
-_FLAGGED: dict = {}
+_WRITTEN: dict = {}
+
+
+def _data_version(spark: SparkSession, sf_dir: str) -> str:
+    """Newest change and total size of the files of the input tables, so that changed data is read anew."""
+    tables = [ad.load(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+              .distinct() for t in ("lineitem", "orders", "customer", "supplier")]
+    row = reduce(DataFrame.union, tables).agg(F.max("file_modification_time"), F.sum("file_size"), F.count(F.lit(1))).first()
+    return repr(tuple(row))
+
+
+def _step_key(spark: SparkSession, sf_dir: str, *more) -> tuple:
+    return (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir,
+            _data_version(spark, sf_dir), *more)
 
 
 def _flagged_tables(spark: SparkSession, sf_dir: str, adapter: str) -> tuple[DataFrame, DataFrame]:
     """Flagged trades (op 28) and their basket members, written once per
-    session, data and adapter to the shared folder and read back by the later
-    steps, as the reference persists its flagged-trades table (ops 5, 8)."""
+    session, version of the data files and adapter to the shared folder and
+    read back by the later steps, as the reference persists its flagged-trades table (ops 5, 8)."""
     from flockwatch.session import materialize
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, adapter)
-    if key not in _FLAGGED:
+    key = _step_key(spark, sf_dir, "flagged", adapter)
+    if key not in _WRITTEN:
         ft = materialize(outliers.outlier_trades(_ADAPTERS[adapter][0](spark, sf_dir)), "flagged")
-        _FLAGGED[key] = (ft, materialize(bk.basket_members(ft), "basket_members"))
-    return _FLAGGED[key]
+        _WRITTEN[key] = (ft, materialize(bk.basket_members(ft), "basket_members"))
+    return _WRITTEN[key]
 
 
 def _flagged_trades(spark: SparkSession, sf_dir: str, adapter: str) -> DataFrame:
@@ -401,6 +416,15 @@ def _largest_basket_target(members: DataFrame) -> DataFrame:
     return bk.target_accounts(members, r.trade_date, r.fund, r.side)
 
 
+def _first_pair_target(members: DataFrame) -> DataFrame:
+    """Op 36 with another pin: the first basket of two accounts by day, fund and side."""
+    top = (bk.basket_sizes(members).where(F.col("basket_size") == 2).orderBy(*bk.BASKET_KEYS).limit(1).collect())
+    if not top:
+        return members.limit(0).select("acct_key")
+    r = top[0]
+    return bk.target_accounts(members, r.trade_date, r.fund, r.side)
+
+
 _SQL_TARGET = """,
 tg as (select trade_date, fund, side from sz
        order by basket_size desc, trade_date, fund, side limit 1),
@@ -408,7 +432,13 @@ ta as (select distinct fl.acct_key from fl join tg using (trade_date, fund, side
 """
 
 
-@register("containment_search", _sql_flagged("A") + _SQL_TARGET + """,
+_SQL_SMALL_TARGET = """,
+tg as (select trade_date, fund, side from sz where basket_size = 2 order by trade_date, fund, side limit 1),
+ta as (select distinct fl.acct_key from fl join tg using (trade_date, fund, side))
+"""
+
+
+@register("containment_search", _sql_flagged("A3") + _SQL_SMALL_TARGET + """,
 h as (select trade_date, fund, side, count(*) overlap from fl
       where acct_key in (select acct_key from ta) group by trade_date, fund, side)
 select h.trade_date, h.fund, h.side, h.overlap, sz.basket_size,
@@ -417,9 +447,9 @@ from h join sz using (trade_date, fund, side)
 where h.overlap / (select count(*) from ta) > 0.8
 """)
 def q_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 37: baskets holding > 80% of the target's accounts (adapter A)."""
-    members = _members(spark, sf_dir, "A")
-    return bk.containment_search(members, _largest_basket_target(members))
+    """Op 37: baskets holding > 80% of the accounts of the first basket of two (adapter A3)."""
+    members = _members(spark, sf_dir, "A3")
+    return bk.containment_search(members, _first_pair_target(members))
 
 
 # Stand-in model family derived from the flagged baskets by plain SQL rules,
@@ -439,9 +469,9 @@ def standin_models(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     mm = (m1.join(k1, ["fund", "side"]).select("model_id", F.lit(2).cast("long").alias("min_size"), "acct_key")
             .unionByName(m2.join(k2, ["side", "yr"])
                          .select("model_id", F.lit(3).cast("long").alias("min_size"), "acct_key")))
-    keys = members.select(*bk.BASKET_KEYS).distinct()
-    mt = (keys.join(k1, ["fund", "side"]).select("model_id", F.lit(2).cast("long").alias("min_size"), *bk.BASKET_KEYS)
-              .unionByName(keys.withColumn("yr", F.year("trade_date")).join(k2, ["side", "yr"])
+    claimed = members.select(*bk.BASKET_KEYS).distinct()
+    mt = (claimed.join(k1, ["fund", "side"]).select("model_id", F.lit(2).cast("long").alias("min_size"), *bk.BASKET_KEYS)
+              .unionByName(claimed.withColumn("yr", F.year("trade_date")).join(k2, ["side", "yr"])
                            .select("model_id", F.lit(3).cast("long").alias("min_size"), *bk.BASKET_KEYS)))
     return mm, mt
 
@@ -488,14 +518,15 @@ ta as (select distinct fl.acct_key from fl join tg using (trade_date, fund, side
 c as (select count(*) target_size,
              count(*) filter (where acct_key not in (select acct_key from mm)) uncovered from ta)
 select uncovered, target_size,
-       case when target_size > 0 then 100.0 * uncovered / target_size end pct_uncovered
+       case when target_size > 0 then 100.0 * uncovered / target_size end pct_uncovered,
+       case when target_size > 0 then cast(cast(100.0 * uncovered / target_size as double) as varchar) || '%' end pct_text
 from c
 """)
 def q_target_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 39: share of the target's accounts in no model (adapter A)."""
     members = _members(spark, sf_dir, "A")
     mm, _ = standin_models(members)
-    return bk.target_coverage(mm, _largest_basket_target(members)).drop("pct_text")
+    return bk.target_coverage(mm, _largest_basket_target(members))
 
 
 # ---------------------------------------------------------------------------
@@ -569,21 +600,17 @@ MINING_SIZES = (2, 3, 4)
 MINING_PASSES = 2
 
 
-_MINED: dict = {}
-
-
 def _mined(spark: SparkSession, sf_dir: str, adapter: str = "A") -> mn.MiningResult:
     """Mine once per session, data and adapter; later queries read the written
     model tables back, as the reference's reports read its model files."""
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, adapter,
-           MINING_SIZES, MINING_PASSES)
-    if key not in _MINED:
+    key = _step_key(spark, sf_dir, "mined", adapter, MINING_SIZES, MINING_PASSES)
+    if key not in _WRITTEN:
         res = mn.recurring_sets(_members(spark, sf_dir, adapter), MINING_SIZES, MINING_PASSES)
-        _MINED[key] = mn.MiningResult(members=materialize(res.members, "model_members"),
-                                      trades=materialize(res.trades, "model_trades"),
-                                      sets=materialize(res.sets, "model_sets"),
-                                      rounds=res.rounds)
-    return _MINED[key]
+        _WRITTEN[key] = mn.MiningResult(members=materialize(res.members, "model_members"),
+                                        trades=materialize(res.trades, "model_trades"),
+                                        sets=materialize(res.sets, "model_sets"),
+                                        rounds=res.rounds)
+    return _WRITTEN[key]
 
 
 @register("recurring_sets")
@@ -633,35 +660,36 @@ def q_mined_participation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rn.participation_runs(members, res.members, res.trades)
 
 
-_SQL_ITEMS = _sql_flagged("A3") + """,
-nb as (select count(*) n from sz),
-s1 as (select acct_key, count(*) freq from fl group by acct_key),
-p2 as (select a.acct_key x, b.acct_key y, count(*) freq from fl a join fl b
-       on a.trade_date = b.trade_date and a.fund = b.fund and a.side = b.side
-       and a.acct_key < b.acct_key group by a.acct_key, b.acct_key)
-select acct_key items, 1 itemset_size, freq from s1 where freq >= ceil(0.1 * (select n from nb))
-union all
-select x || ',' || y items, 2 itemset_size, freq from p2 where freq >= ceil(0.1 * (select n from nb))
+# All sizes: a frequent set grows by an account that sorts after its last one.
+_SQL_ITEMS = _sql_flagged("A3").replace("with t as", "with recursive t as", 1) + """,
+need as (select ceil({support} * count(*)) n from sz),
+bb as (select list(acct_key order by acct_key) accts from fl group by trade_date, fund, side),
+f as (select [acct_key] items, count(*) freq from fl group by acct_key having count(*) >= (select n from need)
+      union all
+      select list_append(items, x) items, count(*) freq
+      from (select items, unnest(list_filter(accts, lambda a: a > items[-1])) x
+            from f join bb on list_has_all(accts, items))
+      group by items, x having count(*) >= (select n from need))
+select array_to_string(items, ',') items, cast(len(items) as integer) itemset_size, freq from f
 """
 
 
-@register("frequent_itemsets", _SQL_ITEMS)
-def q_frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 40: FP-growth at support 0.1 over the flagged baskets (adapter A3).
+def _itemsets(spark: SparkSession, sf_dir: str, support: float) -> DataFrame:
+    df = fi.frequent_itemsets(_members(spark, sf_dir, "A3"), min_support=support, num_partitions=None)
+    return df.select(F.array_join("items", ",").alias("items"),
+                     F.col("itemset_size").cast("int").alias("itemset_size"), "freq")
 
-    The SQL oracle enumerates itemsets of one and two accounts, so this query
-    reports those sizes; ``frequent_itemsets_all`` reports every size."""
-    df = fi.frequent_itemsets(_members(spark, sf_dir, "A3"), num_partitions=None)
-    return (df.filter(F.col("itemset_size") <= 2)
-              .select(F.array_join("items", ",").alias("items"),
-                      F.col("itemset_size").cast("int").alias("itemset_size"), "freq"))
+
+@register("frequent_itemsets", _SQL_ITEMS.format(support=0.1))
+def q_frequent_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 40: FP-growth at support 0.1 over the flagged baskets (adapter A3), all sizes."""
+    return _itemsets(spark, sf_dir, 0.1)
 
 
-@register("frequent_itemsets_all")
+@register("frequent_itemsets_all", _SQL_ITEMS.format(support=0.005))
 def q_frequent_itemsets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Op 40: all frequent itemsets (length, frequency) as the reference keeps them."""
-    df = fi.frequent_itemsets(_members(spark, sf_dir, "A3"), num_partitions=None)
-    return df.select(F.array_join("items", ",").alias("items"), "itemset_size", "freq")
+    """Op 40 at support 0.005, where sets of one to several accounts are frequent."""
+    return _itemsets(spark, sf_dir, 0.005)
 
 
 @register("flagged_preview", _SQL_SCORED.format(trades=ad.SQL_TRADES_A) + """
@@ -674,3 +702,117 @@ def q_flagged_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 24h, 24j: top 20 flagged groups by activity (adapter A)."""
     df = outliers.flagged_preview(outliers.outlier_groups(ad.trades_by_supplier_nation(spark, sf_dir)))
     return _round(df, "mean", "std_dev", "z")
+
+
+# ---------------------------------------------------------------------------
+# Periods, the pipeline to its end, and smaller operators in whole-table queries
+# ---------------------------------------------------------------------------
+
+PERIOD = ("1993-06-01", "1996-06-01")     # inside the dates of the data; the end is exclusive
+_SQL_PERIOD_TRADES = f"""select * from ({ad.SQL_TRADES_A})
+where trade_date >= date '{PERIOD[0]}' and trade_date < date '{PERIOD[1]}'"""
+
+
+@register("outlier_groups_period", _SQL_SCORED.format(trades=_SQL_PERIOD_TRADES) + """
+select trade_date, fund, side, n_accts, total, round(mean, 9) mean, round(std_dev, 9) std_dev,
+       round(z, 9) z
+from s where z >= 2
+""")
+def q_outlier_groups_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 25 with ops 26-27: flagged groups of a period (adapter A)."""
+    df = outliers.outlier_groups(ad.trades_by_supplier_nation(spark, sf_dir), *PERIOD)
+    return _round(df, "mean", "std_dev", "z")
+
+
+@register("outlier_pipeline", _SQL_SCORED.format(trades=_SQL_PERIOD_TRADES) + f"""
+select distinct s.trade_date, s.fund, s.side, s.n_accts, s.total, round(s.mean, 9) mean,
+       round(s.std_dev, 9) std_dev, round(s.z, 9) z, t.acct_key, t.share_class_key,
+       t.executing_key, t.clearing_key, t.trading_entity_key, t.usd_gross_amt, t.feed_key
+from s join ({ad.SQL_TRADES_A}) t on s.trade_date = t.trade_date and s.fund = t.fund and s.side = t.side
+where s.z >= 2
+""")
+def q_outlier_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 29 to its end: period, flags, trade detail, table written and read back (ops 5, 8, 25-28)."""
+    trades = outliers.outlier_trades(ad.trades_by_supplier_nation(spark, sf_dir), *PERIOD)
+    path = scratch_path(spark, "outlier_pipeline")
+    sinks.write_table(_round(trades, "mean", "std_dev", "z"), path)
+    return sinks.read_table(spark, path)
+
+
+@register("model_file_round_trip", _sql_flagged("A3") + _SQL_MODELS + """,
+ms as (select model_id, min_size, string_agg(distinct acct_key, ',' order by acct_key) members from mm group by all)
+select mt.model_id, mt.min_size, mt.trade_date, mt.fund, mt.side, ms.members
+from (select distinct * from mt) mt join ms using (model_id, min_size)
+""")
+def q_model_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 7, 9, 10: model files written as text and read back (stand-in models, adapter A3)."""
+    mm, mt = standin_models(_members(spark, sf_dir, "A3"))
+    pm, pt = scratch_path(spark, "model_members"), scratch_path(spark, "model_trades")
+    sinks.export_models(mm, mt, pm, pt)
+    sets = delimited.model_member_sets(delimited.read_model_members(spark, pm))
+    return (delimited.read_model_trades(spark, pt).distinct().join(sets, ["model_id", "min_size"])
+            .select("model_id", "min_size", *bk.BASKET_KEYS, F.array_join("accts", ",").alias("members")))
+
+
+@register("normalised_trades", _sql_flagged("A3") + """
+select distinct strftime(trade_date, '%Y%m%d') trade_date_text, fund || '|' || side packed_key, fund, side, acct_key
+from ft
+""")
+def q_normalised_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 14, 15, 41: normalised flagged trades; the packed key is built and split again (adapter A3)."""
+    df = rp.normalise_for_matching(_flagged_trades(spark, sf_dir, "A3"))
+    df = df.withColumn("packed_key", keys.fund_side_key("fund", "side", "|"))
+    fund, side = keys.split_fund_side("packed_key", "|")
+    return df.select("trade_date_text", "packed_key", fund.alias("fund"), side.alias("side"), "acct_key").distinct()
+
+
+@register("baskets_meeting_target", _sql_flagged("A3") + _SQL_SMALL_TARGET + """
+select distinct trade_date, fund, side from fl where acct_key in (select acct_key from ta)
+""")
+def q_baskets_meeting_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 24b: baskets that hold any account of a target, by a semi join (adapter A3)."""
+    members = _members(spark, sf_dir, "A3")
+    return (members.join(_first_pair_target(members), "acct_key", "left_semi")
+            .select(*bk.BASKET_KEYS).distinct())
+
+
+@register("basket_set_algebra", _sql_flagged("A3") + _SQL_SMALL_TARGET + """,
+b as (select trade_date, fund, side, list(acct_key order by acct_key) a from fl group by trade_date, fund, side),
+l as (select list(acct_key order by acct_key) t from ta)
+select trade_date, fund, side, array_to_string(list_sort(list_intersect(a, t)), ',') common,
+       array_to_string(list_filter(a, lambda x: not list_contains(t, x)), ',') rest,
+       round(len(list_intersect(a, t)) / least(len(a), len(t)), 9) coef
+from b, l
+""")
+def q_basket_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 20: every basket against a target by array algebra (adapter A3)."""
+    from flockwatch.functions import sets as fs
+    members = _members(spark, sf_dir, "A3")
+    # One row: the target's accounts.
+    target = [r.acct_key for r in _first_pair_target(members).orderBy("acct_key").collect()]
+    t = F.array(*[F.lit(x) for x in target]) if target else F.array().cast("array<string>")
+    return bk.basket_sets(members).select(
+        *bk.BASKET_KEYS, F.array_join(F.array_sort(fs.set_intersection("accts", t)), ",").alias("common"),
+        F.array_join(F.array_sort(fs.set_difference("accts", t)), ",").alias("rest"),
+        F.round(fs.overlap_coefficient("accts", t), ROUND).alias("coef"))
+
+
+@register("participation_runs_open", ORACLE_SQL["participation_runs"].replace(
+    "cast(li = n - 2 as integer)", "cast(li = n - 1 as integer)").replace(
+    "where li < n - 1 and (len > 1 or li = n - 2)", "where li = n - 1 or len > 1"))
+def q_participation_runs_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 44 with runs that are still open at the last event (D9)."""
+    members = _members(spark, sf_dir, "A3")
+    mm, mt = standin_models(members)
+    return rn.participation_runs(members, mm, mt, include_open=True)
+
+
+@register("report_text_lines", ORACLE_SQL["trade_analysis_entity"].replace(
+    "select distinct mt.model_id", "select distinct concat_ws(',', mt.model_id").replace(
+    "round(ag.sum_usd, 2) sum_usd", "printf('%.2f', round(ag.sum_usd, 2))) as line").replace(
+    "ag.n_accts,", "printf('%.1f', ag.n_accts),"))
+def q_report_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 7, 43: the entity report as text lines (stand-in models, adapter A3)."""
+    ft = _flagged_trades(spark, sf_dir, "A3")
+    _, mt = standin_models(bk.basket_members(ft))
+    return rp.as_text_lines(rp.trade_analysis_entity(ft, mt)).select(F.col("value").alias("line"))

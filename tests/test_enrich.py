@@ -46,3 +46,31 @@ def test_account_key_sources(spark):
     raw, *_ = _tables(spark)
     got = sorted(map(tuple, enrich.account_key_sources(raw).collect()))
     assert got == [("INVALID_KEY", "ERROR"), ("b1", "bin_number"), ("b9", "bin_number"), ("x1", "ext_acct_key")]
+
+
+@pytest.mark.parametrize("side_key,eligible", [("1", True), ("3", False)])
+@pytest.mark.parametrize("table", ["side", "account", "trust", "feed"])
+def test_any_unknown_key_fails_the_job(spark, table, side_key, eligible):
+    row = {"acct": "P1", "side": side_key, "feed": "F1"}
+    extra_acct = []
+    if table == "side":
+        row["side"] = "99"
+    elif table == "account":
+        row["acct"] = "P9"
+    elif table == "feed":
+        row["feed"] = "F9"
+    else:
+        row["acct"], extra_acct = "P3", [("P3", "T9")]
+    fact = ("20200102", row["acct"], row["side"], "s1", "b9", "", "", "", row["feed"], "e", "c", "t", "3")
+    raw, side, acct, trust, feed = _tables(spark, [fact])
+    acct = acct.unionByName(spark.createDataFrame(extra_acct, acct.schema))
+    out = enrich.build_trades(raw, side, acct, trust, feed, trust_codes=("GOOD",))
+    for action in (lambda: out.collect(), lambda: out.groupBy("fund").count().collect(), lambda: out.count()):
+        with pytest.raises(Exception, match=f"key not found in {table} dimension"):
+            action()
+    assert enrich.build_trades(raw, side, acct, trust, feed, on_missing="drop", trust_codes=("GOOD",)).count() == 2
+
+
+def test_trust_codes_are_required(spark):
+    with pytest.raises(ValueError, match="trust_codes"):
+        enrich.build_trades(*_tables(spark), trust_codes=())

@@ -85,3 +85,10 @@ def test_flagship_plan_shape(spark):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "Window" in plan
     assert df.count() == 8
+
+
+def test_rolling_statistics_share_one_window_and_sort(spark):
+    shared = spark.createDataFrame([("2020-01-01", "f", "S", 0.1)], "d string, fund string, side string, share double")
+    shared = shared.selectExpr("cast(d as date) trade_date", "fund", "side", "share")
+    plan = outliers.rolling_stats(shared)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") + plan.count("Window(") == 1 and plan.count("Sort [") == 1, plan

@@ -124,7 +124,7 @@ def _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefi
             if rounds > max_rounds:
                 raise RuntimeError(f"mining pass {it} did not finish in {max_rounds} rounds")
             vseq_counter += 1
-            CM, MI, OCC, PEND = _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq_counter,
+            CM, MI, OCC, PEND = _round(_cp, B, BS, CM, MI, OCC, PEND, it, n_b, vseq_counter,
                                        high, low, prefix_filter)
             n_pend = PEND.count()
         rounds_per_pass.append(rounds)
@@ -132,10 +132,10 @@ def _recurring_sets(members, min_sizes, iterations, high, low, max_rounds, prefi
     occ_all = spark.createDataFrame([], _OCC_SCHEMA)
     for part in OCC:
         occ_all = occ_all.unionByName(part)
-    return _finish(ob, CM, MI, occ_all, list(min_sizes), rounds_per_pass)
+    return _finish(_cp, ob, CM, MI, occ_all, list(min_sizes), rounds_per_pass)
 
 
-def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=None):
+def _round(_cp, B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=None):
     _keep = _cp
     ms = F.col("ms")
     pb = B.join(PEND, ["ms", "ord"])                              # pending basket accounts
@@ -294,7 +294,7 @@ def _round(B, BS, CM, MI, OCC, PEND, it, n_b, vseq, high, low, prefix_filter=Non
     return _cp(CM2), _cp(MI2), OCC + [_cp(occ_part)], _cp(PEND2)
 
 
-def _finish(ob, CM, MI, OCC, min_sizes, rounds):
+def _finish(_cp, ob, CM, MI, OCC, min_sizes, rounds):
     occ = OCC.join(MI.select("ms", "lin", "vseq"), ["ms", "lin", "vseq"])
     nb = occ.groupBy("ms", "lin").agg(F.countDistinct("ord").alias("n_baskets"))
     order = F.array_position(F.array(*[F.lit(int(x)) for x in min_sizes]), F.col("ms"))

@@ -562,7 +562,7 @@ def q_trade_analysis_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("sum_usd", F.round("sum_usd", 2))
 
 
-@register("participation_runs", _sql_flagged("A3") + _SQL_MODELS + """,
+_SQL_RUNS = """,
 ev0 as (select distinct model_id, trade_date, fund, side from mt),
 ev as (select *, row_number() over (partition by model_id order by trade_date, fund, side) - 1 idx,
               count(*) over (partition by model_id) n from ev0),
@@ -578,7 +578,10 @@ ru as (select model_id, acct_key, min(idx) fi, max(idx) li, count(*) len,
 select model_id, acct_key, first_date, last_date, len run_length,
        cast(li = n - 2 as integer) last_flag
 from ru where li < n - 1 and (len > 1 or li = n - 2)
-""")
+"""
+
+
+@register("participation_runs", _sql_flagged("A3") + _SQL_MODELS + _SQL_RUNS)
 def q_participation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 44: runs of consecutive model trades per member (faithful formula)."""
     members = _members(spark, sf_dir, "A3")
@@ -613,25 +616,93 @@ def _mined(spark: SparkSession, sf_dir: str, adapter: str = "A") -> mn.MiningRes
     return _WRITTEN[key]
 
 
-@register("recurring_sets")
+def _sql_score(models: str, accounts: str) -> str:
+    """Overlap coefficient of every model of a list with an account list."""
+    return (f"list_transform({models}, lambda m: case when len({accounts}) = 0 then 0.0 else "
+            f"len(list_intersect(m.acc, {accounts})) / least(len(m.acc), len({accounts})) end)")
+
+
+# Rules R1-R6 one basket at a time: the state of a minimum size is the list of its models, oldest
+# first; every step of the recursion reads the next basket.  ``born`` orders versions: found, basket
+# rest, set rest, then the shrunk version of the same step.
+_SQL_MINED = _sql_flagged("A").replace("with t as", "with recursive t as", 1) + """,
+bb as (select ord, list(acct_key order by acct_key) b from fl join ob using (trade_date, fund, side) group by ord),
+nb as (select count(*) n from bb),
+st(ms, step, models) as (
+  select unnest({sizes}), cast(0 as bigint), cast([] as struct(acc varchar[], occ bigint[], born bigint)[])
+  union all
+  select ms, step + 1, case when not offer_m then m2 when r4 > 0.8 then
+           list_transform(m2, lambda m, i: case when i = at4 then
+             struct_pack(acc := m.acc, occ := list_distinct(list_append(m.occ, ord)), born := m.born) else m end)
+         else list_append(m2, struct_pack(acc := q, occ := [ord], born := step * 4 + 2)) end
+  from (select *, coalesce(list_max(s4), 0) r4, list_position(s4, list_max(s4)) at4
+  from (select *, {score_q} s4
+  from (select *, case when not offer_b then m1 when r3 > 0.8 then
+           list_transform(m1, lambda m, i: case when i = at3 then
+             struct_pack(acc := m.acc, occ := list_distinct(list_append(m.occ, ord)), born := m.born) else m end)
+         else list_append(m1, struct_pack(acc := p, occ := [ord], born := step * 4 + 1)) end m2
+  from (select *, coalesce(list_max(s3), 0) r3, list_position(s3, list_max(s3)) at3
+  from (select *, {score_p} s3
+  from (select *, case
+           when r <= 0.2 then case when len(b) >= ms then list_append(m0, struct_pack(acc := b, occ := [ord], born := step * 4)) else m0 end
+           when r > 0.8 and len(q) >= ms and len(both_) > ms then
+             list_transform(m0, lambda m, i: case when i = at0 then struct_pack(acc := both_, occ := [ord], born := step * 4 + 3) else m end)
+           when r > 0.8 and len(q) < ms then
+             list_transform(m0, lambda m, i: case when i = at0 then
+               struct_pack(acc := m.acc, occ := list_distinct(list_append(m.occ, ord)), born := m.born) else m end)
+           else m0 end m1,
+         r > 0.2 and len(p) >= ms offer_b, r > 0.8 and len(q) >= ms offer_m
+  from (select *, list_filter(b, lambda x: not list_contains(known, x)) p,
+         list_filter(known, lambda x: not list_contains(b, x)) q,
+         list_filter(b, lambda x: list_contains(known, x)) both_
+  from (select *, case when r > 0.2 then m0[at0].acc else [] end known
+  from (select *, coalesce(list_max(s), 0) r, list_position(s, list_max(s)) at0
+  from (select *, {score_b} s
+  from (select ms, step, ord, b, case when ord = 0
+             then list_transform(models, lambda m: struct_pack(acc := m.acc, occ := cast([] as bigint[]), born := m.born)) else models end m0
+        from st join bb on bb.ord = step % (select n from nb)
+        where step < {passes} * (select n from nb))))))))))))),
+last as (select ms, models from st where step = {passes} * (select n from nb)),
+md as (select row_number() over (order by ms, m.born, i) - 1 model_id, cast(ms as bigint) min_size, m.acc, m.occ, len(m.acc) set_size,
+              len(m.occ) n_baskets, len(m.occ) > 1 repeated
+       from (select ms, unnest(models) m, unnest(range(1, len(models) + 1)) i from last))
+"""
+
+
+def _sql_mined() -> str:
+    return _SQL_MINED.format(sizes=list(MINING_SIZES), passes=MINING_PASSES, score_b=_sql_score("m0", "b"),
+                             score_p=_sql_score("m1", "p"), score_q=_sql_score("m2", "q"))
+
+
+SQL_MINED = _sql_mined()
+_SQL_MINED_MODELS = SQL_MINED + """,
+mm as (select model_id, min_size, unnest(acc) acct_key from md where repeated),
+mt as (select model_id, min_size, trade_date, fund, side
+       from (select model_id, min_size, unnest(occ) ord from md where repeated) join ob using (ord))
+"""
+
+
+@register("recurring_sets", _SQL_MINED_MODELS + "select model_id, min_size, acct_key from mm")
 def q_recurring_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ops 33-35: members of repeated sets (adapter A); rows-only check."""
+    """Ops 33-35: members of repeated sets (adapter A)."""
     return _mined(spark, sf_dir).members
 
 
-@register("recurring_set_trades")
+@register("recurring_set_trades", _SQL_MINED_MODELS + "select * from mt")
 def q_recurring_set_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 33-35: the baskets credited to each repeated set (adapter A)."""
     return _mined(spark, sf_dir).trades
 
 
-@register("recurring_set_summary")
+@register("recurring_set_summary", SQL_MINED + "select model_id, min_size, set_size, n_baskets, repeated from md")
 def q_recurring_set_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every current set with its size and number of distinct baskets."""
     return _mined(spark, sf_dir).sets
 
 
-@register("sets_union_export")
+@register("sets_union_export", _SQL_MINED_MODELS + """
+select mt.*, array_to_string(list_sort(acc), ',') members from mt join md using (model_id, min_size)
+""")
 def q_sets_union_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ops 7-10, 24d: per-size outputs unioned, exported as headerless CSV and
     read back as member sets joined to their trades."""
@@ -645,14 +716,21 @@ def q_sets_union_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join("accts", ",").alias("members"))
 
 
-@register("mined_trade_analysis_firm")
+@register("mined_trade_analysis_firm", _SQL_MINED_MODELS + """,
+ag as (select trade_date, fund, side, executing_key, clearing_key,
+              cast(count(distinct acct_key) as double) n_accts, sum(usd_gross_amt) sum_usd
+       from ft group by all)
+select distinct mt.model_id, mt.min_size, ag.trade_date, ag.fund, ag.side, ag.executing_key, ag.clearing_key,
+       ag.n_accts, round(ag.sum_usd, 2) sum_usd
+from ag join mt on ag.trade_date = mt.trade_date and ag.fund = mt.fund and ag.side = mt.side
+""")
 def q_mined_trade_analysis_firm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 42 over the mined sets (adapter A), end to end."""
     ft = _flagged_trades(spark, sf_dir, "A")
-    return rp.trade_analysis_firm(ft, _mined(spark, sf_dir).trades)
+    return rp.trade_analysis_firm(ft, _mined(spark, sf_dir).trades).withColumn("sum_usd", F.round("sum_usd", 2))
 
 
-@register("mined_participation_runs")
+@register("mined_participation_runs", _SQL_MINED_MODELS + _SQL_RUNS)
 def q_mined_participation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Op 44 over the mined sets (adapter A), end to end."""
     members = _members(spark, sf_dir, "A")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,3 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
         jump = spread.select(F.col("node").alias("_j"), F.col("next").alias("_to"))
         labels = materialize(spread.join(jump, F.col("next") == F.col("_j"))
                              .select("node", F.least("next", "_to").alias("comp")), "cc-labels")
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest row reachable over the pairs, per row."""
+    root = np.arange(n)
+    while True:
+        old = root.copy()
+        np.minimum.at(root, a, root[b])
+        np.minimum.at(root, b, root[a])
+        root = root[root]
+        if (root == old).all():
+            return root

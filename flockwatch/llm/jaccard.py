@@ -2,23 +2,28 @@
 
 Documents are sets of five-word shingles; two link when their Jaccard
 similarity is at least 0.8, so their sets differ in at most ``H`` shingles,
-with ``H`` a function of the smaller size.  The universe of shingles is hashed
-into ``m`` segments (``m`` by size band).  Every document indexes, per segment,
-the subset of its shingles that falls there.  Segments count credits: a
-segment matched exactly counts one, one whose one-deletion neighbourhood is
-indexed too counts two, an empty one none.  When the credits of either
-document exceed ``H``, pigeonhole says that a linked pair shares a key.  Bands
-choose between the two by cost (``allocate``): long documents take exact
-segments, short ones few segments with deletions.  A document whose empty
-segments leave too few credits indexes itself again under another hash of the
-universe, and in the end under each of its shingles, so no pair is lost.
-
-Pairs inside a key's group are not listed.  Each document is first verified
-against one centre of the group; links found so join components, and only
-groups that still span several components are looked at again, with other
-centres and at last by comparing what is left across components.  Groups that
-are still large are split by a second, independent key that any linked pair
-must share too (the pigeonhole again), before anything is compared.
+with ``H`` a function of their sizes.  The universe of shingles is hashed into
+``m`` segments (``m`` by size band).  Every document indexes, per segment, the
+subset of its shingles that falls there.  Segments count credits: a segment
+matched exactly counts one, one whose one-deletion neighbourhood is indexed
+too counts two, an empty one none.  When the credits of either document exceed
+``H``, pigeonhole says that a linked pair shares a key; with ``U`` exact
+segments in use, at least ``U - H``.  Bands choose between the two by cost
+(``allocate``): long documents take exact segments, short ones few segments
+with deletions.  A document whose empty segments leave too few credits indexes
+itself again under another hash of the universe, and in the end under each of
+its shingles, so no pair is lost.
+
+Pairs inside a large group of one key are not listed.  Its documents are
+verified against one centre of the group, and links found so join components.
+Then pairs across components are counted by shared keys, and those with enough
+are verified.  Keys whose groups would still list many pairs are left out of
+the counts: a linked pair either has half of the keys it must share elsewhere,
+or shares more than half of them among such keys.  Documents with so many of
+them form families, by a prefix of these keys, rarest first; a family is dealt
+in blocks, pairs of blocks meet in tasks of bounded size that intersect all
+their sets at once, and only a spanning forest of the links found leaves the
+task.
 
 Copies (equal sets) are one node from the start.  Sets are compared by 64-bit
 hashes of their shingles.
@@ -38,20 +43,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flockwatch.llm.common import join_on_row_key, text_or_empty, with_row_key
-from flockwatch.llm.graph import components
+from flockwatch.llm.common import SPACES, join_on_row_key, text_or_empty, with_row_key
+from flockwatch.llm.graph import components, local_roots
 from flockwatch.session import materialize
 
 SHINGLE = 5
 NUM, DEN = 4, 5             # threshold 4/5
 RATIO = 1.6                 # of neighbouring band bounds; above DEN / NUM
 SEEDS = 6                   # universes tried before a document is indexed by every shingle
-SPLIT = 64                  # components in a group above which it is split by a second key
-CENTRE_ROUNDS = 3
+CENTRED = 8                 # documents in a group above which centres come first
+SPLIT = 2048                # pairs across components in a group above which its documents are compared in blocks
+BLOCK = 256                 # documents of a block
 BROADCAST_ROWS = 200_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(SHINGLE)], np.uint64)
+_BASE = 0x5851F42D4C957F2D
+_SPACE = np.isin(np.arange(256), list(SPACES.encode()))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -62,23 +70,42 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(33))
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash; emptied when it holds too many words, so memory stays bounded."""
+_BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x9E3779B97F4A7C15))
 
-    def __missing__(self, word):
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-        return h
+
+class _Powers:
+    """Powers of the base and of its inverse, grown when a longer text comes."""
+
+    up = down = np.zeros(0, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, 1 << 16)
+            with np.errstate(over="ignore"):
+                cls.up = np.multiply.accumulate(np.full(size, _BASE, np.uint64))
+                cls.down = np.multiply.accumulate(np.full(size, pow(_BASE, -1, 1 << 64), np.uint64))
+        return cls.up[:n], cls.down[:n]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, from running sums over the bytes."""
+    body = np.frombuffer(text.lower(), np.uint8)        # bytes.lower() changes A-Z alone
+    inside = np.concatenate(([False], ~_SPACE[body], [False]))
+    turn = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = turn[::2], turn[1::2]
+    up, down = _Powers.of(len(body) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[body] * up[:-1], dtype=np.uint64)))
+        return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Sorted hashes of the distinct five-word shingles; bytes.split() cuts at the contract's white space."""
-    words = text.lower().split()
-    n = len(words)
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles."""
+    h = word_hashes(text)
+    n = len(h)
     if n == 0:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        return h
     with np.errstate(over="ignore"):
         if n < SHINGLE:
             return mix64(np.array([(h * _POWERS[:n]).sum() + np.uint64(n)], np.uint64))
@@ -86,7 +113,8 @@ def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
         s = h[:k] * _POWERS[0]
         for i in range(1, SHINGLE):
             s += h[i:i + k] * _POWERS[i]
-    return np.unique(mix64(s))
+    s = np.sort(mix64(s))
+    return s[np.concatenate(([True], s[1:] != s[:-1]))]
 
 
 def most_different(n: int) -> int:
@@ -128,43 +156,52 @@ class Bands:
         return int(np.searchsorted(self.bounds, n, side="right")) - 1
 
 
-def index_keys(s: np.ndarray, bands: Bands, salt: int = 0) -> np.ndarray:
-    """All keys of a set: under its own band, and under the one below if a linked set may be there."""
+def index_keys(s: np.ndarray, bands: Bands, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(key, info) of a set: under its own band, and under the one below if a linked set may be there.
+
+    ``info`` packs size, exact segments in use (0 where shared keys cannot be
+    counted on) and band.
+    """
     n = len(s)
     if n < bands.bounds[0]:
-        return np.zeros(0, np.uint64)       # H is 0: links are copies
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)    # H is 0: links are copies
     own = bands.of(n)
-    keys = []
+    keys, infos = [], []
     for band in (own, own - 1):
         if band < 0 or band < own and -(-n * NUM // DEN) >= bands.bounds[own]:
             continue
         # A smaller partner of the lower band bounds H there.
         need = most_different(min(n, bands.bounds[band + 1] - 1)) + 1
         m, deletions = bands.alloc[band]
+        made, used = [], 0
         for seed in range(SEEDS + 1):
             tag = np.uint64((band << 16) + (salt << 8) + seed + 1)
             with np.errstate(over="ignore"):
                 x = mix64(s + tag * np.uint64(0x9E3779B97F4A7C15))
                 if seed == SEEDS:
-                    keys.append(x)          # every shingle a key: no linked pair can be without one
+                    made.append(x)          # every shingle a key: no linked pair can be without one
                     break
-                seg = (x >> np.uint64(40)) % np.uint64(m)
+                seg = ((x >> np.uint64(40)) % np.uint64(m)).astype(np.uint32)
                 order = np.argsort(seg, kind="stable")
                 seg, x = seg[order], mix64(x[order])
                 first = np.concatenate(([0], np.flatnonzero(seg[1:] != seg[:-1]) + 1))
                 total = np.add.reduceat(x, first)
                 count = np.diff(np.append(first, n))
                 place = mix64(seg[first] + (tag << np.uint64(32)))
-                keys.append(mix64(total + place))
+                made.append(mix64(total + place))
                 if deletions:
                     many = np.repeat(count > 1, count)
-                    keys.append(mix64(np.repeat(total + place, count) - x)[many])
+                    made.append(mix64(np.repeat(total + place, count) - x)[many])
                     credits = np.minimum(count, 2).sum()
                 else:
                     credits = len(first)
             if credits >= need:
+                used = 0 if deletions or seed else credits
                 break
-    return np.concatenate(keys)
+        made = np.concatenate(made)
+        keys.append(made)
+        infos.append(np.full(len(made), (n << 32) | (min(int(used), (1 << 23) - 1) << 8) | band, np.int64))
+    return np.concatenate(keys), np.concatenate(infos)
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -182,9 +219,8 @@ def _node(s: np.ndarray) -> int:
 def shingle_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, _th, n, node) per document; node is null for an empty set."""
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, hashes) for t in _texts(b.column(2))]
+            sets = [shingle_set(t) for t in _texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([
                 b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_node(s) if len(s) else None for s in sets], pa.int64())], names)
@@ -196,44 +232,43 @@ def shingle_nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def key_rows(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, node, n): the index; copies within a task emit once."""
+    """(key, node, info): the index; copies within a task emit once."""
     def run(batches):
-        hashes, bands, seen = WordHashes(), Bands(), set()
+        bands, seen = Bands(), set()
         for b in batches:
-            keys, nodes, sizes, held = [], [], [], 0
+            keys, nodes, infos, held = [], [], [], 0
             for t in _texts(b.column(0)):
-                s = shingle_set(t, hashes)
+                s = shingle_set(t)
                 node = _node(s)
                 if len(s) == 0 or node in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(node)
-                k = index_keys(s, bands)
+                k, info = index_keys(s, bands)
                 keys.append(k)
                 nodes.append(np.full(len(k), node, np.int64))
-                sizes.append(np.full(len(k), len(s), np.int32))
+                infos.append(info)
                 held += len(k)
                 if held > 200_000:
-                    yield _batch(keys, nodes, sizes)
-                    keys, nodes, sizes, held = [], [], [], 0
+                    yield _batch(keys, nodes, infos)
+                    keys, nodes, infos, held = [], [], [], 0
             if held:
-                yield _batch(keys, nodes, sizes)
+                yield _batch(keys, nodes, infos)
 
-    return docs.select(text_or_empty(text_col).alias("_t")).mapInArrow(run, "key long, node long, n int")
+    return docs.select(text_or_empty(text_col).alias("_t")).mapInArrow(run, "key long, node long, info long")
 
 
-def _batch(keys, nodes, sizes) -> pa.RecordBatch:
+def _batch(keys, nodes, infos) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes)),
-                                       pa.array(np.concatenate(sizes))], ["key", "node", "n"])
+                                       pa.array(np.concatenate(infos))], ["key", "node", "info"])
 
 
 def shingle_arrays(texts: DataFrame) -> DataFrame:
     """(node, s): the shingle hashes of the texts (node, _t)."""
     def run(batches):
-        hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, hashes).view(np.int64) for t in _texts(b.column(1))]
+            sets = [shingle_set(t).view(np.int64) for t in _texts(b.column(1))]
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
@@ -246,104 +281,208 @@ def _linked(n: Column, m: Column, common: Column) -> Column:
     return DEN * common >= NUM * (n + m - common)
 
 
-def _may_link(n: str, m: str) -> Column:
-    return (DEN * F.col(n) >= NUM * F.col(m)) & (DEN * F.col(m) >= NUM * F.col(n))
+def _size(info: str) -> Column:
+    return F.shiftright(F.col(info), 32)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets (node, s) link."""
-    right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return (pairs.join(right, "b").join(left, "a")
-            .where(_linked(F.size("sa"), F.size("sb"), common)).select("a", "b"))
+def _used(info: str) -> Column:
+    return F.shiftright(F.col(info), 8).bitwiseAND(F.lit((1 << 23) - 1))
 
 
-def _ordered_pairs(rows: DataFrame, other: str) -> DataFrame:
-    """Distinct (a, b), a < b, of ``node`` and another node column."""
-    return rows.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
+def _band(info: str) -> Column:
+    return F.col(info).bitwiseAND(F.lit(255))
 
 
-def _with_components(groups: DataFrame, links: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    """Groups (key, node, n) that still span several components, with ``comp``; and the components."""
-    comps = materialize(components(links), "jaccard-comps") if links is not None else None
-    rows = (groups.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            if comps is not None else groups.withColumn("comp", F.col("node")))
-    by_key = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    open_ = by_key.where(F.col("lo") < F.col("hi")).select("key")
-    return rows.join(open_, "key"), comps
+def _may_link(i: str, j: str) -> Column:
+    return (DEN * _size(i) >= NUM * _size(j)) & (DEN * _size(j) >= NUM * _size(i))
+
+
+def least_shared(i: str, j: str) -> Column:
+    """Keys of one band that a linked pair shares at least: segments in use, less the largest difference."""
+    total = _size(i) + _size(j)
+    differ = total - 2 * F.ceil(NUM * total / (NUM + DEN))
+    return F.greatest(F.lit(1), F.greatest(_used(i), _used(j)) - differ)
 
 
-def _split(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Groups of many components, cut by the keys of a second, independent universe."""
+class _Verifier:
+    """Verifies pairs of nodes by their whole sets; a node's text comes from one of its documents."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str):
+        self.docs = docs.select(id_col, "_th", text_or_empty(text_col).alias("_t"))
+        self.nodes, self.id_col = nodes, id_col
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, s) of the wanted nodes."""
+        reps = materialize(self.nodes.join(wanted, "node", "left_semi")
+                           .groupBy("node").agg(F.min(F.struct(self.id_col, "_th")).alias("r"))
+                           .select("node", f"r.{self.id_col}", "r._th"), "jaccard-reps")
+        small = reps.count() <= BROADCAST_ROWS
+        texts = join_on_row_key(self.docs, F.broadcast(reps) if small else reps, self.id_col, "inner")
+        # Repeated rows give a node more than once.
+        return materialize(shingle_arrays(texts), "jaccard-sets").dropDuplicates(["node"])
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        right = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        left = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+        common = F.size(F.array_intersect("sa", "sb"))
+        return materialize(pairs.join(right, "b").join(left, "a")
+                           .where(_linked(F.size("sa"), F.size("sb"), common)).select("a", "b"), "jaccard-links")
+
+
+def _with_components(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of the groups that still span several components, with ``comp``."""
+    comps = components(links).withColumnRenamed("node", "_node")
+    rows = (groups.join(comps, F.col("node") == F.col("_node"), "left").drop("_node")
+            .withColumn("comp", F.coalesce("comp", "node")))
+    by_key = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return rows.join(by_key.where(F.col("lo") < F.col("hi")).select("key"), "key")
+
+
+def _skipped_counts(hot: DataFrame) -> DataFrame:
+    """(node, band, hot, t): keys of large groups of a node, and how many of them a pair must share to be left to families."""
+    counts = (hot.groupBy("node", _band("info").alias("band"))
+              .agg(F.count(F.lit(1)).alias("hot"), F.max("info").alias("info")))
+    # A partner's difference is at most a quarter of the size, so linked pairs share this much at least.
+    shared = F.greatest(F.lit(1), _used("info") - F.floor(_size("info") / 4))
+    return counts.select("node", "band", "hot", (F.floor(shared / 2) + 1).alias("t"))
+
+
+def _counted_pairs(rows: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that share as many keys of a band as linked pairs must outside large groups."""
+    rows = (rows.withColumn("band", _band("info")).join(skipped.select("node", "band", "hot"), ["node", "band"], "left")
+            .withColumn("hot", F.coalesce("hot", F.lit(0))))
+    other = rows.select("key", F.col("node").alias("_c"), F.col("info").alias("_i"), F.col("comp").alias("_comp"),
+                        F.col("hot").alias("_hot"))
+    near = (rows.join(other, "key")
+            .where((F.col("node") < F.col("_c")) & (F.col("comp") != F.col("_comp")) & _may_link("info", "_i")))
+    need = least_shared("ia", "ib")
+    return (near.groupBy(F.col("node").alias("a"), F.col("_c").alias("b"), "band")
+            .agg(F.count(F.lit(1)).alias("k"), F.max("info").alias("ia"), F.max("_i").alias("ib"),
+                 F.least(F.max("hot"), F.max("_hot")).alias("hot"))
+            .where(F.col("k") >= need - F.least(F.col("hot"), F.floor(need / 2))).select("a", "b").distinct())
+
+
+def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) that span the components of the links among the given sets."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        i, j = np.searchsorted(column, (low, low + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[i:j], column[i:j] - low] = 1
+        common += part @ part.T
+    n = np.array([len(s) for s in sets], np.int64)
+    common = common.astype(np.int64)
+    a, b = np.nonzero(np.triu(DEN * common >= NUM * (n[:, None] + n[None, :] - common), 1))
+    root = local_roots(len(sets), a, b)
+    child = np.flatnonzero(root != np.arange(len(sets)))
+    return nodes[root[child]], nodes[child]
+
+
+def _family_links(hot: DataFrame, skipped: DataFrame, verifier: _Verifier) -> DataFrame:
+    """Links among documents that share so many keys of large groups, as (a, b) forests."""
+    # Two documents that share t of these keys share one among their first hot - t + 1, in one order for all.
+    common = hot.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    ranked = Window.partitionBy("node", "band").orderBy("m", "key")
+    prefix = (hot.withColumn("band", _band("info"))
+              .join(skipped.where(F.col("hot") >= F.col("t")), ["node", "band"]).join(common, "key")
+              .withColumn("rank", F.row_number().over(ranked))
+              .where(F.col("rank") <= F.col("hot") - F.col("t") + 1).select("key", "node"))
+    prefix = materialize(prefix, "jaccard-prefix")
+    least = prefix.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    edges = (prefix.join(least.where(F.col("least") < F.col("most")), "key")
+             .select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+    family = materialize(components(edges), "jaccard-families").withColumnRenamed("comp", "family")
+    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = (family.join(sizes, "family")
+             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node"))
+    met = (dealt.join(verifier.sets(family.select("node")), "node")
+           .repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi"))
+
     def run(batches):
-        bands = Bands()
+        held, at = [], None
         for b in batches:
-            keys = [index_keys(np.asarray(x.values).view(np.uint64), bands, salt=1) for x in b.column(1)]
-            keys = [np.unique(k) for k in keys]
-            nodes = np.repeat(np.asarray(b.column(0)), [len(k) for k in keys])
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(flat.view(np.int64))], ["node", "key2"])
+            place = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
+            nodes, sets = b.column(3).to_numpy(), b.column(4)
+            for i, p in enumerate(place):
+                if held and p != at:
+                    yield solve(held)
+                    held = []
+                at = p
+                held.append((nodes[i], np.asarray(sets[i].values)))
+        if held:
+            yield solve(held)
 
-    large = groups.groupBy("key").agg(F.count_distinct("comp").alias("c")).where(F.col("c") > SPLIT).select("key")
-    large = materialize(large, "jaccard-large")
-    hot = groups.join(large, "key")
-    calm = groups.join(large, "key", "left_anti")
-    second = (sets.join(hot.select("node").distinct(), "node", "left_semi").select("node", "s")
-              .mapInArrow(run, "node long, key2 long"))
-    cut = (hot.join(second, "node").withColumn("key", F.xxhash64("key", "key2"))
-           .select("key", "node", "n", "comp"))
-    return calm.select("key", "node", "n", "comp").unionByName(cut)
+    def solve(held):
+        a, b = forest(np.array([x for x, _ in held], np.int64), [s for _, s in held])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return materialize(met.select("family", "lo", "hi", "node", "s").mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, ``_th``, n_shingles, component_id (smallest id reachable by links)."""
+    """One row per document: id, ``_th``, n_shingles, component_id (smallest id reachable by links), group.
+
+    ``group`` identifies the component; it is null for empty sets.
+    """
     docs = with_row_key(docs, id_col, text_col)
     nodes = materialize(shingle_nodes(docs, id_col, text_col), "jaccard-nodes")
+    verifier = _Verifier(docs, nodes, id_col, text_col)
 
     whole = Window.partitionBy("key")
     keyed = (key_rows(docs, text_col)
              .withColumns({"lo": F.min("node").over(whole), "hi": F.max("node").over(whole)})
-             .where(F.col("lo") < F.col("hi")).select("key", "node", "n"))
+             .where(F.col("lo") < F.col("hi")).dropDuplicates(["key", "node"]).select("key", "node", "info"))
     groups = materialize(keyed, "jaccard-groups")
 
-    # Shingle arrays of the nodes that share a key with another, from one text each.
-    reps = materialize(nodes.join(groups.select("node").distinct(), "node", "left_semi")
-                       .groupBy("node").agg(F.min(F.struct(id_col, "_th")).alias("r"))
-                       .select("node", f"r.{id_col}", "r._th"), "jaccard-reps")
-    small = reps.count() <= BROADCAST_ROWS
-    texts = join_on_row_key(docs.select(id_col, "_th", text_or_empty(text_col).alias("_t")),
-                            F.broadcast(reps) if small else reps, id_col, "inner")
-    sets = materialize(shingle_arrays(texts).dropDuplicates(["node"]), "jaccard-sets")
-
-    links, tested = None, None
-    open_, comps = _with_components(groups, None)
-    for turn in range(CENTRE_ROUNDS):
-        centre = F.min(F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node").alias("node"),
-                                F.col("n").alias("n"), F.col("comp").alias("comp"))).over(whole)
-        near = (open_.withColumn("c", centre)
-                .where((F.col("comp") != F.col("c.comp")) & _may_link("n", "c.n"))
-                .withColumn("_c", F.col("c.node")))
-        pairs = _ordered_pairs(near, "_c")
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "jaccard-pairs")
-        found = verified(pairs, sets)
-        links = materialize(found if links is None else links.unionByName(found), "jaccard-links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        open_, comps = _with_components(groups, links)
-        open_ = materialize(open_, "jaccard-open")
-    left = materialize(_split(open_, sets), "jaccard-left")
-    other = left.select("key", F.col("node").alias("_c"), F.col("n").alias("_n"), F.col("comp").alias("_comp"))
-    rest = (left.join(other, "key")
-            .where((F.col("node") < F.col("_c")) & (F.col("comp") != F.col("_comp")) & _may_link("n", "_n")))
-    rest = _ordered_pairs(rest, "_c").join(tested, ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(verified(rest, sets)), "jaccard-links")
+    # Centres only save work, so weak pairs can wait: some keys together, not one by chance.
+    centre = F.min(F.struct("node", "info")).over(whole)
+    near = (groups.withColumns({"c": centre, "m": F.count(F.lit(1)).over(whole)})
+            .where((F.col("m") > CENTRED) & (F.col("node") != F.col("c.node")))
+            .withColumn("_c", F.col("c.node")).withColumn("_i", F.col("c.info")).where(_may_link("info", "_i")))
+    tested = materialize(near.groupBy(F.col("_c").alias("a"), F.col("node").alias("b")).count()
+                         .where(F.col("count") > 2).select("a", "b"), "jaccard-pairs")
+    links = verifier.linked(tested)
+    open_ = materialize(_with_components(groups, links), "jaccard-open")
+
+    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    large = (sizes.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+             .where((F.col("m") * F.col("m") - F.col("mm")) / 2 > SPLIT).select("key"))
+    large = materialize(large, "jaccard-large")
+    hot = materialize(open_.join(large, "key"), "jaccard-hot")
+    skipped = materialize(_skipped_counts(hot), "jaccard-skipped")
+    links = links.unionByName(_family_links(hot, skipped, verifier))
+    rest = (_counted_pairs(open_.join(large, "key", "left_anti"), skipped)
+            .join(tested, ["a", "b"], "left_anti"))
+    links = links.unionByName(verifier.linked(materialize(rest, "jaccard-pairs")))
     comps = components(links)
 
-    named = (nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(id_col).alias("component_id"))
     return (named.join(smallest, "comp", "left")
             .select(id_col, "_th", F.col("n").alias("n_shingles"),
                     F.when(F.col("node").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
-                    .alias("component_id")))
+                    .alias("component_id"), F.col("comp").alias("group")))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each linked group: the smallest id (of repeated rows one)."""
+    found = linked_components(docs, id_col, text_col).where(F.col("group").isNotNull())
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_th").alias("th")))
+    kept = found.groupBy("group").agg(best.alias("k")).select(
+        F.xxhash64("k.id", "k.th").alias("_krk"), F.col("k.th").alias("_kth"))
+    keyed = with_row_key(docs, id_col, text_col).withColumn("_rk", F.xxhash64(id_col, "_th"))
+    blank = F.length(F.btrim(text_or_empty(text_col), F.lit(SPACES))) == 0
+    chosen = (keyed.join(kept, (F.col("_rk") == F.col("_krk")) & (F.col("_th") == F.col("_kth")))
+              .withColumn("_n", F.row_number().over(Window.partitionBy("_rk", "_th").orderBy("_rk")))
+              .where(F.col("_n") == 1))
+    return chosen.select(*docs.columns).unionByName(docs.where(blank))

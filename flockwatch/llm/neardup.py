@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flockwatch.llm.graph import components
+from flockwatch.llm.graph import components, local_roots
 from flockwatch.session import materialize
 
 COSINE = 0.95
@@ -116,18 +116,6 @@ def _linked_pairs(a: np.ndarray, b: np.ndarray, x, projected, ids, table, cosine
     return out
 
 
-def _local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest row reachable over the pairs, per row."""
-    root = np.arange(n)
-    while True:
-        old = root.copy()
-        np.minimum.at(root, a, root[b])
-        np.minimum.at(root, b, root[a])
-        root = root[root]
-        if (root == old).all():
-            return root
-
-
 def _solve(batch: pa.RecordBatch, medians: dict, k: int, n_tables: int, cosine: float) -> pa.RecordBatch:
     """(node, links, root) of a batch of whole groups, sorted by group."""
     bucket, dim, lo, hi, block, node, copies = (batch.column(i).to_numpy() for i in range(7))
@@ -155,7 +143,7 @@ def _solve(batch: pa.RecordBatch, medians: dict, k: int, n_tables: int, cosine:
             a, b = at[np.concatenate(first)], at[np.concatenate(second)]
             np.add.at(links, a, copies[b])
             np.add.at(links, b, copies[a])
-            root = _local_roots(n, np.concatenate((a, np.arange(n))), np.concatenate((b, root)))
+            root = local_roots(n, np.concatenate((a, np.arange(n))), np.concatenate((b, root)))
     keep = np.flatnonzero(links > 0)
     return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(links[keep]), pa.array(node[root[keep]])],
                                       ["node", "links", "root"])

@@ -66,8 +66,9 @@ def test_jaccard(docs, corpus):
     assert rows_of(got) == sorted(brute.jaccard(corpus), key=repr)
 
 
-def test_jaccard_skipped_keys_and_centres(docs, corpus, monkeypatch):
+def test_jaccard_centres_and_families(docs, corpus, monkeypatch):
     monkeypatch.setattr(jaccard, "SPLIT", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "CENTRED", 2)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0)
     got = jaccard.linked_components(docs).select("doc_id", "n_shingles", "component_id")

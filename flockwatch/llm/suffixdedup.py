@@ -16,8 +16,8 @@ and equal strings still always meet:
   the others are induced by a scan over first-byte buckets.  Common prefixes
   of neighbours then show the repeated windows.
 
-A group too large for one batch is halved by window offset, which lengthens
-the bytes its members must share, until it fits or is one whole window.
+A group too large for one batch is halved by intervals of window offsets, which
+lengthens the bytes its members must share, until it fits or is one window.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter
 than ``LENGTH`` are kept; repeated rows are occurrences of their own, so each
@@ -42,8 +42,9 @@ LENGTH = 200                # repeated strings of so many bytes go
 GRAM = 48                   # bytes of an anchor: 32 + 16
 REACH = LENGTH - GRAM       # a window names one of its first REACH + 1 grams
 PIECE = 1 << 20             # window starts per piece of a long text
-BATCH_BYTES = 2 << 20       # context bytes sorted at once
+BATCH_BYTES = 1 << 20       # context bytes sorted at once
 HOT_CONTEXTS = BATCH_BYTES // (REACH + LENGTH)
+OFFSETS = 256               # window offsets before an anchor, a power of two above REACH
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -80,22 +81,28 @@ def window_minima(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(v[:len(v) - rest], v[rest:]) if rest else v
 
 
-def anchors(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(position, gram hash) of the anchors: of each window of LENGTH bytes, its leftmost least gram."""
+def anchors(body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(position, gram hash, first, last) of the anchors: of each window of LENGTH bytes, its leftmost least gram.
+
+    ``first`` and ``last`` are the starts of the windows that name the anchor.
+    """
     if len(body) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        none = np.zeros(0, np.int64)
+        return none, np.zeros(0, np.uint64), none, none
     low = np.uint64((1 << 24) - 1)
-    places, hashes = [], []
+    found = []
     for start in range(0, len(body) - LENGTH + 1, PIECE):
         h = gram_hashes(body[start:start + PIECE + LENGTH - 1])
         packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
         least = window_minima(packed, REACH + 1)
-        at = (least[np.concatenate(([True], least[1:] != least[:-1]))] & low).astype(np.int64)
-        places.append(at + start)
-        hashes.append(h[at])
-    p, h = np.concatenate(places), np.concatenate(hashes)
-    keep = np.concatenate(([True], p[1:] > p[:-1]))
-    return p[keep], h[keep]
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        last = np.append(first[1:] - 1, len(least) - 1)
+        at = (least[first] & low).astype(np.int64)
+        found.append((at + start, h[at], first + start, last + start))
+    p, h, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    keep = np.concatenate(([True], p[1:] > p[:-1]))         # an anchor may be named on both sides of a cut
+    last = np.append(last[np.flatnonzero(keep)[1:] - 1], last[-1])
+    return p[keep], h[keep], first[keep], last
 
 
 class _Powers:
@@ -113,14 +120,24 @@ class _Powers:
         return cls.up[:n], cls.down[:n]
 
 
-def contexts(body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash) of the anchors' contexts, the bytes of all windows that can name them."""
-    start, end = np.maximum(0, at - REACH), np.minimum(len(body), at + LENGTH)
+def context_hashes(body: np.ndarray, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the anchors' contexts, the bytes of all windows that name them."""
     up, down = _Powers.of(len(body) + 1)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[1][body] * up[:-1], dtype=np.uint64)))
         shape = ((at - start) * (LENGTH + 1) + (end - at)).astype(np.uint64)
-        return start, end, _scramble((sums[end] - sums[start]) * down[start] + _scramble(shape))
+        return _scramble((sums[end] - sums[start]) * down[start] + _scramble(shape))
+
+
+def place(at, start, end):
+    """Position, bytes before and bytes behind of a context in one number."""
+    return (at << 16) | ((at - start) << 8) | (end - at)
+
+
+def unplace(p):
+    """(position, start, end) of a context."""
+    at = p >> 16
+    return at, at - ((p >> 8) & 255), at + (p & 255)
 
 
 # ---------------------------------------------------------------------------
@@ -248,7 +265,7 @@ def repeated_windows(texts: list[bytes], origin: np.ndarray, place: np.ndarray)
 # ---------------------------------------------------------------------------
 
 def _anchor_rows(docs: DataFrame, id_col: str) -> DataFrame:
-    """(f, c, id, _th, p): gram hash, context hash and position of every anchor."""
+    """(f, c, id, _th, p): gram hash, context hash and place of every anchor."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,12 +273,12 @@ def _anchor_rows(docs: DataFrame, id_col: str) -> DataFrame:
             rows, fs, cs, ps, held = [], [], [], [], 0
             for i, v in enumerate(b.column(2).cast(pa.large_binary())):
                 body = np.frombuffer(v.as_buffer() or b"", np.uint8)
-                p, h = anchors(body)
+                p, h, first, last = anchors(body)
                 if len(p):
                     rows.append(np.full(len(p), i))
                     fs.append(h)
-                    cs.append(contexts(body, p)[2])
-                    ps.append(p)
+                    cs.append(context_hashes(body, p, first, last + LENGTH))
+                    ps.append(place(p, first, last + LENGTH))
                     held += len(p)
                 if held > 100_000 or held and i == b.num_rows - 1:
                     take = pa.array(np.concatenate(rows))
@@ -281,9 +298,13 @@ def _anchor_rows(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def _edge_contexts(marked: DataFrame, id_col: str) -> DataFrame:
-    """(key, id, _th, place, body, anchor, lo, hi) of the anchors listed in ``edges`` (f, p)."""
+    """(key, id, _th, place, body, anchor, lo, hi, iv, span) of the anchors listed in ``edges`` (f, p).
+
+    Windows start lo..hi bytes before the anchor; iv and span are the interval of
+    offsets that the key stands for.
+    """
     kind = marked.schema[id_col].dataType.simpleString()
-    names = ["key", id_col, "_th", "place", "body", "anchor", "lo", "hi"]
+    names = ["key", id_col, "_th", "place", "body", "anchor", "lo", "hi", "iv", "span"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,33 +312,39 @@ def _edge_contexts(marked: DataFrame, id_col: str) -> DataFrame:
             for i in range(b.num_rows):
                 text = b.column(2)[i].as_py().encode()
                 for e in b.column(3)[i].as_py():
-                    p = e["p"]
-                    start = max(0, p - REACH)
-                    out.append((e["f"], i, start, text[start:p + LENGTH], p - start))
+                    p, start, end = unplace(e["p"])
+                    out.append((e["f"], i, start, text[start:end], p - start, p - (end - LENGTH)))
             if out:
-                f, i, start, body, at = zip(*out, strict=True)
+                f, i, start, body, at, lo = zip(*out, strict=True)
                 take = pa.array(i)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(f, pa.int64()), b.column(0).take(take), b.column(1).take(take),
                      pa.array(start, pa.int64()), pa.array(body, pa.binary()), pa.array(at, pa.int32()),
-                     pa.array([0] * len(i), pa.int32()), pa.array([REACH] * len(i), pa.int32())], names)
+                     pa.array(lo, pa.int32()), pa.array(at, pa.int32()), pa.array([0] * len(i), pa.int32()),
+                     pa.array([OFFSETS] * len(i), pa.int32())], names)
 
     return marked.select(id_col, "_th", "text", "edges").mapInArrow(
-        run, f"key long, `{id_col}` {kind}, _th long, place long, body binary, anchor int, lo int, hi int")
+        run, f"key long, `{id_col}` {kind}, _th long, place long, body binary, "
+             "anchor int, lo int, hi int, iv int, span int")
 
 
 def _halves(rows: DataFrame) -> DataFrame:
-    """Contexts for the windows that start lo..hi before the anchor, as two rows of half the offsets each."""
+    """Contexts by the halves of their interval of offsets that they have windows in.
+
+    The new key is the bytes that every window of the half holds.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, data = [], b.to_pylist()
-            for r in data:
-                mid = (r["lo"] + r["hi"]) // 2
-                for lo, hi in ((r["lo"], mid), (mid + 1, r["hi"])):
-                    a, e = r["anchor"] - lo, r["anchor"] + LENGTH - hi
-                    if lo <= hi and a >= 0 and e <= len(r["body"]):
-                        digest = hashlib.blake2b(r["body"][a:e] + bytes((lo & 255, hi & 255)), digest_size=8).digest()
-                        out.append(r | {"lo": lo, "hi": hi, "key": int.from_bytes(digest, "little", signed=True)})
+            out = []
+            for r in b.to_pylist():
+                half = r["span"] // 2
+                for iv in (r["iv"], r["iv"] + half):
+                    lo, hi = max(r["lo"], iv), min(r["hi"], iv + half - 1)
+                    if lo <= hi:
+                        shared = r["body"][r["anchor"] - iv:r["anchor"] + LENGTH - (iv + half - 1)]
+                        key = hashlib.blake2b(shared, digest_size=8, salt=bytes((iv, half))).digest()
+                        out.append(r | {"lo": lo, "hi": hi, "iv": iv, "span": half,
+                                        "key": int.from_bytes(key, "little", signed=True)})
             yield pa.RecordBatch.from_pylist(out, schema=b.schema)
 
     return rows.mapInArrow(run, rows.schema)
@@ -335,12 +362,12 @@ def _sorted_batches(rows: DataFrame, id_col: str) -> DataFrame:
         who = {}
         pair = zip(ids.to_pylist(), table.column("_th").to_pylist(), strict=True)
         origin = np.array([who.setdefault(x, len(who)) for x in pair])
-        place = table.column("place").to_numpy()
-        starts = repeated_windows(texts, origin, place)
+        begin = table.column("place").to_numpy()
+        starts = repeated_windows(texts, origin, begin)
         take = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
         return pa.RecordBatch.from_arrays(
             [ids.take(pa.array(take)), table.column("_th").combine_chunks().take(pa.array(take)),
-             pa.array(place[take] + (np.concatenate(starts) if starts else np.zeros(0, np.int64)))],
+             pa.array(begin[take] + (np.concatenate(starts) if starts else np.zeros(0, np.int64)))],
             [id_col, "_th", "p"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,17 +428,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = materialize(edges, "repeat-edges")
     found = None
     while True:
-        large = materialize(edges.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("hi") - F.col("lo")).alias("w"))
-                            .where(F.col("k") > HOT_CONTEXTS), "repeat-large")
+        large = materialize(edges.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HOT_CONTEXTS),
+                            "repeat-large")
         calm = edges.join(large.select("key"), "key", "left_anti")
-        hot = edges.join(large, "key")
+        hot = edges.join(large.select("key"), "key")
         # A large group of one offset shares a whole window: all of it repeats.
-        equal = hot.where(F.col("w") == 0).select(id_col, "_th", (F.col("place") + F.col("anchor") - F.col("lo")).alias("p"))
+        equal = hot.where(F.col("span") == 1).select(id_col, "_th", (F.col("place") + F.col("anchor") - F.col("lo")).alias("p"))
         new = _sorted_batches(calm, id_col).unionByName(equal)
         found = new if found is None else found.unionByName(new)
-        if large.where(F.col("w") > 0).limit(1).count() == 0:
+        hot = hot.where(F.col("span") > 1)
+        if hot.limit(1).count() == 0:
             break
-        edges = materialize(_halves(hot.where(F.col("w") > 0).select(*edges.columns)), "repeat-edges")
+        edges = materialize(_halves(hot.select(*edges.columns)), "repeat-edges")
     windows = (found.groupBy(id_col, "_th").agg(F.collect_set("p").alias("windows")))
 
     final = join_on_row_key(joined.where(F.size("edges") > 0), windows, id_col)
@@ -428,9 +456,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((n, [], sha))
                     continue
                 body = text.encode()
-                p = np.array(copied or [], np.int64)
+                _, start, end = unplace(np.array(copied or [], np.int64))
                 w = np.array(windows or [], np.int64)
-                spans = _intervals(np.concatenate((p - REACH, w)), np.concatenate((p + LENGTH, w + LENGTH)), len(body))
+                spans = _intervals(np.concatenate((start, w)), np.concatenate((end, w + LENGTH)), len(body))
                 out.append((n, spans, sha256_hex(kept_bytes(body, spans))))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in out], pa.int64()),

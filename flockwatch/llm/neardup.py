@@ -1,19 +1,21 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
 Every vector is projected on many random directions.  Comparing all vectors
-within a window of one projection would list a third of all pairs, so windows
-are first widened to half-lines: each projection is cut at its median (from
-sorting it over a bounded sample), and a table is ``k`` projections whose
-halves form a bucket, with ``k`` about log2 of the number of vectors.  Pairs
-that share a bucket of any table are then counted: a projection is a collision
-when the partner lies in the window centred on the vector.  Pairs with enough
-collisions are verified by their cosine in double precision.
-
-Recall is calibrated for a pair exactly at the threshold: two such vectors fall
-on one side of a cut with probability ``1 - angle / pi``, so ``tables`` gives
-the number of tables that miss such a pair with probability ``MISS`` at most;
-window and count lose less than one in a thousand.  Closer pairs are missed
-less often.
+within a window of one projection would list a third of all pairs, so candidates
+come from random-hyperplane buckets instead: each projection is cut at zero, and
+a table is ``k`` projections whose halves form a bucket.  Pairs that share a
+bucket of any table are then counted: a projection is a collision when the
+partner lies in the window centred on the vector.  Pairs with enough collisions
+are verified by their cosine in double precision.
+
+A cut through the origin parts two vectors with probability ``angle / pi``
+wherever the vectors lie, so ``tables`` gives the number of tables that miss a
+pair exactly at the threshold with probability ``MISS`` at most, on clustered
+and off-centre vectors too; window and count depend on the distance alone and
+lose less than one in a thousand.  Closer pairs are missed less often.  Vectors
+that lie close together make large buckets: ``k`` is at least log2 of the number
+of vectors and larger where a sample shows that this saves work; the number of
+tables follows, so that the miss rate stays.
 
 Equal vectors are one node with a multiplicity.  Buckets above ``BLOCK`` nodes
 are dealt in blocks, and pairs of blocks meet in tasks of bounded size.  Tasks
@@ -42,16 +44,34 @@ from flockwatch.session import materialize
 COSINE = 0.95
 MISS = 0.005
 COUNTED = 64                # projections on which collisions are counted
-SAMPLE = 4096               # vectors from which medians are fitted
+SAMPLE = 4096               # vectors from which the size of buckets is foreseen
+ROW_COST = 256              # comparisons that cost as much as one more bucket row
+MAX_CUTS = 40               # projections per table
 BLOCK = 256                 # nodes of a bucket that meet in one group
+TILE = 64                   # rows whose cosines are taken at once
 SEED = 20
 
 
-def tables(n: int, cosine: float = COSINE, miss: float = MISS) -> tuple[int, int]:
-    """(projections per table, tables) for n vectors."""
-    k = max(4, math.ceil(math.log2(max(n, 2))))
-    same = (1 - math.acos(cosine) / math.pi) ** k
-    return k, math.ceil(math.log(miss) / math.log(1 - same))
+def tables(n: int, cosine: float = COSINE, miss: float = MISS, sample: np.ndarray | None = None) -> tuple[int, int]:
+    """(projections per table, tables) for n vectors; ``sample`` holds cosines of random pairs of them."""
+    def count(k: int) -> int:
+        return math.ceil(math.log(miss) / math.log(1 - (1 - math.acos(cosine) / math.pi) ** k))
+
+    least = max(4, math.ceil(math.log2(max(n, 2))))
+    if sample is None or len(sample) == 0:
+        return least, count(least)
+    same = 1 - np.arccos(np.clip(sample, -1, 1)) / math.pi
+    k = min(range(least, max(MAX_CUTS, least) + 1), key=lambda k: count(k) * (ROW_COST + n / 2 * float((same ** k).mean())))
+    return k, count(k)
+
+
+def sampled_cosines(sample: pa.Array) -> np.ndarray:
+    """Cosines of pairs in a sample in random order."""
+    out = []
+    for _, at in _by_length(sample):
+        x = unit(sample.take(pa.array(at)))
+        out += [(x[gap:] * x[:-gap]).sum(axis=1) for gap in range(1, min(9, len(x)))]
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def window_and_count(cosine: float = COSINE) -> tuple[float, int]:
@@ -73,9 +93,9 @@ def unit(column: pa.Array) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def bucket_ids(projected: np.ndarray, medians: np.ndarray, k: int, n_tables: int) -> np.ndarray:
+def bucket_ids(projected: np.ndarray, k: int, n_tables: int) -> np.ndarray:
     """A bucket id per vector and table."""
-    bits = projected[:, :k * n_tables] > medians[:k * n_tables]
+    bits = projected[:, :k * n_tables] > 0
     ids = bits.reshape(len(projected), n_tables, k) @ (1 << np.arange(k, dtype=np.int64))
     return ids * n_tables + np.arange(n_tables)
 
@@ -86,14 +106,13 @@ def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         yield int(dim), np.flatnonzero(lengths == dim)
 
 
-def _bucket_rows(nodes: DataFrame, medians, k: int, n_tables: int) -> DataFrame:
+def _bucket_rows(nodes: DataFrame, k: int, n_tables: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = medians.value
         for b in batches:
             for dim, at in _by_length(b.column(1)):
                 part = b.take(pa.array(at))
                 r = directions(dim, max(k * n_tables, COUNTED))
-                ids = bucket_ids(unit(part.column(1)) @ r, fitted.get(dim, np.zeros(r.shape[1])), k, n_tables)
+                ids = bucket_ids(unit(part.column(1)) @ r, k, n_tables)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids.ravel()), pa.array(np.full(ids.size, dim, np.int32)),
                      part.column(0).take(pa.array(np.repeat(np.arange(len(at)), n_tables)))], ["bucket", "dim", "node"])
@@ -116,7 +135,7 @@ def _linked_pairs(a: np.ndarray, b: np.ndarray, x, projected, ids, table, cosine
     return out
 
 
-def _solve(batch: pa.RecordBatch, medians: dict, k: int, n_tables: int, cosine: float) -> pa.RecordBatch:
+def _solve(batch: pa.RecordBatch, k: int, n_tables: int, cosine: float) -> pa.RecordBatch:
     """(node, links, root) of a batch of whole groups, sorted by group."""
     bucket, dim, lo, hi, block, node, copies = (batch.column(i).to_numpy() for i in range(7))
     n = batch.num_rows
@@ -127,18 +146,20 @@ def _solve(batch: pa.RecordBatch, medians: dict, k: int, n_tables: int, cosine:
         x = unit(batch.column(7).take(pa.array(at)))
         r = directions(d, max(k * n_tables, COUNTED))
         projected = x @ r
-        ids = bucket_ids(projected, medians.get(d, np.zeros(r.shape[1])), k, n_tables)
+        ids = bucket_ids(projected, k, n_tables)
         g, blk, cross = group[at], block[at], lo[at] != hi[at]
         table = bucket[at] % n_tables
         first, second = [], []
-        for gap in range(1, len(at)):
-            i = np.flatnonzero(g[gap:] == g[:-gap])
-            if len(i) == 0:
-                break
-            i = i[~cross[i] | (blk[i] != blk[i + gap])]
-            ok = _linked_pairs(i, i + gap, x, projected, ids, table, cosine)
+        for s in range(0, len(at), TILE):
+            # Rows of a tile against all rows up to the end of its last group; products leave the near pairs.
+            e = int(np.searchsorted(g, g[min(s + TILE, len(at)) - 1], side="right"))
+            i, j = np.nonzero((x[s:s + TILE] @ x[s:e].T >= cosine - 1e-9) & (g[s:s + TILE, None] == g[s:e]))
+            i, j = i[i < j] + s, j[i < j] + s
+            apart = ~cross[i] | (blk[i] != blk[j])
+            i, j = i[apart], j[apart]
+            ok = _linked_pairs(i, j, x, projected, ids, table, cosine)
             first.append(i[ok])
-            second.append(i[ok] + gap)
+            second.append(j[ok])
         if first:
             a, b = at[np.concatenate(first)], at[np.concatenate(second)]
             np.add.at(links, a, copies[b])
@@ -149,7 +170,7 @@ def _solve(batch: pa.RecordBatch, medians: dict, k: int, n_tables: int, cosine:
                                       ["node", "links", "root"])
 
 
-def _count_links(groups: DataFrame, medians, k: int, n_tables: int, cosine: float) -> DataFrame:
+def _count_links(groups: DataFrame, k: int, n_tables: int, cosine: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
@@ -159,17 +180,17 @@ def _count_links(groups: DataFrame, medians, k: int, n_tables: int, cosine: floa
             before = tuple(c[-1].as_py() for c in held[-1].columns[:4]) if held else None
             now = tuple(c[0].as_py() for c in b.columns[:4]) if b.num_rows else None
             if held and before != now:
-                yield _solve(_joined(held), medians.value, k, n_tables, cosine)
+                yield _solve(_joined(held), k, n_tables, cosine)
                 held, size = [], 0
             if len(change) and size + b.num_rows > 4 * BLOCK:
                 held.append(b.slice(0, int(change[-1])))
-                yield _solve(_joined(held), medians.value, k, n_tables, cosine)
+                yield _solve(_joined(held), k, n_tables, cosine)
                 held, size = [b.slice(int(change[-1]))], b.num_rows - int(change[-1])
             elif b.num_rows:
                 held.append(b)
                 size += b.num_rows
         if held:
-            yield _solve(_joined(held), medians.value, k, n_tables, cosine)
+            yield _solve(_joined(held), k, n_tables, cosine)
 
     parts = (groups.repartition("bucket", "dim", "lo", "hi")
              .sortWithinPartitions("bucket", "dim", "lo", "hi"))
@@ -193,14 +214,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     nodes = materialize(rows.where(F.col("node").isNotNull()).groupBy("node")
                         .agg(F.count(F.lit(1)).alias("copies"), F.min(id_col).alias("least"), F.first("v").alias("v")),
                         "vector-nodes")
-    k, n_tables = tables(nodes.count(), cosine)
-    # Medians from a bounded sample; any cut is right, medians make buckets even.
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
-    fitted = {}
-    for dim, at in _by_length(sample):
-        fitted[dim] = np.median(unit(sample.take(pa.array(at))) @ directions(dim, max(k * n_tables, COUNTED)), axis=0)
-    medians = spark.sparkContext.broadcast(fitted)
-    held = _bucket_rows(nodes, medians, k, n_tables)
+    k, n_tables = tables(nodes.count(), cosine, sample=sampled_cosines(sample))
+    held = _bucket_rows(nodes, k, n_tables)
     shared = held.groupBy("bucket", "dim").agg(F.count(F.lit(1)).alias("b")).where(F.col("b") > 1)
     blocks = F.ceil(F.col("b") / BLOCK).cast("int")
     met = (materialize(held.join(shared, ["bucket", "dim"]), "vector-buckets")
@@ -208,7 +224,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
            .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
            .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
            .join(nodes.select("node", "copies", "v"), "node"))
-    found = materialize(_count_links(met, medians, k, n_tables, cosine), "vector-links")
+    found = materialize(_count_links(met, k, n_tables, cosine), "vector-links")
     comps = components(found.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = (nodes.select("node", "copies", "least").join(sums, "node", "left").join(comps, "node", "left")

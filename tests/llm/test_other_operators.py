@@ -193,6 +193,32 @@ def test_embeddings(spark, monkeypatch, block):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def _around(rng, centre, cosine, n):
+    """Unit vectors whose cosine with each other is ``cosine`` on average."""
+    x = rng.standard_normal((n, len(centre)))
+    x -= np.outer(x @ centre, centre)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.sqrt(cosine) * centre + np.sqrt(1 - cosine) * x
+
+
+@pytest.mark.parametrize("shape", ["cone", "hot third"])
+def test_embeddings_off_centre(spark, shape):
+    rng = np.random.default_rng(7)
+    centre = np.eye(64)[0]
+    if shape == "cone":
+        x = _around(rng, centre, 0.8, 2400)
+    else:
+        x = np.concatenate((_around(rng, centre, 0.93, 800), rng.standard_normal((1600, 64))))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[:400] + 0.28 * (lambda y: y / np.linalg.norm(y, axis=1, keepdims=True))(rng.standard_normal((400, 64)))
+    x = np.concatenate((x, near / np.linalg.norm(near, axis=1, keepdims=True)))
+    there = int((np.triu(x @ x.T, 1) >= neardup.COSINE).sum())
+    assert there >= 350
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = neardup.near_duplicates(table).agg(F.sum("n_links")).first()[0]
+    assert 0.985 * there <= found / 2 <= there
+
+
 # Mixing ---------------------------------------------------------------------
 
 def test_targets_stop_at_three_times_the_source():

@@ -2,8 +2,12 @@
 
 A gear hash rolls over the bytes; a chunk ends where the hash is the largest
 within ``WIDTH`` bytes on either side.  Cuts depend on near-by bytes only, so
-an insertion moves cuts around it and leaves all others where they were, and
-chunks are between ``WIDTH`` and a few times ``WIDTH`` bytes.  Chunks are
+an insertion moves cuts around it and leaves all others where they were.  Where
+equal hashes stand closer than ``WIDTH`` (a short period repeated), every one
+that lies more than ``WIDTH`` past the last cut ends a chunk, so such stretches
+become equal chunks; a longer piece than ``LONGEST`` is cut at the largest hash
+inside.  Chunks between two cuts are thus more than ``WIDTH`` and at most
+``LONGEST`` bytes; only the first and the last of a text can be shorter.  Chunks are
 known by 128-bit digests; of equal chunks the one in the smallest (id, start)
 is the first.  Runs of chunks that stand elsewhere first are removed when they
 cover at least ``MIN_RUN`` bytes, which leaves common short phrases alone.
@@ -26,6 +30,7 @@ from flockwatch.llm.common import join_on_row_key, kept_bytes, merge_intervals,
 from flockwatch.session import materialize
 
 WIDTH = 32                  # a cut is the largest hash of 2 * WIDTH + 1
+LONGEST = 16 * WIDTH        # a longer piece is cut at its largest hash
 MIN_RUN = 96                # bytes of repeated chunks in a row that are removed
 
 _GEAR = np.frombuffer(b"".join(hashlib.blake2b(bytes((i,)), digest_size=8).digest() for i in range(256)), np.uint64)
@@ -53,8 +58,27 @@ def cuts(body: np.ndarray) -> np.ndarray:
         span *= 2
     m = np.maximum(m[:len(m) - (width - span)], m[width - span:])
     at = np.flatnonzero(h[WIDTH:n - WIDTH] == m) + WIDTH + 1
-    at = at[np.concatenate(([True], at[1:] - at[:-1] > WIDTH))] if len(at) else at     # of equal hashes the leftmost
-    return np.concatenate(([0], at, [n] if not len(at) or at[-1] < n else []) ).astype(np.int64)
+    if len(at) and (np.diff(at) <= WIDTH).any():        # equal hashes: the next one past WIDTH from the last cut
+        following, kept, i = np.searchsorted(at, at + WIDTH, side="right").tolist(), [], 0
+        while i < len(at):
+            kept.append(i)
+            i = following[i]
+        at = at[kept]
+    at = np.concatenate(([0], at, [n])).astype(np.int64)
+    far = np.flatnonzero(np.diff(at) > LONGEST)
+    return np.sort(np.concatenate((at, *(_inside(h, *at[i:i + 2].tolist()) for i in far)))) if len(far) else at
+
+
+def _inside(h: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Cuts at the largest hash more than ``WIDTH`` from both ends, again and again until no piece is too long."""
+    out, open_ = [], [(start, end)]
+    while open_:
+        a, b = open_.pop()
+        if b - a > LONGEST:
+            c = a + WIDTH + 1 + int(h[a + WIDTH:b - WIDTH - 1].argmax())
+            out.append(c)
+            open_ += [(a, c), (c, b)]
+    return np.array(out, np.int64)
 
 
 def _chunk_rows(docs: DataFrame, id_col: str) -> DataFrame:

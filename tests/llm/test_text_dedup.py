@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from . import brute
+from .conftest import prose
 from flockwatch.llm import chunkdedup, jaccard, linededup, suffixdedup
 from flockwatch.llm import queries as Q
 
@@ -126,6 +127,29 @@ def test_chunks_resist_insertions():
     assert sizes[1:-1].min() > chunkdedup.WIDTH
 
 
+def chunks_of(b):
+    at = chunkdedup.cuts(np.frombuffer(b, np.uint8)).tolist()
+    return [b[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+@pytest.mark.parametrize("unit", [b"-", b"ab", b"word ", b"a line of just thirty letters\n", b"=" * 31 + b"\n"])
+def test_chunks_of_periodic_stretches(unit):
+    rng = random.Random(6)
+    one, two = (prose(rng, 40).encode() + unit * (n // len(unit)) + prose(rng, 40).encode() for n in (6000, 4500))
+    a, b = chunks_of(one), chunks_of(two)
+    assert max(map(len, a + b)) <= chunkdedup.LONGEST and min(map(len, (a + b)[1:-1])) >= chunkdedup.WIDTH
+    assert sum(len(x) for x in b if x in set(a)) > 4000
+    assert len(set(a)) < len(a) / 2
+
+
+def test_long_pieces_are_cut_inside(monkeypatch):
+    monkeypatch.setattr(chunkdedup, "LONGEST", 3 * chunkdedup.WIDTH)
+    body = np.random.default_rng(4).integers(32, 127, 20_000).astype(np.uint8).tobytes()
+    sizes = [len(x) for x in chunks_of(body)]
+    assert sum(sizes) == len(body) and max(sizes[1:-1]) <= 3 * chunkdedup.WIDTH and min(sizes[1:-1]) > chunkdedup.WIDTH
+    assert len(set(chunks_of(body)) - set(chunks_of(b"inserted" + body))) <= 3
+
+
 def test_chunks(docs, corpus):
     import hashlib
     first, parts = {}, []

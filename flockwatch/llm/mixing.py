@@ -6,13 +6,15 @@ further pass costs more than the one before (convex costs).  The flow routes
 pattern capacity to source quotas at least cost, so that documents repeat only
 where a quota needs it, and the passes spread evenly over patterns.  What a
 pattern must yield is then met by whole passes over all its documents plus a
-seeded selection for the remainder.
+seeded selection for the remainder: documents in seeded order, each taken if
+it still fits, so that a very long one is passed over where it does not.
 
 The flow works on one number per pattern and pass; components of the
 pattern-source graph are solved one by one, and the number of patterns is
 checked against ``MAX_PATTERNS`` before they come to the driver.  Selection is
-distributed: sums per (pattern, hash bucket) find the bucket where the
-remainder ends, and only that bucket's documents are summed one by one.
+distributed and goes in rounds: sums per (pattern, hash bucket) find the bucket
+where a run of documents that fit ends, and only that bucket's documents are
+summed one by one.  Rounds go on until no document is left that fits.
 
 Defined cases: a null or empty text has size 0 and is never taken; a document
 without source forms the source null, ranked last; an empty table gives an
@@ -35,7 +37,6 @@ PASS_COST = (0, 1, 3)       # convex: the second pass costs 1 more, the third 2
 WEIGHTS = (5, 2, 1)         # by rank of the source, repeating
 MAX_PATTERNS = 1_000_000    # checked; a pattern is one combination of sources
 BUCKETS = 4096
-FITS = 3                    # single documents chosen to fill what the seeded prefix leaves open
 SEED = 17
 
 
@@ -145,6 +146,45 @@ def min_cost_flow(capacity: dict[tuple, int], quota: dict, costs=PASS_COST) -> d
     return sent
 
 
+def _taken(runs: Column) -> Column:
+    """Whether a row lies in one of the runs of its pattern."""
+    return F.exists(runs, lambda r: (r["after"].isNull() | (F.col("_key") > r["after"])) & (F.col("_key") <= r["upto"])
+                    & (F.col("_size") <= r["most"]))
+
+
+def _one_round(narrow: DataFrame, marks: DataFrame) -> DataFrame:
+    """``marks`` with one more run per open pattern; done are patterns with nothing left that could fit."""
+    could = (narrow.join(F.broadcast(marks.where(~F.col("_done"))), F.col("_pattern") == F.col("_pp"))
+             .where((F.col("_from").isNull() | (F.col("_key") > F.col("_from"))) & (F.col("_size") <= F.col("_open"))
+                    & (F.col("_size") > 0))
+             .select("_pp", "_open", "_bucket", "_key", "_size"))
+    # The bucket in which what is left ends, and the tokens before it.
+    upto = Window.partitionBy("_pp").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
+    sums = (could.groupBy("_pp", "_open", "_bucket")
+            .agg(F.sum("_size").alias("tokens"), F.max("_key").alias("end"))
+            .withColumn("all", F.sum("tokens").over(upto)))
+    whole = (sums.groupBy("_pp").agg(
+        F.max(F.when(F.col("all") <= F.col("_open"), F.struct("all", "end"))).alias("whole"),
+        F.min(F.when(F.col("all") > F.col("_open"), F.col("_bucket"))).alias("_cb")))
+    whole = materialize(whole, "mix-cuts")
+    cut = F.broadcast(whole.where(F.col("_cb").isNotNull())
+                      .select(F.col("_pp").alias("_cp"), "_cb", F.coalesce("whole.all", F.lit(0)).alias("before")))
+    inside = (could.join(cut, (F.col("_pp") == F.col("_cp")) & (F.col("_bucket") == F.col("_cb")))
+              .withColumn("upto", F.col("before")
+                          + F.sum("_size").over(Window.partitionBy("_pp").orderBy("_key"))))
+    ends = inside.groupBy("_pp").agg(
+        F.max(F.when(F.col("upto") <= F.col("_open"), F.struct(F.col("upto").alias("all"), F.col("_key").alias("end")))).alias("part"),
+        F.min(F.when(F.col("upto") > F.col("_open"), F.col("_key"))).alias("stop"))
+    got = (whole.join(ends, "_pp", "left")
+           .select("_pp", F.coalesce("part", "whole").alias("got"), "stop"))
+    run = F.struct(F.col("_from").alias("after"), F.col("got.end").alias("upto"), F.col("_open").alias("most"))
+    left = F.col("_open") - F.coalesce(F.col("got.all"), F.lit(0))
+    return (marks.join(F.broadcast(got), "_pp", "left")
+            .select("_pp", left.alias("_open"), F.coalesce("stop", "_from").alias("_from"),
+                    F.when(F.col("got").isNull(), F.col("_runs")).otherwise(F.concat("_runs", F.array(run))).alias("_runs"),
+                    (F.col("_done") | F.col("stop").isNull() | (left == 0)).alias("_done")))
+
+
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text",
         seed: int = SEED, keep_rows: bool = False) -> tuple[DataFrame, dict, dict]:
     """(rows, sizes, targets): rows have id, ``_pattern``, ``size``, ``taken`` (tokens, repeats counted).
@@ -179,51 +219,31 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     plan = [(list(p), *(divmod(sum(sent[p].values()), n) if n else (0, 0))) for p, n in capacity.items()]
     plan_df = F.broadcast(spark.createDataFrame(plan, "_pp array<string>, _passes long, _rest long"))
 
-    # The bucket in which a pattern's remainder ends, and the tokens before it.
-    before = Window.partitionBy("_pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (by_bucket.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-           .join(plan_df, F.col("_pattern") == F.col("_pp"))
-           .where((F.col("before") <= F.col("_rest")) & (F.col("_rest") < F.col("before") + F.col("tokens")))
-           .select("_pp", F.col("_bucket").alias("_cb"), "before", "_rest"))
-    cut = F.broadcast(cut)
-    inside = (narrow.join(cut, (F.col("_pattern") == F.col("_pp")) & (F.col("_bucket") == F.col("_cb")))
-              .withColumn("upto", F.col("before")
-                          + F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_key"))))
-    # Last key of the seeded prefix, and what the prefix leaves open.
-    ends = (inside.groupBy("_pp", "_cb", "before", "_rest").agg(
-        F.max(F.when(F.col("upto") <= F.col("_rest"), F.col("_key"))).alias("_last"),
-        F.max(F.when(F.col("upto") <= F.col("_rest"), F.col("upto"))).alias("_got")))
-    ends = ends.select("_pp", F.coalesce("_last", F.struct(F.col("_cb").cast("long").alias("b"),
-                                                           F.lit(-2**63).alias("h"),
-                                                           F.lit(-2**63).alias("t"))).alias("_last"),
-                       (F.col("_rest") - F.coalesce("_got", "before")).alias("_open"))
+    # The remainder of a pattern: documents in seeded order, each one taken if it
+    # still fits.  A round takes, of the documents that could fit, all up to the
+    # first that does not; the next round goes on behind it with what is left.
     key_type = narrow.schema["_key"].dataType.simpleString()
-    marks = materialize(ends.withColumn("_extras", F.expr(f"cast(array() as array<{key_type}>)")), "mix-cuts")
-    # A few more documents past the prefix: the largest that the open rest still
-    # holds, again and again, and last the one that comes nearest to it.
-    for turn in range(FITS):
-        off = F.col("_open") - F.col("_size")
-        fits = (F.abs(off) < F.col("_open")) if turn == FITS - 1 else (off >= 0)
-        best = (narrow.join(F.broadcast(marks), F.col("_pattern") == F.col("_pp"))
-                .where((F.col("_key") > F.col("_last")) & (F.col("_size") > 0) & fits
-                       & ~F.array_contains("_extras", F.col("_key")))
-                .groupBy("_pp").agg(F.min(F.struct(F.abs(off).alias("off"), F.col("_key").alias("k"),
-                                                   F.col("_size").alias("n"))).alias("best")))
-        marks = materialize(
-            marks.join(F.broadcast(best), "_pp", "left")
-            .select("_pp", "_last",
-                    F.when(F.col("best").isNull(), F.col("_open")).otherwise(F.col("_open") - F.col("best.n")).alias("_open"),
-                    F.when(F.col("best").isNull(), F.col("_extras"))
-                    .otherwise(F.concat("_extras", F.array(F.col("best.k")))).alias("_extras")), "mix-cuts")
-    marks = marks.join(plan_df.select("_pp", "_passes"), "_pp").select("_pp", "_passes", "_last", "_extras")
+    marks = materialize(plan_df.where("_rest > 0").select(
+        "_pp", F.col("_rest").alias("_open"), F.lit(None).cast(key_type).alias("_from"),
+        F.expr(f"cast(array() as array<struct<after:{key_type},upto:{key_type},most:bigint>>)").alias("_runs"),
+        F.lit(False).alias("_done")), "mix-cuts")
+    while marks.where(~F.col("_done")).limit(1).count():
+        marks = materialize(_one_round(narrow, marks), "mix-cuts")
+    # Last, the document not yet taken that comes nearest to what is left (repeated rows are taken together).
+    off = F.abs(F.col("_open") - F.col("n"))
+    best = (narrow.join(F.broadcast(marks), F.col("_pattern") == F.col("_pp"))
+            .where((F.col("_size") > 0) & (F.col("_size") < 2 * F.col("_open")) & ~_taken(F.col("_runs")))
+            .groupBy("_pp", "_key", "_open").agg(F.sum("_size").alias("n")).where(off < F.col("_open"))
+            .groupBy("_pp").agg(F.min(F.struct(off.alias("off"), F.col("_key").alias("k"))).alias("best")))
+    marks = marks.join(F.broadcast(best), "_pp", "left").select("_pp", "_runs", F.col("best.k").alias("_last"))
+    marks = materialize(plan_df.select("_pp", "_passes").join(marks, "_pp", "left"), "mix-cuts")
 
     base = (rows.drop("_bucket") if keep_rows else
             narrow.select(F.col("_id").alias(id_col), "_pattern", "_size", "_key"))
-    once_more = ((F.col("_key") <= F.col("_last")) | F.array_contains("_extras", F.col("_key")))
+    once_more = F.coalesce(_taken(F.col("_runs")), F.lit(False)) | F.col("_key").eqNullSafe(F.col("_last"))
     out = (base.join(F.broadcast(marks), F.col("_pattern") == F.col("_pp"), "left")
-           .withColumn("_times", F.coalesce(F.col("_passes"), F.lit(0))
-                       + F.coalesce(once_more.cast("long"), F.lit(0)))
-           .drop("_pp", "_passes", "_last", "_extras", "_key"))
+           .withColumn("_times", F.coalesce(F.col("_passes"), F.lit(0)) + once_more.cast("long"))
+           .drop("_pp", "_passes", "_runs", "_last", "_key"))
     return out, dict(sizes), targets
 
 

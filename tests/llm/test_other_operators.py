@@ -257,6 +257,17 @@ def test_mix(docs, corpus, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mix_passes_over_very_long_documents(spark):
+    rng = random.Random(8)
+    long = [20_000] * 60 + [rng.randint(10, 30) for _ in range(2000)]
+    rows = [(i, "w " * n, "b") for i, n in enumerate(long)] + [(5000 + i, "w " * 700, "a") for i in range(500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_by_source(table).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 2
+    for r in got:
+        assert abs(r["taken"] - r["target"]) <= 30
+
+
 # Pipeline -------------------------------------------------------------------
 
 def test_pipeline_stages(spark, tmp_path):

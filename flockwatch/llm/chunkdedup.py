@@ -10,7 +10,8 @@ inside.  Chunks between two cuts are thus more than ``WIDTH`` and at most
 ``LONGEST`` bytes; only the first and the last of a text can be shorter.  Chunks are
 known by 128-bit digests; of equal chunks the one in the smallest (id, start)
 is the first.  Runs of chunks that stand elsewhere first are removed when they
-cover at least ``MIN_RUN`` bytes, which leaves common short phrases alone.
+cover at least ``MIN_RUN`` bytes, which leaves common short phrases alone, or a
+whole document.
 
 Defined cases: null and empty texts have no chunks; repeated rows are one
 document; documents without id come first; long texts are processed whole.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from flockwatch.llm.common import join_on_row_key, kept_bytes, merge_intervals, sha256_hex, text_or_empty, with_row_key
 from flockwatch.session import materialize
 
-WIDTH = 32                  # a cut is the largest hash of 2 * WIDTH + 1
+WIDTH = 12                  # a cut is the largest hash of 2 * WIDTH + 1
 LONGEST = 16 * WIDTH        # a longer piece is cut at its largest hash
 MIN_RUN = 96                # bytes of repeated chunks in a row that are removed
 
@@ -115,9 +116,10 @@ def _chunk_rows(docs: DataFrame, id_col: str) -> DataFrame:
         run, f"d1 long, d2 long, `{id_col}` {kind}, _th long, start long, size long")
 
 
-def removed_runs(starts: np.ndarray, sizes: np.ndarray, min_run: int = MIN_RUN) -> list[tuple[int, int]]:
+def removed_runs(starts: np.ndarray, sizes: np.ndarray, min_run: int = MIN_RUN, n: int | None = None) -> list[tuple[int, int]]:
+    """Runs of at least ``min_run`` bytes, and one that covers a whole text of ``n`` bytes whatever its length."""
     a, b = merge_intervals(starts, starts + sizes)
-    long = b - a >= min_run
+    long = (b - a >= min_run) | ((b - a == n) if n else False)
     return list(zip(a[long].tolist(), b[long].tolist(), strict=True))
 
 
@@ -143,7 +145,7 @@ def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 text = v.as_py()
                 starts = np.array([x["start"] for x in later or []], np.int64)
                 sizes = np.array([x["size"] for x in later or []], np.int64)
-                spans = removed_runs(starts, sizes, min_run)
+                spans = removed_runs(starts, sizes, min_run, len(text))
                 out.append((len(text), len(cuts(np.frombuffer(text, np.uint8))) - 1, len(starts),
                             [{"start": s, "end": e} for s, e in spans], sha256_hex(kept_bytes(text, spans))))
             n, chunks, repeated, spans, sha = zip(*out, strict=True) if out else ([],) * 5

@@ -150,6 +150,27 @@ def test_long_pieces_are_cut_inside(monkeypatch):
     assert len(set(chunks_of(body)) - set(chunks_of(b"inserted" + body))) <= 3
 
 
+def test_every_planted_passage_is_hit():
+    rng = random.Random(12)
+    for _ in range(800):
+        passage = prose(rng, 51)[:313]
+        one, two = (chunks_of((prose(rng, 40) + " " + passage + " " + prose(rng, 40)).encode()) for _ in range(2))
+        known, at, later = set(one), 0, []
+        for x in two:
+            if x in known:
+                later.append((at, len(x)))
+            at += len(x)
+        starts, sizes = (np.array(c, np.int64) for c in zip(*later, strict=True))
+        assert chunkdedup.removed_runs(starts, sizes)
+
+
+def test_short_copies_go_whole(spark):
+    rows = [(1, "A short text."), (2, "A short text."), (3, "Another one."), (4, "A short text. And more of it.")]
+    got = {r["doc_id"]: len(r["spans"]) for r in chunkdedup.remove_chunks(
+        spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0}
+
+
 def test_chunks(docs, corpus):
     import hashlib
     first, parts = {}, []

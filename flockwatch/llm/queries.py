@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flockwatch.llm.bpe import decode, encode
 from flockwatch.llm.chunkdedup import remove_chunks
 from flockwatch.llm.common import read_table
+from flockwatch.llm.convrepair import damage, digests, repair
 from flockwatch.llm.decontaminate import contamination
+from flockwatch.llm.hardneg import hard_negatives, quantised
 from flockwatch.llm.jaccard import linked_components
 from flockwatch.llm.linededup import dedup_lines
 from flockwatch.llm.mixing import mix_by_source
@@ -145,3 +148,58 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the weights of their sources."""
     return mix_by_source(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@register("op11_conversation_repair")
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by rule and repaired at the least cost."""
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    fixed = repair(damage(turns))
+    out = turns.select("conv_id").distinct()
+    for part in (fixed.summary, digests(fixed.rows)):
+        part = part.withColumnRenamed("conv_id", "_c")
+        out = out.join(part, out["conv_id"].eqNullSafe(part["_c"]), "left").drop("_c")
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return out.select("conv_id", *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in counts],
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+SQL_OP12 = """
+with r as (select distinct vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                  list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+           from embeddings
+           where vec_id is not null and label is not null and embedding is not null
+             and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.id as anchor_id, b.id as id, a.label = b.label as same,
+             cast(list_inner_product(a.q, b.q) as bigint) as score
+      from r a join r b on a.id % 100 = 0 and a.id <> b.id),
+p as (select anchor_id, id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select anchor_id, positive_id,
+       cast(row_number() over (partition by anchor_id, positive_id order by score desc, id) as integer) as rank,
+       id as negative_id, positive_score, score as negative_score
+from p join (select * from s where not same) using (anchor_id)
+where 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify row_number() over (partition by anchor_id, positive_id order by score desc, id) <= 5
+"""
+
+
+@register("op12_hard_negatives", SQL_OP12)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth embedding against all embeddings."""
+    rows = quantised(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select(F.col("vec_id").cast("long").alias("id"), label.alias("label"), "q",
+                                      (F.col("vec_id") % 100 == 0).alias("is_anchor")))
+
+
+@register("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded by the public byte-level vocabulary and decoded again."""
+    import public_tokenizers
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    text = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return decode(ids, ranks).select("doc_id", "n_tokens", F.sha2(text.cast("binary"), 256).alias("ids_sha256"),
+                                     F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -42,7 +42,7 @@ from flockwatch.llm.common import slices
 
 # Documents are encoded in slices of about this much text; a task remembers at
 # most this many words and this many bytes of them between slices.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 KNOWN_WORDS = 400_000
 KNOWN_BYTES = 16 << 20
 # Words of a very long text taken at once.
@@ -67,7 +67,7 @@ class Vocabulary:
         if r is None:
             a, b = divmod(key, self.width)
             r = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-            if len(self._pairs) >= 1 << 20:
+            if len(self._pairs) >= 1 << 18:
                 self._pairs.clear()
             self._pairs[key] = r
         return r

@@ -75,7 +75,8 @@ def inverted_index_size(L: DataFrame, R: DataFrame, keys: list[str]) -> tuple[in
 
 def overlap_above(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: list[str],
                   t: float, strict: bool = True, item: str = "acct_key",
-                  shared: list[str] | None = None, prefix_filter: bool | None = None) -> DataFrame:
+                  shared: list[str] | None = None, prefix_filter: bool | None = None,
+                  pairs: Column | None = None, lsize: str | None = None, rsize: str | None = None) -> DataFrame:
     """Pairs above the threshold: lkeys + rkeys + (overlap, lsize, rsize, coef).
 
     ``shared`` columns (e.g. a min-size key) must be equal on both sides and are
@@ -83,43 +84,54 @@ def overlap_above(left: DataFrame, right: DataFrame, lkeys: list[str], rkeys: li
     ``prefix_filter``: True always filters, False always uses the plain
     inverted index, None (default) counts what the plain index would emit and
     uses it only within ``PLAIN_PAIRS_PER_ROW`` times the input rows.
+    ``pairs``, a condition on the keys, holds where pairs are made: other pairs
+    are never counted, shuffled or verified.
+    ``lsize`` / ``rsize`` name a key that holds the set's size already; the rows of
+    that side are then taken as distinct, and no size is counted.
     """
     shared = shared or []
-    L = left.select(*shared, *lkeys, item).distinct()
-    R = right.select(*shared, *rkeys, item).distinct()
+    wanted = F.lit(True) if pairs is None else pairs
+    L, R = left.select(*shared, *lkeys, item), right.select(*shared, *rkeys, item)
+    L, R = L if lsize else L.distinct(), R if rsize else R.distinct()
     lset, rset = shared + lkeys, shared + rkeys
     if prefix_filter is None:
         pairs_n, rows_n = inverted_index_size(L, R, shared + [item])
         prefix_filter = pairs_n > PLAIN_PAIRS_PER_ROW * max(rows_n, 1)
-    lsz = L.groupBy(*lset).agg(F.count(F.lit(1)).alias("_ls"))
-    rsz = R.groupBy(*rset).agg(F.count(F.lit(1)).alias("_rs"))
+    def with_size(rows, keys, known, name):
+        if known:
+            return rows.withColumn(name, F.col(known).cast("long"))
+        return rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys)
 
     if prefix_filter:
         freq = (L.select(*shared, item).unionAll(R.select(*shared, item))
                  .groupBy(*shared, item).agg(F.count(F.lit(1)).alias("_f")))
-        Lp = L.join(freq, shared + [item]).join(lsz, lset)
-        Rp = R.join(freq, shared + [item]).join(rsz, rset)
+        Lp = with_size(L.join(freq, shared + [item]), lset, lsize, "_ls")
+        Rp = with_size(R.join(freq, shared + [item]), rset, rsize, "_rs")
         l_pre = _prefix(Lp, lset, "_ls", t, strict)
         r_pre = _prefix(Rp, rset, "_rs", t, strict)
         # Left as the smaller (or equal) side: its prefix against all right items.
         c1 = (l_pre.select(*lset, item, "_ls")
                    .join(Rp.select(*rset, item, "_rs"), shared + [item])
-                   .filter(F.col("_ls") <= F.col("_rs")).select(*lset, *rkeys))
+                   .filter((F.col("_ls") <= F.col("_rs")) & wanted).select(*lset, *rkeys))
         # Right as the strictly smaller side.
         c2 = (r_pre.select(*rset, item, "_rs")
                    .join(Lp.select(*lset, item, "_ls"), shared + [item])
-                   .filter(F.col("_rs") < F.col("_ls")).select(*lset, *rkeys))
+                   .filter((F.col("_rs") < F.col("_ls")) & wanted).select(*lset, *rkeys))
         cand = c1.unionByName(c2).distinct()
         # Exact verification of each candidate pair.
-        pairs = (cand.join(L, lset).join(R, shared + rkeys + [item])
+        found = (cand.join(L, lset).join(R, shared + rkeys + [item])
                      .groupBy(*lset, *rkeys).agg(F.count(F.lit(1)).alias("overlap")))
     else:
-        pairs = (L.join(R, shared + [item]).groupBy(*lset, *rkeys)
+        found = (L.join(R, shared + [item]).filter(wanted).groupBy(*lset, *rkeys)
                   .agg(F.count(F.lit(1)).alias("overlap")))
 
-    out = (pairs.join(lsz, lset).join(rsz, rset)
-                .withColumnRenamed("_ls", "lsize").withColumnRenamed("_rs", "rsize")
-                .withColumn("coef", F.col("overlap") / F.least("lsize", "rsize")))
+    def sized(pairs_found, rows, keys, known, name):
+        if known:
+            return pairs_found.withColumn(name, F.col(known).cast("long"))
+        return pairs_found.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)), keys)
+
+    out = sized(sized(found, L, lset, lsize, "lsize"), R, rset, rsize, "rsize")
+    out = out.withColumn("coef", F.col("overlap") / F.least("lsize", "rsize"))
     keep = F.col("coef") > t if strict else F.col("coef") >= t
     return out.filter(keep)
 

@@ -107,13 +107,12 @@ def _random_collections(seed, k):
     return rows, colls
 
 
-@pytest.mark.parametrize("seed,k,prefix", [(5, 24, None), (13, 10, True)])
-def test_rounds_equal_sequential_on_random_collections(spark, seed, k, prefix):
+@pytest.mark.parametrize("seed,k,prefix,ms_list,iters", [(5, 24, None, (1, 2, 3), 2), (13, 10, True, (2, 3), 1)])
+def test_rounds_equal_sequential_on_random_collections(spark, seed, k, prefix, ms_list, iters):
     # Collections use disjoint accounts, so they never interact and one Spark
     # run checks them all against the sequential simulation.  prefix=True
     # forces the prefix-filtered overlap joins inside the rounds.
     rows, colls = _random_collections(seed, k)
-    ms_list, iters = (1, 2, 3), 2
     res = mining.recurring_sets(_frame(spark, rows), min_sizes=ms_list, iterations=iters,
                                 prefix_filter=prefix)
     sets, mem, occ = _spark_result(res)
@@ -135,6 +134,38 @@ def test_rounds_equal_sequential_on_random_collections(spark, seed, k, prefix):
     assert dict(n_sets) == dict(exp_sets)
 
 
+def _with_hot_account(share):
+    """Sixty baskets of 6 to 12 accounts in thirty pairs that share most of them; ``share`` of the baskets hold one account."""
+    rng = random.Random(3)
+    baskets = {}
+    for i in range(30):
+        n = rng.randint(6, 9)
+        for j in range(2):
+            accounts = set(_named(f"h{i}x", *range(n + 2 * j))) - set(_named(f"h{i}x", *range(j)))
+            baskets[(dt.date(2019, 1, 1) + dt.timedelta(days=len(baskets)), "HOT", "R")] = accounts
+    for key in rng.sample(sorted(baskets), int(share * len(baskets))):
+        baskets[key] = baskets[key] | {"everywhere"}
+    return baskets
+
+
+def test_account_of_most_baskets_adds_no_rounds(spark):
+    rounds = {}
+    for share in (0, 0.7):
+        baskets = _with_hot_account(share)
+        res = mining.recurring_sets(_frame(spark, [(*k, a) for k, b in baskets.items() for a in b]), min_sizes=(5,), iterations=1)
+        rounds[share] = res.rounds
+        order = sorted(baskets.items(), key=lambda kv: (len(kv[1]), kv[0]))
+        want = sorted((tuple(sorted(x.now)), tuple(sorted(x.seen))) for x in seq_mining.mine(order, 5, 1) if len(x.seen) > 1)
+        _, mem, occ = _spark_result(res)
+        assert sorted((tuple(sorted(mem[i])), tuple(sorted(occ[i]))) for i in mem) == want and want
+    assert rounds[0.7] == rounds[0]
+
+
+def test_no_baskets(spark):
+    res = mining.recurring_sets(_frame(spark, []), min_sizes=(2, 3), iterations=2)
+    assert res.members.collect() == res.trades.collect() == res.sets.collect() == []
+
+
 def test_input_partitioning_does_not_change_result(spark):
     rows, _ = _random_collections(9, 8)
     a = mining.recurring_sets(_frame(spark, rows), min_sizes=(2,), iterations=2)

@@ -55,26 +55,9 @@ def with_ord(members: DataFrame) -> tuple[DataFrame, DataFrame]:
 # Overlap between two families of sets (op 31)
 # ---------------------------------------------------------------------------
 
-def overlap_counts(left: DataFrame, right: DataFrame, lkey: str, rkey: str,
-                   item: str = "acct_key") -> DataFrame:
-    """|L n R| for every pair sharing at least one item: (lkey, rkey, overlap).
-
-    Inverted-index join on ``item`` with a count per pair (partial counts
-    before the shuffle).
-    """
-    l = left.select(F.col(lkey).alias("_l"), F.col(item).alias("_i"))
-    r = right.select(F.col(rkey).alias("_r"), F.col(item).alias("_i"))
-    return (l.join(r, "_i").groupBy("_l", "_r").agg(F.count(F.lit(1)).alias("overlap"))
-             .withColumnRenamed("_l", lkey).withColumnRenamed("_r", rkey))
-
-
-def overlap_pairs(left: DataFrame, right: DataFrame, lkey: str, rkey: str, lsize: DataFrame,
-                  rsize: DataFrame, item: str = "acct_key") -> DataFrame:
-    """Op 31: overlap and overlap coefficient |L n R| / min(|L|, |R|) per pair."""
-    oc = overlap_counts(left, right, lkey, rkey, item)
-    oc = oc.join(lsize, lkey).join(rsize, rkey)
-    ls, rs = [c for c in lsize.columns if c != lkey][0], [c for c in rsize.columns if c != rkey][0]
-    return oc.withColumn("coef", F.col("overlap") / F.least(F.col(ls), F.col(rs)))
+def _sides(m: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members twice, as (a, a_n, account) and (b, b_n, account): position and size of their basket."""
+    return tuple(m.select(F.col("ord").alias(x), F.col("basket_size").alias(f"{x}_n"), "acct_key") for x in "ab")
 
 
 def basket_overlap_pairs(members: DataFrame, threshold: float = HIGH_RATIO,
@@ -86,10 +69,9 @@ def basket_overlap_pairs(members: DataFrame, threshold: float = HIGH_RATIO,
     baskets does not make the candidate set quadratic.
     """
     m, ob = with_ord(members)
-    a = m.select(F.col("ord").alias("a"), "acct_key")
-    b = m.select(F.col("ord").alias("b"), "acct_key")
-    pairs = (overlap_above(a, b, ["a"], ["b"], threshold, strict, prefix_filter=prefix_filter)
-             .filter(F.col("a") < F.col("b")).select("a", "b", "overlap", "coef"))
+    a, b = _sides(m)
+    pairs = (overlap_above(a, b, ["a", "a_n"], ["b", "b_n"], threshold, strict, prefix_filter=prefix_filter,
+                           pairs=F.expr("a < b"), lsize="a_n", rsize="b_n").select("a", "b", "overlap", "coef"))
     sa = ob.select(F.col("ord").alias("a"), *[F.col(k).alias(f"a_{k}") for k in BASKET_KEYS],
                    F.col("basket_size").alias("a_size"))
     sb = ob.select(F.col("ord").alias("b"), *[F.col(k).alias(f"b_{k}") for k in BASKET_KEYS],
@@ -129,22 +111,20 @@ def basket_best_match(members: DataFrame, cascade=CASCADE) -> DataFrame:
     reach the plain index.
     """
     m, ob = with_ord(members)
-    a = m.select(F.col("ord").alias("a"), "acct_key")
-    b = m.select(F.col("ord").alias("b"), "acct_key")
+    a, b = _sides(m)
+    sizes = {"lsize": "a_n", "rsize": "b_n", "pairs": F.expr("a <> b")}
     pairs_n, rows_n = inverted_index_size(a, b, ["acct_key"])
     if pairs_n <= PLAIN_PAIRS_PER_ROW * max(rows_n, 1):
-        found = [overlap_above(a, b, ["a"], ["b"], 0.0, True, prefix_filter=False)
-                 .filter(F.col("a") != F.col("b"))]
+        found = [overlap_above(a, b, ["a", "a_n"], ["b", "b_n"], 0.0, True, prefix_filter=False, **sizes)]
     else:
         found, left = [], a
         for t in cascade:
-            hits = (overlap_above(left, b, ["a"], ["b"], t, True, prefix_filter=True)
-                    .filter(F.col("a") != F.col("b")))
-            hits = materialize(hits, "best_match_level")
+            hits = overlap_above(left, b, ["a", "a_n"], ["b", "b_n"], t, True, prefix_filter=True, **sizes)
+            # Only each basket's best of this level is written, not all its pairs.
+            hits = materialize(best_match(hits.select("a", "b", "overlap", "coef"), "a", "b"), "best_match_level")
             found.append(hits)
             left = left.join(hits.select("a").distinct(), "a", "left_anti")
-        found.append(overlap_above(left, b, ["a"], ["b"], 0.0, True, prefix_filter=False)
-                     .filter(F.col("a") != F.col("b")))
+        found.append(overlap_above(left, b, ["a", "a_n"], ["b", "b_n"], 0.0, True, prefix_filter=False, **sizes))
     pairs = found[0].select("a", "b", "overlap", "coef")
     for more in found[1:]:
         pairs = pairs.unionByName(more.select("a", "b", "overlap", "coef"))

@@ -300,6 +300,87 @@ def q_catalog_typed_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delimited.apply_schema(raw, delimited.struct_type_for(catalog, "lineitem"))
 
 
+# The customer lines without any header, in a nested folder per segment and sign of the balance.
+_SQL_NESTED = """
+with t as (select *, c_mktsegment seg, case when c_acctbal < 0 then 'owing' else 'paid' end state,
+                  cast(c_custkey as varchar) || ',"' || c_name || '",' || cast(c_nationkey as varchar) as line
+           from customer)
+"""
+
+
+def _nested_customers(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(folder of nested, headerless files; one-line file of names)."""
+    cu = ad.load(spark, sf_dir, "customer")
+    path, head = scratch_path(spark, "customer_nested"), scratch_path(spark, "customer_names")
+    line = F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit('",'), F.col("c_nationkey").cast("string"))
+    (cu.select(F.col("c_mktsegment").alias("seg"), F.when(F.col("c_acctbal") < 0, "owing").otherwise("paid").alias("state"),
+               line.alias("value")).write.partitionBy("seg", "state").text(path))
+    sinks.write_lines(spark.range(1).select(F.lit('cust,"label",nat').alias("value")), head, single_file=True)
+    return path, head
+
+
+def _folder(path: str, level: str):
+    return F.regexp_extract(path, f"/{level}=([^/]*)/", 1).alias(level)
+
+
+@register("headerless_nested_read", _SQL_NESTED + """
+select cast(c_custkey as varchar) cust, c_name label, cast(c_nationkey as varchar) nat, seg, state from t
+""")
+def q_headerless_nested_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ops 2, 6: nested files without headers, names from a second file, each row with its file of origin."""
+    path, head = _nested_customers(spark, sf_dir)
+    rows = delimited.read_delimited(spark, path, header_path=head, recursive=True, data_has_header=False, file_column="origin")
+    return rows.select("cust", "label", "nat", _folder("origin", "seg"), _folder("origin", "state"))
+
+
+@register("nested_file_listing", _SQL_NESTED + """
+select seg, state, cast(sum(strlen(line) + 1) as bigint) n_bytes, count(*) n_rows from t group by seg, state
+""")
+def q_nested_file_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 6: the recursive listing joined with the rows read from each file: bytes and rows per folder."""
+    path, head = _nested_customers(spark, sf_dir)
+    rows = delimited.read_delimited(spark, path, header_path=head, recursive=True, data_has_header=False, file_column="origin")
+    per_file = rows.groupBy(F.regexp_replace("origin", "^file:/+", "/").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    files = (delimited.list_files(spark, path, "part-*").withColumn("at", F.regexp_replace("file_path", "^file:/+", "/"))
+             .join(per_file, "at", "left"))
+    return (files.groupBy(_folder("at", "seg"), _folder("at", "state"))
+            .agg(F.sum("length").alias("n_bytes"), F.sum(F.coalesce("n", F.lit(0))).alias("n_rows")))
+
+
+_TYPE_TEXT = {"bigint": "NUMBER(19)", "int": "NUMBER(10) NOT NULL", "double": "NUMBER(12,2)", "string": "VARCHAR2(200 CHAR) NOT NULL"}
+
+
+@register("catalog_file_schemas", """
+with c(table_name, column_id, column_name, data_type, nullable) as (values
+  ('customer', 1, 'c_custkey', 'double', true), ('customer', 2, 'c_name', 'string', false),
+  ('customer', 3, 'c_nationkey', 'double', false), ('customer', 4, 'c_acctbal', 'double', true),
+  ('customer', 5, 'c_mktsegment', 'string', false),
+  ('supplier', 1, 's_suppkey', 'double', true), ('supplier', 2, 's_name', 'string', false),
+  ('supplier', 3, 's_nationkey', 'double', false), ('supplier', 4, 's_acctbal', 'double', true)),
+s as (select 'customer' table_name, count(*) n_rows, round(sum(c_acctbal), 2) balance from customer
+      union all select 'supplier', count(*), round(sum(s_acctbal), 2) from supplier)
+select c.*, n_rows, balance from c join s using (table_name)
+""")
+def q_catalog_file_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 4: a catalogue file of two tables, grouped per table; both tables are read as text by it, NOT NULL enforced."""
+    columns = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
+               "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]}
+    tables = {t: ad.load(spark, sf_dir, t).select(*cols) for t, cols in columns.items()}
+    entries = [f'{t},{c},{i},"{_TYPE_TEXT[dict(df.dtypes)[c]]}"' for t, df in tables.items() for i, c in enumerate(df.columns, 1)]
+    path = scratch_path(spark, "catalogue")
+    sinks.write_lines(spark.createDataFrame([(x,) for x in reversed(entries)], "value string"), path, header="table,column,id,type")
+    catalog = delimited.read_catalog(spark, path)
+    read = []
+    for t, df in tables.items():
+        raw = delimited.read_fixed_delimited(spark, _write_pipe_text(spark, df, f"{t}_text"), "|")
+        typed = delimited.apply_schema(raw, delimited.struct_type_for(catalog, t), empty_is_null=True)
+        read.append(typed.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("n_rows"),
+                              F.round(F.sum(F.col(f"{t[0]}_acctbal")), 2).alias("balance")))
+    fields = delimited.catalog_schemas(catalog).select("table_name", F.explode("fields").alias("f"))
+    return (fields.select("table_name", "f.column_id", "f.column_name", "f.data_type", "f.nullable")
+            .join(reduce(DataFrame.union, read), "table_name"))
+
+
 # ---------------------------------------------------------------------------
 # Baskets, similarity, target search (ops 30-32, 36-39)
 # ---------------------------------------------------------------------------
@@ -856,10 +937,10 @@ def q_baskets_meeting_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("basket_set_algebra", _sql_flagged("A3") + _SQL_SMALL_TARGET + """,
 b as (select trade_date, fund, side, list(acct_key order by acct_key) a from fl group by trade_date, fund, side),
-l as (select list(acct_key order by acct_key) t from ta)
+l as (select coalesce(list(acct_key order by acct_key), []) t from ta)
 select trade_date, fund, side, array_to_string(list_sort(list_intersect(a, t)), ',') common,
        array_to_string(list_filter(a, lambda x: not list_contains(t, x)), ',') rest,
-       round(len(list_intersect(a, t)) / least(len(a), len(t)), 9) coef
+       case when len(t) = 0 then 0.0 else round(len(list_intersect(a, t)) / least(len(a), len(t)), 9) end coef
 from b, l
 """)
 def q_basket_set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:

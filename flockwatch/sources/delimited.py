@@ -6,6 +6,7 @@ built-in ``split``; nothing runs in Python per row.
 
 from __future__ import annotations
 
+import datetime as dt
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,11 +55,11 @@ def _first_line(spark: SparkSession, path: str) -> str:
 
 def split_lines(lines: DataFrame, names: list[str], delim_regex: str, header_line: str | None,
                 strip_quotes: bool = True, trim: bool = True,
-                keep_trailing_empty: bool = False) -> DataFrame:
+                keep_trailing_empty: bool = False, file_column: str | None = None) -> DataFrame:
     """Split a ``value`` column of lines into string columns called ``names``.
 
-    Lines equal to ``header_line`` are dropped (each file's header, not only the
-    first one).  By default trailing empty fields are dropped before the width
+    Lines equal to ``header_line`` are dropped (for streams, which know no first
+    line).  ``file_column`` takes the lines' ``file_path`` along under that name.  By default trailing empty fields are dropped before the width
     check, as Java's ``split`` does (D2): a row whose last field is empty has the
     wrong width, a row with surplus empty trailing fields fits.  Rows of another
     width are dropped.
@@ -76,53 +77,83 @@ def split_lines(lines: DataFrame, names: list[str], delim_regex: str, header_lin
         # fields are dropped (an empty line still has one).
         width = F.when((v == "") & (raw != ""), F.lit(0)).otherwise(width)
     n = len(names)
-    parts = lines.select(arr.alias("_f"), width.alias("_w")).filter(F.col("_w") == n)
+    origin = [F.col("file_path").alias("_p")] if file_column else []
+    parts = lines.select(arr.alias("_f"), width.alias("_w"), *origin).filter(F.col("_w") == n)
     return parts.select(*[_clean_field(F.col("_f")[i], strip_quotes, trim).alias(name)
-                          for i, name in enumerate(names)])
+                          for i, name in enumerate(names)],
+                        *([F.col("_p").alias(file_column)] if file_column else []))
 
 
-def read_delimited(spark: SparkSession, path: str, delim_regex: str = QUOTE_AWARE_COMMA,
-                   header_path: str | None = None, strip_quotes: bool = True, trim: bool = True,
-                   keep_trailing_empty: bool = False, recursive: bool = False,
-                   glob: str | None = None) -> DataFrame:
-    """Ops 1-2: all-string DataFrame from delimited text with a header line.
+def drop_first_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` (value, file_path, file_block_start) without the first line of every file.
 
-    Column names come from the first line of ``header_path`` when given (op 2),
-    else of ``path``.  In both cases the data's own first line is a header and is
-    dropped wherever it repeats.
+    The first line of a file is the first row of the split that starts at byte
+    0, whatever it says: a data row that equals the header stays.  One row
+    number per file is gathered and taken out again by an anti join.
     """
+    numbered = lines.withColumn("_row", F.monotonically_increasing_id())
+    first = (numbered.groupBy("file_path").agg(F.min(F.when(F.col("file_block_start") == 0, F.col("_row"))).alias("_row"))
+             .select("_row"))
+    return numbered.join(first, "_row", "left_anti").drop("_row", "file_block_start")
+
+
+def _data_lines(spark: SparkSession, path: str, has_header: bool, recursive: bool = False,
+                glob: str | None = None) -> tuple[DataFrame, str]:
+    """(lines without the header line of each file, the first line of all)."""
     reader = spark.read
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    lines = reader.text(path)
-    first = lines.first()
+    text = reader.text(path)
+    first = text.first()
     if first is None:
         raise ValueError(f"no lines in {path}")
-    data_header = first.value
-    name_line = _first_line(spark, header_path) if header_path else data_header
+    lines = text.select("value", "_metadata.file_path", "_metadata.file_block_start")
+    return (drop_first_lines(lines) if has_header else lines.drop("file_block_start")), first.value
+
+
+def read_delimited(spark: SparkSession, path: str, delim_regex: str = QUOTE_AWARE_COMMA,
+                   header_path: str | None = None, strip_quotes: bool = True, trim: bool = True,
+                   keep_trailing_empty: bool = False, recursive: bool = False,
+                   glob: str | None = None, data_has_header: bool = True,
+                   file_column: str | None = None) -> DataFrame:
+    """Ops 1-2: all-string DataFrame from delimited text with a header line per file.
+
+    Column names come from the first line of ``header_path`` when given (op 2),
+    else of ``path``.  The first line of every data file is dropped, and no
+    other line; ``data_has_header=False`` (with a ``header_path``) keeps it.
+    ``file_column`` adds the path of the file that each row comes from (op 6).
+    """
+    if not data_has_header and not header_path:
+        raise ValueError("data without a header needs header_path")
+    lines, first = _data_lines(spark, path, data_has_header, recursive, glob)
+    name_line = _first_line(spark, header_path) if header_path else first
     names = _split_names(name_line, delim_regex, strip_quotes, trim)
-    return split_lines(lines, names, delim_regex, data_header, strip_quotes, trim,
-                       keep_trailing_empty)
+    return split_lines(lines, names, delim_regex, None, strip_quotes, trim, keep_trailing_empty, file_column)
 
 
 def read_fixed_delimited(spark: SparkSession, path: str, delimiter: str = "|",
                          keep_trailing_empty: bool = False) -> DataFrame:
     """Op 3: single-character delimiter, no quote handling and no trimming."""
     delim_regex = re.escape(delimiter)
-    lines = spark.read.text(path)
-    first = lines.first()
-    if first is None:
-        raise ValueError(f"no lines in {path}")
-    names = _split_names(first.value, delim_regex, False, False)
-    return split_lines(lines, names, delim_regex, first.value, False, False, keep_trailing_empty)
+    lines, first = _data_lines(spark, path, True)
+    names = _split_names(first, delim_regex, False, False)
+    return split_lines(lines, names, delim_regex, None, False, False, keep_trailing_empty)
 
 
 # ---------------------------------------------------------------------------
 # Schema catalogue (op 4)
 # ---------------------------------------------------------------------------
 
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """The catalogue file: lines of table, column, column id and type text, with a header; quotes guard commas."""
+    rows = read_delimited(spark, path)
+    if len(rows.columns) != 4:
+        raise ValueError(f"{path}: a catalogue has 4 columns, not {len(rows.columns)}")
+    return rows.toDF("table_name", "column_name", "column_id", "type_text")
+
+
 def catalog_types(catalog: DataFrame) -> DataFrame:
     """Rows (table_name, column_name, column_id, type_text) -> typed fields.
 
@@ -157,9 +188,25 @@ def struct_type_for(catalog: DataFrame, table: str) -> T.StructType:
     return T.StructType([T.StructField(r.column_name, names[r.data_type], r.nullable) for r in rows])
 
 
-def apply_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Cast all-string columns to the catalogue's types (strict casts)."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+_NEVER_USED = {"string": "", "double": 0.0, "timestamp": dt.datetime(1970, 1, 1)}
+
+
+def apply_schema(df: DataFrame, schema: T.StructType, empty_is_null: bool = False) -> DataFrame:
+    """Cast all-string columns to the catalogue's types (strict casts).
+
+    A NOT NULL column carries a guard in the plan: a null there fails the job.
+    ``empty_is_null`` reads empty fields as nulls.
+    """
+    def typed(f: T.StructField):
+        raw = F.nullif(F.col(f.name), F.lit("")) if empty_is_null else F.col(f.name)
+        col = raw.cast(f.dataType)
+        if not f.nullable:
+            col = F.when(col.isNull(), F.raise_error(F.lit(f"null in NOT NULL column {f.name}")).cast(f.dataType)).otherwise(col)
+            # The value is never used; it tells the planner that no null gets here.
+            col = F.coalesce(col, F.lit(_NEVER_USED[f.dataType.typeName()]))
+        return col.alias(f.name)
+
+    return df.select(*[typed(f) for f in schema.fields])
 
 
 # ---------------------------------------------------------------------------

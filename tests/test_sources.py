@@ -32,6 +32,58 @@ def test_header_repeated_in_every_file(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [("1", "x"), ("2", "y")]
 
 
+def test_row_that_equals_the_header_stays(spark, tmp_path):
+    d = tmp_path / "same"
+    d.mkdir()
+    (d / "a.csv").write_text("id,v\n1,x\nid,v\n")
+    (d / "b.csv").write_text("id,v\nid,v\n2,y\n")
+    (d / "c.csv").write_text("")
+    (d / "d.csv").write_text("other,names\n3,z\n")
+    df = delimited.read_delimited(spark, str(d))
+    assert sorted(map(tuple, df.collect())) == [("1", "x"), ("2", "y"), ("3", "z"), ("id", "v"), ("id", "v")]
+    fixed = delimited.read_fixed_delimited(spark, str(d), ",")
+    assert sorted(map(tuple, fixed.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_first_lines_go_in_files_of_many_splits(spark, tmp_path):
+    d = tmp_path / "splits"
+    d.mkdir()
+    for name in "ab":
+        (d / f"{name}.csv").write_text("id,v\n" + "".join(f"{i},{name * 40}\n" for i in range(500)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        rows = delimited.read_delimited(spark, str(d), file_column="origin").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((int(r["id"]), r["v"][0], r["origin"][-5:]) for r in rows) == [(i, n, f"{n}.csv") for i in range(500) for n in "ab"]
+
+
+def test_headerless_data_keeps_every_row(spark, tmp_path):
+    data = _write(tmp_path, "bare.csv", ["1,x", "2,y"])
+    head = _write(tmp_path, "names.csv", ["A,B"])
+    df = delimited.read_delimited(spark, data, header_path=head, data_has_header=False)
+    assert df.columns == ["A", "B"] and sorted(map(tuple, df.collect())) == [("1", "x"), ("2", "y")]
+    with pytest.raises(ValueError):
+        delimited.read_delimited(spark, data, data_has_header=False)
+
+
+def test_catalogue_file_and_not_null_guard(spark, tmp_path):
+    path = _write(tmp_path, "cat.csv", ["TABLE,COLUMN,ID,TYPE", 't,v,2,"NUMBER(10,2) NOT NULL"', "t,k,1,CHAR(1)", "u,x,1,TIMESTAMP(6)"])
+    catalog = delimited.read_catalog(spark, path)
+    assert {r.table_name: [f.column_name for f in r.fields] for r in delimited.catalog_schemas(catalog).collect()} == {
+        "t": ["k", "v"], "u": ["x"]}
+    schema = delimited.struct_type_for(catalog, "t")
+    good = spark.createDataFrame([("a", "1.5"), ("", "2")], "k string, v string")
+    typed = delimited.apply_schema(good, schema, empty_is_null=True)
+    assert [f.nullable for f in typed.schema.fields] == [True, False]
+    assert sorted(map(tuple, typed.collect()), key=str) == [("a", 1.5), (None, 2.0)]
+    for bad in (None, ""):
+        with pytest.raises(Exception, match="NOT NULL column v"):
+            rows = spark.createDataFrame([("a", "1.5"), ("b", bad)], "k string, v string")
+            delimited.apply_schema(rows, schema, empty_is_null=True).collect()
+
+
 def test_external_header(spark, tmp_path):
     data = _write(tmp_path, "d.csv", ["ignored,names", "1,x", "2,y,z"])
     head = _write(tmp_path, "h.csv", ['" A ",B'])

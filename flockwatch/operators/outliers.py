@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from flockwatch.functions.stats import guarded_z
@@ -62,6 +62,33 @@ def outlier_trades(trades: DataFrame, start=None, end=None, window_days: int = W
     return flagged.join(trades, ["trade_date", "fund", "side"], "inner").distinct()
 
 
+STORE_KEY = "trade_period"
+
+
+def store_trades(trades: DataFrame, path: str, unit: str = "day") -> None:
+    """The trades as a table partitioned by the day (or ``unit``) of the trade.
+
+    Rows are rebalanced on the partition key: a small period ends in one file,
+    a hot one is split over several tasks and files.
+    """
+    dated = trades.withColumn(STORE_KEY, F.to_date(F.date_trunc(unit, "trade_date")))
+    dated.hint("rebalance", STORE_KEY).write.mode("overwrite").partitionBy(STORE_KEY).parquet(path)
+
+
+def stored_outlier_trades(spark: SparkSession, path: str, scored: DataFrame, unit: str = "day",
+                          threshold: float = Z_THRESHOLD) -> DataFrame:
+    """Op 28 over a table of ``store_trades``: only periods with a flagged group are read.
+
+    ``scored`` is the written table of scored groups.  The join carries the
+    partition key, so that its broadcast side prunes the scan's partitions at
+    run time (dynamic partition pruning); a flagged side too large to
+    broadcast joins by sorting, without the pruning.
+    """
+    flagged = scored.filter(F.col("z") >= threshold).withColumn(STORE_KEY, F.to_date(F.date_trunc(unit, "trade_date")))
+    return (spark.read.parquet(path).join(flagged, [STORE_KEY, "trade_date", "fund", "side"])
+            .drop(STORE_KEY).distinct())
+
+
 def flagged_preview(flagged: DataFrame, n: int = 20) -> DataFrame:
     """Ops 24h, 24j: the most active flagged groups first (a top-n report).
 

@@ -98,6 +98,33 @@ def q_outlier_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(df, "mean", "std_dev", "z")
 
 
+@register("outlier_trades_stored", ORACLE_SQL["outlier_trades"])
+def q_outlier_trades_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 28 over trades stored by month: partitions without a flagged group are not read (adapter A)."""
+    from flockwatch.session import materialize, scratch_path
+    trades = ad.trades_by_supplier_nation(spark, sf_dir)
+    path = scratch_path(spark, "trades_by_month")
+    outliers.store_trades(trades, path, "month")
+    scored = materialize(outliers.scored_groups(trades), "scored_groups")
+    return _round(outliers.stored_outlier_trades(spark, path, scored, "month"), "mean", "std_dev", "z")
+
+
+@register("accounts_by_year_sketched", """
+with t as ({})
+select cast(year(trade_date) as integer) as year, fund, side, count(distinct acct_key) n_exact, true as within_bound
+from t group by 1, 2, 3
+""".format(ad.SQL_TRADES_A))
+def q_accounts_by_year_sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Op 24f, approximate: yearly accounts from merged daily sketches, held against the exact count (three standard errors)."""
+    trades = ad.trades_by_supplier_nation(spark, sf_dir)
+    keys = ["year", "fund", "side"]
+    year = F.year("trade_date").alias("year")
+    merged = activity.accounts_in_period(activity.activity_sketches(trades).select("*", year), keys=tuple(keys))
+    exact = trades.select("*", year).groupBy(*keys).agg(F.countDistinct("acct_key").alias("n_exact"))
+    bound = F.greatest(F.lit(1.0), 3 * 1.04 / F.sqrt(F.lit(2.0 ** activity.SKETCH_LG_K)) * F.col("n_exact"))
+    return exact.join(merged, keys).select(*keys, "n_exact", (F.abs(F.col("n_accts") - F.col("n_exact")) <= bound).alias("within_bound"))
+
+
 @register("daily_activity", """
 with t as ({}) select trade_date, fund, side, cast(count(distinct acct_key) as double) n_accts
 from t group by trade_date, fund, side

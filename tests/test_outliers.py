@@ -92,3 +92,33 @@ def test_rolling_statistics_share_one_window_and_sort(spark):
     shared = shared.selectExpr("cast(d as date) trade_date", "fund", "side", "share")
     plan = outliers.rolling_stats(shared)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Window [") + plan.count("Window(") == 1 and plan.count("Sort [") == 1, plan
+
+
+def _trades(spark, rows):
+    return spark.createDataFrame(rows, "trade_date date, fund string, side string, acct_key string")
+
+
+def test_detail_from_stored_trades_reads_flagged_periods_only(spark, tmp_path):
+    days = [dt.date(2020, m, d) for m in range(1, 7) for d in (3, 17)]
+    rows = [(day, fund, "S", f"a{i}") for k, day in enumerate(days) for fund in "fg" for i in range(2 + 9 * (k == 7 and fund == "f"))]
+    trades = _trades(spark, rows)
+    outliers.store_trades(trades, str(tmp_path / "t"), "month")
+    outliers.scored_groups(trades).write.parquet(str(tmp_path / "z"))
+    scored = spark.read.parquet(str(tmp_path / "z"))
+    got = outliers.stored_outlier_trades(spark, str(tmp_path / "t"), scored, "month")
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    want = outliers.outlier_trades(trades)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect())) and want.count() == 11
+
+
+def test_sketches_merge_within_their_error(spark):
+    day = F.expr("date_add(date'2021-01-01', cast(id % 30 as int))")
+    trades = spark.range(60_000).select(day.alias("trade_date"), F.lit("f").alias("fund"), F.lit("S").alias("side"),
+                                        (F.col("id") % 20_000).cast("string").alias("acct_key"))
+    sketches = activity.activity_sketches(trades)
+    assert sketches.count() == 30
+    for start, end in ((None, None), ("2021-01-05", "2021-01-12")):
+        exact = activity.align_to_period(trades, start, end).select("acct_key").distinct().count()
+        got = activity.accounts_in_period(sketches, start, end).collect()
+        assert len(got) == 1 and abs(got[0]["n_accts"] - exact) <= 3 * 1.04 / 64 * exact
+    assert activity.accounts_in_period(sketches, "2030-01-01").collect() == []

@@ -127,12 +127,13 @@ def remove_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: id, n_bytes, n_chunks, n_repeated, spans (removed byte ranges), kept_sha256."""
     docs = with_row_key(docs, id_col, text_col).select(id_col, "_th", text_or_empty(text_col).alias("_t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    # Partial counts first: a chunk found everywhere is one row per map task.
-    firsts = (_chunk_rows(docs, id_col).groupBy("d1", "d2")
-              .agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(id_col, "_th", "start")).alias("first"))
-              .where(F.col("k") > 1).select("d1", "d2", "first"))
-    firsts = materialize(firsts, "chunk-firsts")
-    later = (_chunk_rows(docs, id_col).join(firsts, ["d1", "d2"])
+    # The first pass sends digests and partial counts only: a chunk found everywhere is one row per map task.
+    # Places are sent for repeated digests alone.
+    repeated = materialize(_chunk_rows(docs, id_col).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("k"))
+                           .where(F.col("k") > 1).select("d1", "d2"), "chunk-repeated")
+    places = materialize(_chunk_rows(docs, id_col).join(repeated, ["d1", "d2"]), "chunk-places")
+    firsts = places.groupBy("d1", "d2").agg(F.min(F.struct(id_col, "_th", "start")).alias("first"))
+    later = (places.join(firsts, ["d1", "d2"])
              .where(~F.struct(id_col, "_th", "start").eqNullSafe(F.col("first")))
              .groupBy(id_col, "_th").agg(F.collect_set(F.struct("start", "size")).alias("later")))
     joined = join_on_row_key(docs, later, id_col)

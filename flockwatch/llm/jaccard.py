@@ -20,10 +20,11 @@ Then pairs across components are counted by shared keys, and those with enough
 are verified.  Keys whose groups would still list many pairs are left out of
 the counts: a linked pair either has half of the keys it must share elsewhere,
 or shares more than half of them among such keys.  Documents with so many of
-them form families, by a prefix of these keys, rarest first; a family is dealt
-in blocks, pairs of blocks meet in tasks of bounded size that intersect all
-their sets at once, and only a spanning forest of the links found leaves the
-task.
+them form families, by a prefix of these keys, rarest first.  Members of a
+family with an equal smallest shingle hash are compared in blocks.  Families
+that still hold several components are dealt in blocks of which every two
+meet, save blocks of one component.  A task intersects all sets of its blocks
+at once, and only a spanning forest between components leaves it.
 
 Copies (equal sets) are one node from the start.  Sets are compared by 64-bit
 hashes of their shingles.
@@ -331,15 +332,6 @@ class _Verifier:
                            .where(_linked(F.size("sa"), F.size("sb"), common)).select("a", "b"), "jaccard-links")
 
 
-def _with_components(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of the groups that still span several components, with ``comp``."""
-    comps = components(links).withColumnRenamed("node", "_node")
-    rows = (groups.join(comps, F.col("node") == F.col("_node"), "left").drop("_node")
-            .withColumn("comp", F.coalesce("comp", "node")))
-    by_key = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return rows.join(by_key.where(F.col("lo") < F.col("hi")).select("key"), "key")
-
-
 def _skipped_counts(hot: DataFrame) -> DataFrame:
     """(node, band, hot, t): keys of large groups of a node, and how many of them a pair must share to be left to families."""
     counts = (hot.groupBy("node", _band("info").alias("band"))
@@ -364,8 +356,11 @@ def _counted_pairs(rows: DataFrame, skipped: DataFrame) -> DataFrame:
             .where(F.col("k") >= need - F.least(F.col("hot"), F.floor(need / 2))).select("a", "b").distinct())
 
 
-def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (a, b) that span the components of the links among the given sets."""
+def forest(labels: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (a, b) between labels that span the components of the links among the given sets; equal labels are one."""
+    names, at = np.unique(labels, return_inverse=True)
+    if len(names) == 1:
+        return names[:0], names[:0]
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = np.zeros((len(sets), len(sets)), np.float32)
@@ -381,44 +376,23 @@ def forest(nodes: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.nd
     n = np.array([len(s) for s in sets], np.int64)
     common = common.astype(np.int64)
     a, b = np.nonzero(np.triu(DEN * common >= NUM * (n[:, None] + n[None, :] - common), 1))
-    root = local_roots(len(sets), a, b)
-    child = np.flatnonzero(root != np.arange(len(sets)))
-    return nodes[root[child]], nodes[child]
+    root = local_roots(len(names), at[a], at[b])
+    child = np.flatnonzero(root != np.arange(len(names)))
+    return names[root[child]], names[child]
 
 
-def _family_links(hot: DataFrame, skipped: DataFrame, verifier: _Verifier) -> DataFrame:
-    """Links among documents that share so many keys of large groups, as (a, b) forests."""
-    # Two documents that share t of these keys share one among their first hot - t + 1, in one order for all.
-    common = hot.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    ranked = Window.partitionBy("node", "band").orderBy("m", "key")
-    prefix = (hot.withColumn("band", _band("info"))
-              .join(skipped.where(F.col("hot") >= F.col("t")), ["node", "band"]).join(common, "key")
-              .withColumn("rank", F.row_number().over(ranked))
-              .where(F.col("rank") <= F.col("hot") - F.col("t") + 1).select("key", "node"))
-    prefix = materialize(prefix, "jaccard-prefix")
-    least = prefix.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    edges = (prefix.join(least.where(F.col("least") < F.col("most")), "key")
-             .select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-    family = materialize(components(edges), "jaccard-families").withColumnRenamed("comp", "family")
-    sizes = family.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = (family.join(sizes, "family")
-             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node"))
-    met = (dealt.join(verifier.sets(family.select("node")), "node")
-           .repartition("family", "lo", "hi").sortWithinPartitions("family", "lo", "hi"))
-
+def _block_links(rows: DataFrame) -> DataFrame:
+    """Forests (a, b) between the components of each place, from rows (place, comp, s)."""
     def run(batches):
         held, at = [], None
         for b in batches:
-            place = list(zip(*(b.column(i).to_pylist() for i in range(3)), strict=True))
-            nodes, sets = b.column(3).to_numpy(), b.column(4)
-            for i, p in enumerate(place):
+            places, comps, sets = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            for i, p in enumerate(places):
                 if held and p != at:
                     yield solve(held)
                     held = []
                 at = p
-                held.append((nodes[i], np.asarray(sets[i].values)))
+                held.append((comps[i], np.array(sets[i].values)))
         if held:
             yield solve(held)
 
@@ -426,7 +400,107 @@ def _family_links(hot: DataFrame, skipped: DataFrame, verifier: _Verifier) -> Da
         a, b = forest(np.array([x for x, _ in held], np.int64), [s for _, s in held])
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return materialize(met.select("family", "lo", "hi", "node", "s").mapInArrow(run, "a long, b long"), "jaccard-links")
+    met = rows.select("place", "comp", "s").repartition("place").sortWithinPartitions("place")
+    return materialize(met.mapInArrow(run, "a long, b long"), "jaccard-links")
+
+
+def _families(hot: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(node, family): documents that may share enough keys of large groups with another one."""
+    # Two documents that share t of these keys share one among their first hot - t + 1, in one order for all.
+    common = hot.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    ranked = Window.partitionBy("node", "band").orderBy("m", "key")
+    prefix = (hot.withColumn("band", _band("info"))
+              .join(skipped.where(F.col("hot") >= F.col("t")), ["node", "band"]).join(common, "key")
+              .withColumn("rank", F.row_number().over(ranked))
+              .where(F.col("rank") <= F.col("hot") - F.col("t") + 1).select("key", "node"))
+    prefix = materialize(prefix, "jaccard-prefix")
+    least = (prefix.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+             .where(F.col("least") < F.col("most")).select("key", "least"))
+    shared = materialize(prefix.join(least, "key"), "jaccard-shared")
+    # Every document starts at the smallest node it shares a key with, so few labels are left to be joined.
+    labels = materialize(shared.groupBy("node").agg(F.min("least").alias("label")), "jaccard-labels")
+    rows = shared.join(labels, "node").select("key", "label").distinct()
+    first = rows.groupBy("key").agg(F.min("label").alias("a"))
+    edges = rows.join(first, "key").where(F.col("a") < F.col("label")).select("a", F.col("label").alias("b")).distinct()
+    comps = components(edges).withColumnRenamed("node", "label")
+    return materialize(labels.join(comps, "label", "left")
+                       .select("node", F.coalesce("comp", "label").alias("family")), "jaccard-families")
+
+
+def _labelled(nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """``nodes`` with ``comp``, themselves where no link is known."""
+    known = comps.withColumnRenamed("node", "_node")
+    return (nodes.join(known, F.col("node") == F.col("_node"), "left").drop("_node")
+            .withColumn("comp", F.coalesce("comp", "node")))
+
+
+def _spanning(groups: DataFrame, by: list[str]) -> DataFrame:
+    """Sizes ``m`` of the groups of rows that hold several components."""
+    return (groups.groupBy(*by).agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            .where(F.col("lo") < F.col("hi")).drop("lo", "hi"))
+
+
+def _nearest_links(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) among family members (node, family, s) with an equal smallest hash of their shingles.
+
+    Linked sets have it in common four times in five.  Equal ones are compared
+    in blocks, so this is linear in the members, and later comparisons start
+    from the components it finds.
+    """
+    rows = _labelled(members.withColumn("low", F.array_min(F.transform("s", lambda x: F.xxhash64(x)))), comps)
+    return _block_links(rows.join(_spanning(rows, ["family", "low"]), ["family", "low"])
+                        .withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK)))
+                        .select(F.xxhash64("family", "low", "block").alias("place"), "comp", "s"))
+
+
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of what is known and of new links."""
+    known = comps.where(F.col("node") != F.col("comp")).select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    return components(known.unionByName(links))
+
+
+def _family_links(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """Links (a, b) that join all components of linked members (node, family, s): every two blocks of a family meet.
+
+    Large components have blocks of their own, which do not meet each other.
+    """
+    rows = _labelled(members.select("node", "family"), comps)
+    rows = rows.join(_spanning(rows, ["family"]).select("family"), "family")
+    sizes = (rows.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m"))
+             .withColumn("own", F.when(F.col("m") > BLOCK, F.col("comp"))))
+    mixed = (sizes.where(F.col("own").isNull()).groupBy("family").agg(F.sum("m").alias("rest")))
+    dealt = (rows.join(sizes, ["family", "comp"]).join(mixed, "family", "left")
+             .withColumn("block", F.when(F.col("own").isNull(), F.pmod(F.xxhash64("comp"), F.ceil(F.col("rest") / BLOCK)))
+                         .otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK))))
+             .withColumn("block", F.xxhash64("family", "own", "block")).select("family", "own", "block", "node", "comp"))
+    dealt = materialize(dealt, "jaccard-dealt")
+    blocks = dealt.select("family", "own", "block").distinct()
+    other = blocks.select("family", F.col("own").alias("_own"), F.col("block").alias("other"))
+    meet = (blocks.join(other, "family")
+            .where((F.col("block") <= F.col("other")) & ~F.coalesce(F.col("own") == F.col("_own"), F.lit(False)))
+            .withColumn("place", F.xxhash64("block", "other")))
+    meet = meet.select("block", "place").union(meet.select("other", "place")).distinct()
+    return _block_links(dealt.select("block", "node", "comp").join(meet, "block")
+                        .join(members.select("node", "s"), "node"))
+
+
+def _open_keys(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (key, node, info, comp) of groups of several components; large groups' keys, their counts by node, their rows."""
+    rows = _labelled(groups.select("key", "node", "info"), comps)
+    open_ = materialize(rows.join(_spanning(rows, ["key"]).select("key"), "key"), "jaccard-open")
+    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    large = (sizes.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
+             .where((F.col("m") * F.col("m") - F.col("mm")) / 2 > SPLIT).select("key"))
+    large = materialize(large, "jaccard-large")
+    hot = materialize(open_.join(large, "key"), "jaccard-hot")
+    return open_, large, materialize(_skipped_counts(hot), "jaccard-skipped"), hot
+
+
+def _members(hot: DataFrame, skipped: DataFrame, verifier: _Verifier) -> DataFrame:
+    """(node, family, s) of the families."""
+    family = _families(hot, skipped)
+    return materialize(family.join(verifier.sets(family.select("node")), "node").select("node", "family", "s"),
+                       "jaccard-members")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -451,20 +525,15 @@ def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             .withColumn("_c", F.col("c.node")).withColumn("_i", F.col("c.info")).where(_may_link("info", "_i")))
     tested = materialize(near.groupBy(F.col("_c").alias("a"), F.col("node").alias("b")).count()
                          .where(F.col("count") > 2).select("a", "b"), "jaccard-pairs")
-    links = verifier.linked(tested)
-    open_ = materialize(_with_components(groups, links), "jaccard-open")
-
-    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-    large = (sizes.groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"))
-             .where((F.col("m") * F.col("m") - F.col("mm")) / 2 > SPLIT).select("key"))
-    large = materialize(large, "jaccard-large")
-    hot = materialize(open_.join(large, "key"), "jaccard-hot")
-    skipped = materialize(_skipped_counts(hot), "jaccard-skipped")
-    links = links.unionByName(_family_links(hot, skipped, verifier))
+    comps = components(verifier.linked(tested))
+    open_, large, skipped, hot = _open_keys(groups, comps)
+    if not hot.isEmpty():
+        members = _members(hot, skipped, verifier)
+        comps = _joined(comps, _nearest_links(members, comps))
+        comps = _joined(comps, _family_links(members, comps))
     rest = (_counted_pairs(open_.join(large, "key", "left_anti"), skipped)
             .join(tested, ["a", "b"], "left_anti"))
-    links = links.unionByName(verifier.linked(materialize(rest, "jaccard-pairs")))
-    comps = components(links)
+    comps = _joined(comps, verifier.linked(materialize(rest, "jaccard-pairs")))
 
     named = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     smallest = named.where(F.col("comp").isNotNull()).groupBy("comp").agg(F.min(id_col).alias("component_id"))

@@ -52,6 +52,10 @@ STAGES = [
     ("sharding", deal_shards),
 ]
 
+# Rows of an Arrow batch.  Stages follow each other in the same executors, and the JVM keeps the
+# buffers of its largest batches, so they are small here.
+BATCH_ROWS = 1000
+
 # A trained classifier and near-duplicate components are beyond SQL.
 ORACLE_SQL = None
 
@@ -59,6 +63,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, BATCH_ROWS)
+    try:
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(setting, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flockwatch.llm.common import text_or_empty
+from flockwatch.llm.common import slices, text_or_empty
 from flockwatch.session import materialize
 
 BITS = 22
@@ -38,6 +38,8 @@ MAX_TRAIN_ROWS = 16384
 EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 FOLDS = 5
+RUN = 1 << 16               # words hashed at once
+SLICE = 1 << 21             # bytes of text scored at once
 
 _WORD = re.compile(r"\w+")
 
@@ -46,15 +48,29 @@ class _Hashes(dict):
     """Word to hash; emptied when it holds too many words, so memory stays bounded."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = (zlib.crc32(word.encode()) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
         return h
 
 
+def _words(text: str) -> Iterator[list[str]]:
+    """The words in runs of ``RUN``; a run begins with the last two words of the one before."""
+    run = []
+    for m in _WORD.finditer(text.lower()):
+        run.append(m.group())
+        if len(run) == RUN:
+            yield run
+            run = run[-2:]
+    yield run
+
+
 def features(text: str, hashes: _Hashes) -> np.ndarray:
     """Coordinates of a text's words, pairs and skip pairs; repeats stay in."""
-    words = _WORD.findall(text.lower())
+    return np.concatenate([_coordinates(run, hashes) for run in _words(text)])
+
+
+def _coordinates(words: list[str], hashes: _Hashes) -> np.ndarray:
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     shift = np.uint64(64 - BITS)
     mul, pair, skip = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -62,7 +78,7 @@ def features(text: str, hashes: _Hashes) -> np.ndarray:
         mixed = h * mul
         two = (h[:-1] * pair + mixed[1:]) * mul
         gap = (h[:-2] * skip + mixed[2:]) * mul
-    return (np.concatenate((mixed, two, gap)) >> shift).astype(np.int64)
+    return (np.concatenate((mixed, two, gap)) >> shift).astype(np.int32)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -111,9 +127,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for b in batches:
-            ats = [np.unique(features(t, hashes)).astype(np.int32) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ats, pa.list_(pa.int32()))],
-                                             ["_o", "_y", "_at"])
+            for part in slices(b, 2, SLICE):
+                ats = [np.unique(features(t, hashes)) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ats, pa.list_(pa.int32()))],
+                                                 ["_o", "_y", "_at"])
 
     rows = materialize(texts.select("_o", "_y", "_t").mapInArrow(extract, "_o long, _y double, _at array<int>"),
                        "toxicity-features")
@@ -153,14 +170,15 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text") -> DataFram
         bias = float(dense[-1])
         hashes = _Hashes()
         for b in batches:
-            scores = np.zeros(b.num_rows)
-            if len(at):
-                for i, t in enumerate(b.column(where).to_pylist()):
-                    f = features(t, hashes) if t else np.zeros(0, np.int64)
-                    f = np.unique(f[dense[f] != 0])
-                    scores[i] = _sigmoid(float(dense[f].sum()) + bias)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores)], schema=None,
-                                             names=[*b.schema.names, "score"])
+            for part in slices(b, where, SLICE):
+                scores = np.zeros(part.num_rows)
+                if len(at):
+                    for i, t in enumerate(part.column(where)):
+                        f = features(t.as_py() or "", hashes)
+                        f = np.unique(f[dense[f] != 0])
+                        scores[i] = _sigmoid(float(dense[f].sum()) + bias)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], schema=None,
+                                                 names=[*part.schema.names, "score"])
 
     return docs.mapInArrow(apply, schema)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from . import brute
 from .conftest import prose
-from flockwatch.llm import chunkdedup, jaccard, linededup, suffixdedup
+from flockwatch.llm import chunkdedup, graph, jaccard, linededup, suffixdedup
 from flockwatch.llm import queries as Q
 
 
@@ -76,6 +76,28 @@ def test_jaccard_centres_and_families(docs, corpus, monkeypatch):
     assert rows_of(got) == sorted(brute.jaccard(corpus), key=repr)
 
 
+@pytest.mark.parametrize("n", [600, 1200])
+def test_jaccard_edges_of_a_family_grow_with_its_size(spark, monkeypatch, n):
+    rng = np.random.default_rng(n)
+    body = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    rows = []
+    for i in range(n):
+        words = list(body)
+        words[rng.integers(0, 150)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    asked = []
+
+    def counted(edges):
+        asked.append(edges.count())
+        return graph.components(edges)
+
+    monkeypatch.setattr(jaccard, "components", counted)
+    got = jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert got.select("component_id").distinct().collect() == [(0,)]
+    assert asked[-1] < n            # known components come as stars
+    assert max(asked) <= 6 * n      # every document may link with a few centres
+
+
 @pytest.mark.parametrize("n", [*range(4, 60), 90, 200, 700])
 def test_linked_sets_share_enough_keys(n):
     """Pigeonhole: sets at the threshold share a key, and as many as the count asks for."""

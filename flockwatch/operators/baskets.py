@@ -103,12 +103,14 @@ def basket_best_match(members: DataFrame, cascade=CASCADE) -> DataFrame:
     """Op 32 over baskets: for each basket, the best other basket (ties: lowest ord).
 
     When the plain inverted index is small enough (size check of
-    ``operators.overlap``) it gives all sharing pairs at once.  Otherwise a
-    threshold cascade runs: at each threshold t the prefix-filtered join finds
-    the pairs above t for the baskets not yet resolved; a basket with any pair
-    above t has its best among them (ties included), so it is resolved
-    exactly.  Only baskets whose every partner is at most the last threshold
-    reach the plain index.
+    ``operators.overlap``) it gives all sharing pairs at once.  Otherwise the
+    bound falls: at each threshold t the prefix-filtered join finds the pairs
+    above t for the baskets not yet resolved; a basket with any pair above t
+    has its best among them (ties included), so it is resolved exactly and
+    leaves.  After ``cascade`` the bound is halved.  Two baskets that share an
+    account have a coefficient of at least 1 / size of either, so the search
+    ends when t is below that for every basket left: those have no partner.
+    Prefixes grow only for baskets whose best partner is still unknown.
     """
     m, ob = with_ord(members)
     a, b = _sides(m)
@@ -117,14 +119,21 @@ def basket_best_match(members: DataFrame, cascade=CASCADE) -> DataFrame:
     if pairs_n <= PLAIN_PAIRS_PER_ROW * max(rows_n, 1):
         found = [overlap_above(a, b, ["a", "a_n"], ["b", "b_n"], 0.0, True, prefix_filter=False, **sizes)]
     else:
-        found, left = [], a
-        for t in cascade:
+        # A basket whose accounts are all its own has no partner and takes no part.
+        common = m.groupBy("acct_key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+        sharing = a.join(common, "acct_key", "left_semi").select("a").distinct()
+        found, left = [], a.join(sharing, "a", "left_semi")
+        levels, t = iter(cascade), 1.0
+        while True:
+            t = next(levels, t / 2)
             hits = overlap_above(left, b, ["a", "a_n"], ["b", "b_n"], t, True, prefix_filter=True, **sizes)
             # Only each basket's best of this level is written, not all its pairs.
             hits = materialize(best_match(hits.select("a", "b", "overlap", "coef"), "a", "b"), "best_match_level")
             found.append(hits)
-            left = left.join(hits.select("a").distinct(), "a", "left_anti")
-        found.append(overlap_above(left, b, ["a", "a_n"], ["b", "b_n"], 0.0, True, prefix_filter=False, **sizes))
+            left = left.join(hits.select("a"), "a", "left_anti")
+            largest = left.agg(F.max("a_n")).first()[0]
+            if largest is None or t * largest < 1:
+                break
     pairs = found[0].select("a", "b", "overlap", "coef")
     for more in found[1:]:
         pairs = pairs.unionByName(more.select("a", "b", "overlap", "coef"))

@@ -62,3 +62,25 @@ def test_best_match_cascade_equals_plain(spark, monkeypatch):
     monkeypatch.setattr(bmod, "PLAIN_PAIRS_PER_ROW", 0.0)  # force the cascade
     cascade = sorted(map(tuple, bk.basket_best_match(m).collect()))
     assert cascade == plain and len(plain) == 40
+
+
+def test_best_match_with_falling_bound_finds_faint_partners(spark, monkeypatch):
+    """Partners far below the last given threshold, baskets without any, and no plain index on the way."""
+    import flockwatch.operators.baskets as bmod
+    sets = [{f"own{i}_{x}" for x in range(size)} for i, size in enumerate((60, 60, 45, 30, 7))]
+    sets[0] |= {"p", "q", "r"}
+    sets[1] |= {"p", "q"}
+    sets[2] |= {"r"}
+    m = _members(spark, sets)
+    plain = sorted(map(tuple, bk.basket_best_match(m).collect()))
+    asked, join = [], bmod.overlap_above
+
+    def watched(*args, **kwargs):
+        asked.append((args[4], kwargs["prefix_filter"]))
+        return join(*args, **kwargs)
+
+    monkeypatch.setattr(bmod, "overlap_above", watched)
+    monkeypatch.setattr(bmod, "PLAIN_PAIRS_PER_ROW", 0.0)
+    falling = sorted(map(tuple, bk.basket_best_match(m, cascade=(0.5, 0.1)).collect()))
+    assert falling == plain and len(plain) == 3
+    assert [t for t, _ in asked] == [0.5, 0.1, 0.05, 0.025, 0.0125] and all(p for _, p in asked)

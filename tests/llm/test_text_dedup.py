@@ -31,6 +31,16 @@ def test_lines_many_shards_and_copies(docs, corpus, monkeypatch):
     assert rows_of(line_digest(docs)) == sorted(brute.lines(corpus), key=repr)
 
 
+def test_lines_of_a_very_long_document(spark):
+    """Work in proportion to the lines: 100,000 lines of which every other one goes."""
+    shared = [f"a line of both documents {i}" for i in range(50_000)]
+    text = "\n".join(x for i, line in enumerate(shared) for x in (line, f"only here, line {i}"))
+    rows = [(1, "\n".join(shared)), (2, text)]
+    got = rows_of(line_digest(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == sorted(brute.lines(rows), key=repr)
+    assert [r[1:3] for r in got] == [(50_000, 0), (100_000, 50_000)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 50, 5000])
 def test_perfect_hash_is_minimal_and_perfect(n):
     h = np.unique(np.random.default_rng(n).integers(0, 1 << 63, n).astype(np.uint64))

@@ -12,7 +12,8 @@ The tokenizer file is read on the driver and broadcast: a rank file has some
 50,000 entries, and ``MAX_RANKS`` bounds it.  Counts of pre-tokens are cached
 per task in a table of bounded size.
 
-Defined cases: null and empty texts have no tokens; edits are (start, end,
+Defined cases: null and empty texts have no tokens; a very long word is one pre-token and is
+encoded whole; edits are (start, end,
 replacement) in characters, in order and disjoint; a document without edits
 keeps its count; repeated rows are counted alike.
 """
@@ -35,12 +36,20 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 # Redactions of the registered query: mail addresses and long numbers.
-_REDACT = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.-]*\w)|(?P<number>\d(?:[ -]?\d){6,})")
+# Whether a mail address can end a run of its characters does not depend on where in the run it
+# begins, so one is tried at the start of a run and behind the last edit only: linear on any text.
+_MAIL = r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.-]*\w)"
+_MAIL_HERE = re.compile(_MAIL)
+_REDACT = re.compile(r"(?<![\w.+-])" + _MAIL + r"|(?P<number>\d(?:[ -]?\d){6,})")
 
 
 def redactions(text: str) -> list[tuple[int, int, str]]:
     """Edits that replace mail addresses and numbers of seven digits and more by a mark."""
-    return [(m.start(), m.end(), f"<{m.lastgroup}>") for m in _REDACT.finditer(text)]
+    edits, at = [], 0
+    while m := _MAIL_HERE.match(text, at) or _REDACT.search(text, at):
+        edits.append((m.start(), m.end(), f"<{m.lastgroup}>"))
+        at = m.end()
+    return edits
 
 
 def load_ranks(path: str = TOKENIZER) -> dict[bytes, int]:

@@ -1,6 +1,7 @@
 """Toxicity, sharding, token counts, decontamination, embeddings, mixing and the pipeline."""
 
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -95,6 +96,22 @@ def test_edits_recount_like_a_new_encoding(counter, corpus, monkeypatch):
             assert tree.total == len(counter.encode(t))
 
 
+def test_redactions_begin_where_a_plain_search_begins():
+    plain = re.compile(r"(?P<mail>[\w.+-]+@[\w-]+\.[\w.-]*\w)|(?P<number>\d(?:[ -]?\d){6,})")
+    rng = random.Random(5)
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab1234@@.. -+é") for _ in range(rng.randint(0, 40)))
+        assert tokencount.redactions(t) == [(m.start(), m.end(), f"<{m.lastgroup}>") for m in plain.finditer(t)]
+
+
+def test_a_word_of_a_megabyte_is_counted_in_linear_time(counter):
+    word = "".join(random.Random(6).choices("abcdefghij", k=1_000_000))
+    assert tokencount.redactions(word) == [] and len(tokencount.redactions(word + "@b.org " + word)) == 1
+    tree = tokencount.TokenTree(word + " x", counter)
+    tree.edit(1_000_001, 1_000_002, "y")
+    assert tree.total == len(counter.encode(word + " y"))
+
+
 def test_recount(docs, empty, counter):
     for r in tokencount.recount(docs).collect():
         t = r["text"] or ""

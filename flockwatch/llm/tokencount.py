@@ -8,6 +8,12 @@ by descending on characters, splits anew only from two pre-tokens before it
 (the pattern looks that far ahead) until a new boundary meets an old one
 behind it, and updates the sums above the leaves it touched.
 
+``tree_table`` writes the trees as a table, one row per document with its
+leaves; ``update_trees`` applies a table of edits to them and returns the new
+table.  Only documents with edits are loaded, their leaves come back with the
+stored sums, and only the edited regions are encoded.  ``recount`` builds,
+edits and counts in one pass, without storing the trees.
+
 The tokenizer file is read on the driver and broadcast: a rank file has some
 50,000 entries, and ``MAX_RANKS`` bounds it.  Counts of pre-tokens are cached
 per task in a table of bounded size.
@@ -15,7 +21,10 @@ per task in a table of bounded size.
 Defined cases: null and empty texts have no tokens; a very long word is one pre-token and is
 encoded whole; edits are (start, end,
 replacement) in characters, in order and disjoint; a document without edits
-keeps its count; repeated rows are counted alike.
+keeps its count; repeated rows are counted alike.  In an edit table a null
+replacement removes, edits whose id is null or in no document change nothing,
+several rows of one id are all edited, and edits that overlap, reach beyond
+the text or have a null place fail the job.
 """
 
 from __future__ import annotations
@@ -23,9 +32,11 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAF = 64
@@ -80,9 +91,31 @@ class TokenTree:
     """Pre-tokens of one text under sums of characters and tokens."""
 
     def __init__(self, text: str, counter: PieceCounter):
-        self.counter = counter
         pieces = counter.split.findall(text)
-        self.leaves = [pieces[i:i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        leaves = [pieces[i:i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        self._build(leaves, [sum(map(counter.__getitem__, leaf)) for leaf in leaves], counter)
+
+    @classmethod
+    def stored(cls, leaves: list[dict], counter: PieceCounter) -> TokenTree:
+        """The tree of leaves as ``packed`` gives them; nothing is encoded."""
+        tree = cls.__new__(cls)
+        cut = [[leaf["text"][a:b] for a, b in zip([0, *leaf["ends"]], leaf["ends"])] for leaf in leaves]
+        tree._build(cut or [[]], [leaf["tokens"] for leaf in leaves] or [0], counter)
+        return tree
+
+    def packed(self) -> list[dict]:
+        """The leaves as text, ends of the pre-tokens and tokens; empty ones go, those grown beyond 2 ``LEAF`` are cut."""
+        out = []
+        for i, leaf in enumerate(self.leaves):
+            whole = len(leaf) <= 2 * LEAF
+            for part in [leaf] if whole else [leaf[k:k + LEAF] for k in range(0, len(leaf), LEAF)]:
+                if part:
+                    tokens = self.tokens[self.size + i] if whole else sum(map(self.counter.__getitem__, part))
+                    out.append({"text": "".join(part), "ends": list(accumulate(map(len, part))), "tokens": tokens})
+        return out
+
+    def _build(self, leaves: list[list[str]], tokens: list[int], counter: PieceCounter) -> None:
+        self.counter, self.leaves = counter, leaves
         size = 1
         while size < len(self.leaves):
             size *= 2
@@ -90,7 +123,7 @@ class TokenTree:
         self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
         for i, leaf in enumerate(self.leaves):
             self.chars[size + i] = sum(map(len, leaf))
-            self.tokens[size + i] = sum(map(counter.__getitem__, leaf))
+            self.tokens[size + i] = tokens[i]
         for i in range(size - 1, 0, -1):
             self._sum(i)
         self.encoded = 0        # pre-tokens counted by edits
@@ -214,3 +247,76 @@ def recount(docs: DataFrame, find_edits: Callable[[str], list[tuple[int, int, st
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
+
+
+_LEAVES = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("ends", T.ArrayType(T.IntegerType())),
+                                    T.StructField("tokens", T.LongType())]))
+_TREE = [T.StructField("n_tokens", T.LongType()), T.StructField("leaves", _LEAVES)]
+_LEAVES_ARROW = pa.list_(pa.struct([("text", pa.string()), ("ends", pa.list_(pa.int32())), ("tokens", pa.int64())]))
+ROWS = 64                   # trees in hand at once
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS):
+            yield b.slice(i, ROWS)
+
+
+def tree_table(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_tokens and leaves.  Write it once; ``update_trees`` keeps it up to date."""
+    ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(tokenizer))
+    schema = T.StructType([docs.schema[id_col], *_TREE])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PieceCounter(ranks.value)
+        for b in _runs(batches):
+            trees = [TokenTree(t or "", counter) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([t.total for t in trees], pa.int64()),
+                 pa.array([t.packed() for t in trees], _LEAVES_ARROW)], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
+def update_trees(trees: DataFrame, edits: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id") -> DataFrame:
+    """``trees`` after ``edits`` (id, start, end, replacement), with n_edits and n_encoded (pre-tokens encoded for them).
+
+    Places count characters of the text before any of these edits.
+    """
+    ranks = trees.sparkSession.sparkContext.broadcast(load_ranks(tokenizer))
+    of_doc = edits.groupBy(F.col(id_col).alias("_eid")).agg(F.sort_array(F.collect_list(
+        F.struct("start", "end", F.coalesce("replacement", F.lit("")).alias("replacement")))).alias("_edits"))
+    rows = trees.select(id_col, "n_tokens", "leaves").join(of_doc, F.col(id_col) == F.col("_eid"), "left").drop("_eid")
+    schema = T.StructType([trees.schema[id_col], *_TREE, T.StructField("n_edits", T.LongType()),
+                           T.StructField("n_encoded", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = PieceCounter(ranks.value)
+        for b in _runs(batches):
+            totals, leaves, n_edits, n_encoded = b.column(1).to_pylist(), [], [], []
+            for i, todo in enumerate(b.column(3).to_pylist()):
+                n_edits.append(len(todo or []))
+                if not todo:
+                    leaves.append(b.column(2)[i].as_py())
+                    n_encoded.append(0)
+                    continue
+                tree = TokenTree.stored(b.column(2)[i].as_py(), counter)
+                _check(todo, tree.chars[1])
+                for e in reversed(todo):                            # from the back, so that places hold
+                    tree.edit(e["start"], e["end"], e["replacement"])
+                totals[i] = tree.total
+                leaves.append(tree.packed())
+                n_encoded.append(tree.encoded)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(totals, pa.int64()), pa.array(leaves, _LEAVES_ARROW),
+                 pa.array(n_edits, pa.int64()), pa.array(n_encoded, pa.int64())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _check(edits: list[dict], length: int) -> None:
+    at = 0
+    for e in edits:
+        if e["start"] is None or e["end"] is None or not at <= e["start"] <= e["end"] <= length:
+            raise ValueError(f"edits must be disjoint and inside the text of {length} characters: {e}")
+        at = e["end"]

@@ -123,6 +123,55 @@ def test_recount(docs, empty, counter):
     assert tokencount.recount(empty).count() == 0
 
 
+def test_trees_written_once_are_updated_by_edit_tables(spark, corpus, empty, counter, tmp_path):
+    """Two updates, each from the written table before it, against new encodings of the edited texts."""
+    rng = random.Random(12)
+    # One very long text, so that what an update encodes can be held against what the tree holds.
+    texts = {i: t or "" for i, t in corpus if i is not None and sum(j == i for j, _ in corpus) == 1}
+    texts[10_001] = "some words here " * 5000
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    tokencount.tree_table(rows).write.parquet(str(tmp_path / "0"))
+    first = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "0")).collect()}
+    for step in range(2):
+        edits = []
+        for i, t in texts.items():
+            at = 0
+            for _ in range(rng.randint(0, 3)):
+                a = rng.randint(at, len(t))
+                b = min(len(t), a + rng.randint(0, 20))
+                edits.append((i, a, b, rng.choice([None, "", "x", " new words", "\n\n", "1" * 9, " w" * 200])))
+                at = b + 1
+                if at > len(t):
+                    break
+        order = list({(i, a): (i, a, b, new) for i, a, b, new in edits}.values())
+        table = spark.createDataFrame([*order, (None, 0, 0, "x"), (99_999, 0, 5, "x")],
+                                      "doc_id long, start int, end int, replacement string")
+        before = spark.read.parquet(str(tmp_path / str(step)))
+        tokencount.update_trees(before, table).write.parquet(str(tmp_path / str(step + 1)))
+        for i, a, b, new in sorted(order, reverse=True):
+            texts[i] = texts[i][:a] + (new or "") + texts[i][b:]
+        got = spark.read.parquet(str(tmp_path / str(step + 1))).collect()
+        assert len(got) == len(texts)
+        for r in got:
+            mine = [e for e in order if e[0] == r.doc_id]
+            assert "".join(leaf.text for leaf in r.leaves) == texts[r.doc_id]
+            assert (r.n_tokens, r.n_edits) == (len(counter.encode(texts[r.doc_id])), len(mine))
+            assert sum(leaf.tokens for leaf in r.leaves) == r.n_tokens
+            assert all(len(leaf.ends) <= 2 * tokencount.LEAF for leaf in r.leaves)
+            assert r.n_encoded == 0 if not mine else True
+            if r.doc_id == 10_001:
+                assert r.n_encoded < sum(len(leaf.ends) for leaf in first[10_001].leaves) / 10
+    assert tokencount.update_trees(tokencount.tree_table(empty), table).count() == 0
+
+
+@pytest.mark.parametrize("edits", [[(1, 0, 3, "x"), (1, 2, 4, "y")], [(1, 3, 99, "x")], [(1, None, 2, "x")]])
+def test_edits_that_cannot_be_applied_fail(spark, edits):
+    trees = tokencount.tree_table(spark.createDataFrame([(1, "some words")], "doc_id long, text string"))
+    table = spark.createDataFrame(edits, "doc_id long, start int, end int, replacement string")
+    with pytest.raises(Exception, match="disjoint"):
+        tokencount.update_trees(trees, table).collect()
+
+
 def test_edits_encode_little_of_a_long_text(counter):
     tree = tokencount.TokenTree("some words here " * 5000, counter)
     tree.edit(40_000, 40_004, "else")

@@ -30,10 +30,10 @@ lineage (D6).
 Store.  A version is (ms, lin, vord): the set that basket ``vord`` gave lineage
 ``lin`` at min size ``ms`` (-1: it stood before the pass).  Basket o sees, of each
 lineage, the last version with vord < o.  Rounds append what the baskets they
-worked out decided (``plan``), what they wrote and counted (``out``), and the
-baskets that the changes reach (``reached``): three tables a round, never
-rewritten; of a basket the rows of its last round hold.  All min sizes run
-together.
+worked out decided (the decisions alone first, then the ``plan`` with the
+accounts), what they wrote and counted (``out``), and the baskets that the
+changes reach (``reached``): four tables a round, never rewritten; of a basket
+the rows of its last round hold.  All min sizes run together.
 
 A changed version (added, gone, or of a lineage that was shrunk elsewhere)
 reaches a later basket if it is at least as good a match for it as its own
@@ -64,7 +64,6 @@ DEFAULT_ITERATIONS = 5
 MS_ORD = ["ms", "ord"]
 VERSION = ["ms", "lin", "vord"]
 _BASE_SCHEMA = "ms int, lin long, vage long, size long, acct_key string"
-_DECISIONS = ["bsize", "lin", "vord", "msize", "n", "r", "want_w", "want_bmm", "want_mmb", "pos_mmb", "reduce", "count_m"]
 
 
 @dataclass
@@ -214,11 +213,15 @@ class _Pass:
                        F.when(want_bmm, 1).otherwise(0).alias("pos_mmb"),
                        F.coalesce(near & (m_left >= ms) & (n > ms), F.lit(False)).alias("reduce"),
                        F.coalesce(near & (m_left < ms), F.lit(False)).alias("count_m"))
-        mine = pb.drop("bsize").join(mt, MS_ORD).withColumn("in_b", F.lit(True)).withColumn("in_m", F.lit(False))
-        match = (versions.drop("vnext", "size").join(mt.where(~far), VERSION)
-                 .withColumn("in_b", F.lit(False)).withColumn("in_m", F.lit(True)))
-        cells = (mine.unionByName(match).groupBy(*MS_ORD, "acct_key", *_DECISIONS)
-                 .agg(F.max("in_b").alias("in_b"), F.max("in_m").alias("in_m")))
+        # Written, so that joins see its size: a row per basket, next to the accounts of all baskets.
+        mt = self.write(mt)
+        in_b, in_m = F.col("in_b"), F.col("in_m")
+        mine = pb.select(*MS_ORD, "acct_key", F.lit(True).alias("in_b"), F.lit(False).alias("in_m"))
+        match = (versions.select(*VERSION, "acct_key").join(mt.where(~far).select(*MS_ORD, "lin", "vord"), VERSION)
+                 .select(*MS_ORD, "acct_key", F.lit(False).alias("in_b"), F.lit(True).alias("in_m")))
+        # Accounts are grouped by their keys alone and over many tasks; the decisions join the result.
+        cells = (mine.unionByName(match).groupBy(*MS_ORD, "acct_key").agg(F.max(in_b).alias("in_b"), F.max(in_m).alias("in_m"))
+                 .join(mt, MS_ORD))
         pos = (F.when((F.col("want_w") & F.col("in_b")) | (F.col("want_bmm") & F.col("in_b") & ~F.col("in_m")), 0)
                .when(F.col("want_mmb") & F.col("in_m") & ~F.col("in_b"), F.col("pos_mmb"))
                .when(F.col("reduce") & F.col("in_b") & F.col("in_m"), 3))

@@ -186,3 +186,25 @@ def test_itemsets_by_counting(spark):
     got = itemsets.frequent_itemsets(_frame(spark, rows), num_partitions=2).collect()
     assert {tuple(sorted(r["items"])): r["freq"] for r in got} == want
     assert {r["itemset_size"] for r in got} >= {1, 2, 3}
+
+
+def test_accounts_of_all_baskets_are_not_broadcast_to_the_decisions(spark):
+    rows = [(DAY1, f"f{b}", "S", f"a{(7 * b + i) % 40}") for b in range(30) for i in range(2 + b % 5)]
+    members = spark.createDataFrame(rows, "trade_date date, fund string, side string, acct_key string")
+    plans = []
+
+    class Watched(mining._Pass):
+        def _plan(self, turn, versions):
+            plan = super()._plan(turn, versions)
+            plans.append(plan._jdf.queryExecution().executedPlan().toString())
+            return plan
+
+    was, mining._Pass = mining._Pass, Watched
+    try:
+        mining.recurring_sets(members, (2,), 1)
+    finally:
+        mining._Pass = was
+    # The side that is held in memory whole is the one with a row per basket.
+    assert "BroadcastHashJoin" in plans[0] and "BuildLeft" not in plans[0]
+    # Accounts are grouped by basket and account alone.
+    assert not any("HashAggregate(keys=" in x and "acct_key" in x and "want_bmm" in x for x in plans[0].splitlines())

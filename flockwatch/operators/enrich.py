@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from flockwatch.functions.keys import (
     CASCADE_SOURCES, cascade_key, labelled_cascade, parse_yyyymmdd, strict_double,
 )
+from flockwatch.session import materialize
 
 # Fixed values that must equal the reference's: the feed filter lists.
 #   sides kept: S, R
@@ -42,8 +43,12 @@ def lookup(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str,
     ``"drop"``: such rows are dropped (inner join).  Dimensions are small and
     are broadcast by adaptive execution when their measured size allows.
     """
-    label = label or dim_key
-    d = dedupe_dimension(dim, dim_key, values).withColumnRenamed(dim_key, "_lk_key")
+    return _attach(fact, dedupe_dimension(dim, dim_key, values), fact_key, dim_key, on_missing, label or dim_key)
+
+
+def _attach(fact: DataFrame, dim: DataFrame, fact_key: str, dim_key: str, on_missing: str, label: str) -> DataFrame:
+    """``lookup`` in a dimension with one row per key."""
+    d = dim.withColumnRenamed(dim_key, "_lk_key")
     if on_missing == "drop":
         return fact.join(d, F.col(fact_key) == F.col("_lk_key"), "inner").drop("_lk_key")
     if on_missing not in ("error", "flag"):
@@ -87,22 +92,33 @@ def build_trades(raw: DataFrame, side_dim: DataFrame, acct_dim: DataFrame, trust
     ``on_missing="error"`` an unknown key in any row fails the job, whether or
     not the row is eligible: guard and eligibility are one predicate over all
     four lookups, which cannot sink below any of them.
+
+    Feeds are the largest dimension, so their lookup may shuffle the fact.  A
+    row that side or trust rule out takes only its feed key there, for the
+    guard.  Dimensions are written once, so that joins see their real size.
     """
-    df = raw
-    strict = on_missing == "error"
-    on_missing = "flag" if strict else on_missing
-    df = lookup(df, side_dim, "trade_class_key", "trade_class_key", ["trade_class_code"],
-                on_missing, "side dimension")
-    df = lookup(df, acct_dim.withColumnRenamed("acct_key", "_acct_dim_key"), "prdct_acct_key",
-                "_acct_dim_key", ["trust_key"], on_missing, "account dimension")
-    df = lookup(df, trust_dim.withColumnRenamed("trust_key", "_trust_dim_key"), "trust_key",
-                "_trust_dim_key", ["trust_code"], on_missing, "trust dimension")
-    df = lookup(df, feed_dim.withColumnRenamed("sdm_feed_key", "_feed_dim_key"), "sdm_feed_key",
-                "_feed_dim_key", ["feed_code", "feed_desc", "feed_location_code"], on_missing,
-                "feed dimension")
     keep = eligibility(F.col("trade_class_code"), F.col("feed_code"), F.col("feed_desc"),
                        F.col("feed_location_code"), F.col("trust_code"), trust_codes, sides,
                        excluded_feed_codes, excluded_feed_descs, excluded_locations)
+    df = raw.select("trade_class_key", "prdct_acct_key", "sdm_feed_key", "trade_date_key",
+                    cascade_key(*CASCADE_SOURCES).alias("acct_key"), "shareclass_cusip_key", "exec_reltn_key",
+                    "clearing_reltn_key", "trading_entity_key", "usd_gross_amt")
+    strict = on_missing == "error"
+    on_missing = "flag" if strict else on_missing
+
+    def attach(df, dim, fact_key, dim_key, values, label):
+        written = materialize(dedupe_dimension(dim, dim_key, values), "dimension")
+        return _attach(df, written, fact_key, dim_key, on_missing, label)
+
+    df = attach(df, side_dim, "trade_class_key", "trade_class_key", ["trade_class_code"], "side dimension")
+    df = attach(df, acct_dim.withColumnRenamed("acct_key", "_acct_dim_key"), "prdct_acct_key",
+                "_acct_dim_key", ["trust_key"], "account dimension")
+    df = attach(df, trust_dim.withColumnRenamed("trust_key", "_trust_dim_key"), "trust_key",
+                "_trust_dim_key", ["trust_code"], "trust dimension")
+    taken = F.col("trade_class_code").isin(*sides) & F.col("trust_code").isin(*trust_codes)
+    df = df.select(*[c if c in ("sdm_feed_key", "_missing") else F.when(taken, F.col(c)).alias(c) for c in df.columns])
+    df = attach(df, feed_dim.withColumnRenamed("sdm_feed_key", "_feed_dim_key"), "sdm_feed_key",
+                "_feed_dim_key", ["feed_code", "feed_desc", "feed_location_code"], "feed dimension")
     if strict:
         keep = F.when(F.col("_missing").isNotNull(),
                       F.raise_error(F.col("_missing")).cast("boolean")).otherwise(keep)
@@ -110,7 +126,7 @@ def build_trades(raw: DataFrame, side_dim: DataFrame, acct_dim: DataFrame, trust
         parse_yyyymmdd("trade_date_key").alias("trade_date"),
         F.col("prdct_acct_key").alias("fund"),
         F.col("trade_class_code").alias("side"),
-        cascade_key(*CASCADE_SOURCES).alias("acct_key"),
+        F.col("acct_key"),
         F.col("shareclass_cusip_key").alias("share_class_key"),
         F.col("exec_reltn_key").alias("executing_key"),
         F.col("clearing_reltn_key").alias("clearing_key"),

@@ -89,12 +89,13 @@ def drop_first_lines(lines: DataFrame) -> DataFrame:
 
     The first line of a file is the first row of the split that starts at byte
     0, whatever it says: a data row that equals the header stays.  One row
-    number per file is gathered and taken out again by an anti join.
+    number per file is gathered and taken out again by an anti join; the
+    numbers are broadcast, so that the lines are not shuffled.
     """
     numbered = lines.withColumn("_row", F.monotonically_increasing_id())
     first = (numbered.groupBy("file_path").agg(F.min(F.when(F.col("file_block_start") == 0, F.col("_row"))).alias("_row"))
              .select("_row"))
-    return numbered.join(first, "_row", "left_anti").drop("_row", "file_block_start")
+    return numbered.join(F.broadcast(first), "_row", "left_anti").drop("_row", "file_block_start")
 
 
 def _data_lines(spark: SparkSession, path: str, has_header: bool, recursive: bool = False,

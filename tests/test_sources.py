@@ -145,3 +145,16 @@ def test_model_export_round_trip(spark, tmp_path):
 def test_line_of_delimiters_has_no_fields(spark, tmp_path):
     df = delimited.read_delimited(spark, _write(tmp_path, "one.csv", ["only", "x", ",,", "", "y,"]))
     assert sorted(r.only for r in df.collect()) == ["", "x", "y"]
+
+
+def test_lines_are_not_shuffled_to_drop_headers(spark, tmp_path):
+    for i in range(3):
+        _write(tmp_path, f"part-{i}.txt", ["a|b", f"{i}|x", "a|b"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = delimited.read_fixed_delimited(spark, str(tmp_path), "|")
+        assert sorted(map(tuple, df.collect())) == [("0", "x"), ("1", "x"), ("2", "x"), *[("a", "b")] * 3]
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flockwatch.functions.stats import guarded_z
 from flockwatch.operators.activity import align_to_period, daily_activity, with_daily_share
+from flockwatch.session import materialize
 
 # Fixed values that must equal the reference's: trailing window of 90 days back
 # (the frame holds 91 days, the current one included), threshold z >= 2.
@@ -15,6 +16,8 @@ Z_THRESHOLD = 2.0
 # The reference's index period: 2013-01-01 to 2016-02-01, end exclusive.
 REFERENCE_PERIOD = ("2013-01-01", "2016-02-01")
 
+GROUP_KEYS = ["trade_date", "fund", "side"]
+BROADCAST_ROWS = 200_000    # flagged groups up to which they are broadcast
 STAT_COLUMNS = ["trade_date", "fund", "side", "n_accts", "total", "mean", "std_dev", "z"]
 
 
@@ -55,11 +58,14 @@ def outlier_trades(trades: DataFrame, start=None, end=None, window_days: int = W
                    threshold: float = Z_THRESHOLD) -> DataFrame:
     """Ops 28-29: flagged groups joined back to all trade columns, distinct rows.
 
-    The flagged side is small next to the trades; adaptive execution broadcasts
-    it when its measured size allows and splits skewed keys otherwise.
+    The flagged groups are written first, so that their size is known.  When
+    they are few they are broadcast, and no other trade is shuffled for the
+    join; else adaptive execution splits skewed keys.
     """
-    flagged = outlier_groups(trades, start, end, window_days, threshold)
-    return flagged.join(trades, ["trade_date", "fund", "side"], "inner").distinct()
+    flagged = materialize(outlier_groups(trades, start, end, window_days, threshold), "flagged_groups")
+    if flagged.count() <= BROADCAST_ROWS:
+        flagged = F.broadcast(flagged)
+    return flagged.join(trades, GROUP_KEYS, "inner").distinct()
 
 
 STORE_KEY = "trade_period"

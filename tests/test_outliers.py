@@ -122,3 +122,19 @@ def test_sketches_merge_within_their_error(spark):
         got = activity.accounts_in_period(sketches, start, end).collect()
         assert len(got) == 1 and abs(got[0]["n_accts"] - exact) <= 3 * 1.04 / 64 * exact
     assert activity.accounts_in_period(sketches, "2030-01-01").collect() == []
+
+
+def test_few_flagged_groups_are_broadcast_to_the_trades(spark):
+    base = dt.date(2020, 1, 1)
+    rows = [(base + dt.timedelta(days=d), f, "S", f"{f}{a}", 1.0) for d in range(20) for f in "ab"
+            for a in range(9 if (d, f) == (19, "a") else 2)]
+    trades = spark.createDataFrame(rows, "trade_date date, fund string, side string, acct_key string, usd double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = outliers.outlier_trades(trades.unionAll(trades))
+        got = {(r.trade_date, r.fund, r.acct_key) for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(base + dt.timedelta(days=19), "a", f"a{a}") for a in range(9)} and df.count() == 9
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -26,10 +26,12 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _lineitem_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin(*ADAPTER_SIDES))
-    od = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    return li.join(od, li.l_orderkey == od.o_orderkey, "inner")
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "lineitem").filter(F.col("l_returnflag").isin(*ADAPTER_SIDES))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
 def _common(df: DataFrame, fund: F.Column, acct: F.Column) -> DataFrame:
@@ -49,18 +51,20 @@ def _common(df: DataFrame, fund: F.Column, acct: F.Column) -> DataFrame:
 
 def trades_by_supplier_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter A (sparse accounts): fund = supplier nation, account = customer."""
-    base = _lineitem_orders(spark, sf_dir)
+    li, od = _lineitem(spark, sf_dir), _orders(spark, sf_dir)
     su = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    df = base.join(su, base.l_suppkey == su.s_suppkey, "inner")
+    # Suppliers first: side, day and fund are known before the orders come.
+    df = li.join(su, li.l_suppkey == su.s_suppkey, "inner").join(od, li.l_orderkey == od.o_orderkey, "inner")
     return _common(df, F.concat(F.lit("N"), F.col("s_nationkey").cast("string")),
                    F.col("o_custkey").cast("string"))
 
 
 def trades_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adapter A3 (dense sets): fund = market segment, account = customer nation."""
-    base = _lineitem_orders(spark, sf_dir)
+    li, od = _lineitem(spark, sf_dir), _orders(spark, sf_dir)
     cu = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    df = base.join(cu, base.o_custkey == cu.c_custkey, "inner")
+    # Orders meet customers first: they are fewer and narrower than line items.
+    df = li.join(od.join(cu, od.o_custkey == cu.c_custkey, "inner"), li.l_orderkey == od.o_orderkey, "inner")
     return _common(df, F.col("c_mktsegment"), F.col("c_nationkey").cast("string"))
 
 

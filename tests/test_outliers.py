@@ -138,3 +138,21 @@ def test_few_flagged_groups_are_broadcast_to_the_trades(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == {(base + dt.timedelta(days=19), "a", f"a{a}") for a in range(9)} and df.count() == 9
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_segment_trades_join_customers_before_line_items(spark, tmp_path):
+    from flockwatch.sources import adapters
+    day = dt.datetime(2020, 1, 2)
+    tables = {"lineitem": ([(1, 5, 6, 1, 2.0, "A", "F", day), (2, 5, 6, 1, 3.0, "N", "F", day), (2, 5, 6, 2, 4.0, "R", "F", day)],
+                           "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, "
+                           "l_returnflag string, l_linestatus string, l_shipdate timestamp"),
+              "orders": ([(1, 7, "P"), (2, 8, "Q"), (2, None, "Q")], "o_orderkey long, o_custkey long, o_orderpriority string"),
+              "customer": ([(7, 3, "SEG"), (8, 4, "SEG"), (8, 5, "SEG")], "c_custkey long, c_nationkey int, c_mktsegment string")}
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = adapters.trades_by_segment(spark, str(tmp_path))
+    got = sorted((r.side, r.acct_key, r.usd_gross_amt) for r in df.collect())
+    assert got == [("A", "3", 2.0), ("R", "4", 4.0), ("R", "5", 4.0)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    top = [x for x in plan.splitlines() if "Join Inner" in x][0]
+    assert "l_orderkey" in top

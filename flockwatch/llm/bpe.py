@@ -3,10 +3,12 @@
 Texts are split by the vocabulary's pattern; the distinct words of a task's
 run of documents stand in one array of symbols.  An inverted index leads from
 the rank of a token pair to all its positions in all words; ranks are taken in
-ascending order, each merge is applied at every place of its pair, and only
-the two neighbours of a merged place enter the index anew.  Words keep their
-ids for the following documents of the task, so a word is replayed once per
-slice, however often it stands there.  No row is shuffled: a table of all
+ascending order, merges are applied at all places at once, and only the two
+neighbours of a merged place enter the index anew.  Ranks are taken in
+``WINDOWS`` runs, and within a run each word replays its lowest rank per round.
+Words longer than ``SHORT`` bytes would need many rounds, so they are replayed
+one rank at a time.  Words keep their ids for the following documents of the
+task, so a word is replayed once per slice, however often it stands there.  No row is shuffled: a table of all
 words of the corpus would have to reach every document by a shuffle of the
 text or of all (document, word) pairs, which costs more than replaying shared
 words once per task.
@@ -29,6 +31,7 @@ from __future__ import annotations
 import base64
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import islice
 
@@ -48,6 +51,10 @@ KNOWN_BYTES = 16 << 20
 # Words of a very long text taken at once.
 CHUNK = 200_000
 LONG_TEXT = 4 << 20
+# Words of up to so many bytes are replayed together, in so many runs of ranks.
+SHORT = 96
+WINDOWS = 8
+NONE = np.int32(np.iinfo(np.int32).max)     # rank of a pair that is no token
 
 
 class Vocabulary:
@@ -72,18 +79,125 @@ class Vocabulary:
             self._pairs[key] = r
         return r
 
+    @cached_property
+    def _merges(self) -> tuple[np.ndarray, np.ndarray]:
+        """All token pairs (first * width + second, ascending) that make a token, and their ranks."""
+        keys, made, ranks = [], [], self.ranks
+        for token, r in ranks.items():
+            for i in range(1, len(token)):
+                a, b = ranks.get(token[:i]), ranks.get(token[i:])
+                if a is not None and b is not None:
+                    keys.append(a * self.width + b)
+                    made.append(r)
+        keys, made = np.array(keys, np.int64), np.array(made, np.int32)
+        order = np.argsort(keys)
+        # The last key is no pair's, so that every search ends inside.
+        return np.append(keys[order], np.iinfo(np.int64).max), np.append(made[order], NONE)
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the token pairs, or ``NONE``."""
+        keys, made = self._merges
+        wanted = a * np.int64(self.width) + b
+        at = np.searchsorted(keys, wanted)
+        return np.where(keys[at] == wanted, made[at], NONE)
+
+
+@lru_cache(maxsize=2)
+def vocabulary(rank_lines: bytes, pattern: str) -> Vocabulary:
+    """The vocabulary, built once per Python worker and not once per task."""
+    return Vocabulary(rank_lines, pattern)
+
 
 def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of distinct, non-empty words: all merges in rank order over all words at once."""
+    whole = np.array([vocab.ranks.get(w, -1) for w in words], dtype=np.int32)
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    parts = [(np.flatnonzero(whole >= 0), whole[whole >= 0], np.ones((whole >= 0).sum(), np.int64))]
+    for mask, one in (((whole < 0) & (sizes <= SHORT), _replay_short), ((whole < 0) & (sizes > SHORT), _replay_long)):
+        which = np.flatnonzero(mask)
+        if len(which):
+            parts.append((which, *one([words[i] for i in which.tolist()], vocab)))
+    n = np.zeros(len(words), np.int64)
+    for which, _, counts in parts:
+        n[which] = counts
+    offsets = np.concatenate(([0], np.cumsum(n)))
+    out = np.empty(offsets[-1], np.int32)
+    for which, ids, counts in parts:
+        out[np.repeat(offsets[which] - np.cumsum(counts) + counts, counts) + np.arange(len(ids))] = ids
+    return out, offsets
+
+
+def _replay_short(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number by word): runs of ranks in ascending order, one merge of each word per round."""
+    sizes = np.array([len(w) for w in words], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    n = int(ends[-1])
+    ids = vocab.base[np.frombuffer(b"".join(words), dtype=np.uint8)].astype(np.int32)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    nxt[ends - 1], prv[ends - sizes] = -1, -1
+    # Rank of the pair that begins at a place; a place stands in the index under the run of that rank.
+    rank = np.full(n, NONE)
+    at = np.flatnonzero(nxt >= 0).astype(np.int32)
+    rank[at] = vocab.pair_ranks(ids[at], ids[at + 1])
+    known = rank[at][rank[at] < NONE]
+    bounds = np.unique(np.quantile(known, np.arange(1, WINDOWS) / WINDOWS).astype(np.int32)) if len(known) else known
+    bounds = np.append(bounds, NONE)
+    index: list[list[np.ndarray]] = [[] for _ in bounds]
+
+    def enter(places: np.ndarray) -> None:
+        places = places[rank[places] < NONE]
+        run = np.searchsorted(bounds, rank[places], side="right").astype(np.int16)
+        order = np.argsort(run, kind="stable")
+        places, run = places[order], run[order]
+        cuts = np.flatnonzero(np.diff(run, prepend=-1))
+        for r, part in zip(run[cuts].tolist(), np.split(places, cuts[1:]) if len(cuts) else (), strict=True):
+            index[r].append(part)
+
+    enter(at)
+    for run, high in enumerate(bounds):
+        places = np.concatenate(index[run]) if index[run] else at[:0]
+        index[run], later = [], []
+        while True:
+            places = np.sort(places)
+            places = places[np.diff(places, prepend=-1) != 0]
+            places = places[rank[places] < high]
+            if not len(places):
+                break
+            # No word has a pair of an earlier run left, so its lowest rank, and of equal ones the leftmost, is next.
+            r, w = rank[places], word[places]
+            first = np.flatnonzero(np.diff(w, prepend=-1))
+            least = np.minimum.reduceat(r, first)
+            low = np.flatnonzero(r == np.repeat(least, np.diff(first, append=len(r))))
+            p = places[low[np.diff(w[low], prepend=-1) != 0]]
+            q, left = nxt[p], prv[p]
+            s = nxt[q]
+            ids[p], ids[q], nxt[p], rank[q], rank[p] = least, -1, s, NONE, NONE
+            more = s >= 0
+            prv[s[more]] = p[more]
+            rank[p[more]] = vocab.pair_ranks(least[more], ids[s[more]])
+            more = left >= 0
+            left = left[more]
+            rank[left] = vocab.pair_ranks(ids[left], least[more])
+            new = np.concatenate((p, left))
+            later.append(new[rank[new] >= high])
+            places = np.concatenate((places, left))
+        if later:
+            enter(np.concatenate(later))
+    live = ids >= 0
+    return ids[live], np.bincount(word[live], minlength=len(words))
+
+
+def _replay_long(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, their number by word): one rank after the other, each at all its places."""
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    whole = np.array([vocab.ranks.get(w, -1) for w in words], dtype=np.int64)
     ends = np.cumsum(sizes)
-    n = int(ends[-1]) if len(words) else 0
+    n = int(ends[-1])
     first_ids = vocab.base[np.frombuffer(b"".join(words), dtype=np.uint8)]
     last = np.zeros(n, dtype=bool)
     last[ends - 1] = True
-    # The inverted index: rank -> positions of the pairs of that rank.  A word that is a token needs no merge.
-    at = np.flatnonzero(~last & np.repeat(whole < 0, sizes))
+    # The inverted index: rank -> positions of the pairs of that rank.
+    at = np.flatnonzero(~last)
     keys, which = np.unique(first_ids[at] * vocab.width + first_ids[np.minimum(at + 1, n - 1)], return_inverse=True)
     rank = np.array([vocab.pair_rank(k) for k in keys.tolist()], dtype=np.int64)[which] if len(at) else at
     at, rank = at[rank >= 0], rank[rank >= 0]
@@ -156,14 +270,9 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
             else:
                 index[r] = later
                 heappush(heap, r)
-    out = np.array(ids, dtype=np.int64)
-    firsts = ends - sizes
-    is_whole = np.flatnonzero(whole >= 0)
-    out[np.repeat(whole >= 0, sizes)] = -1
-    out[firsts[is_whole]] = whole[is_whole]
+    out = np.array(ids, dtype=np.int32)
     live = out >= 0
-    offsets = np.concatenate(([0], np.cumsum(np.add.reduceat(live.astype(np.int64), firsts)))) if n else np.zeros(1, np.int64)
-    return out[live].astype(np.int32), offsets
+    return out[live], np.add.reduceat(live.astype(np.int64), ends - sizes)
 
 
 class _Words(dict):
@@ -230,7 +339,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
         shared = docs.sparkSession.sparkContext.broadcast((f.read(), pattern))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*shared.value))
+        encoder = Encoder(vocabulary(*shared.value))
         for batch in batches:
             for part in slices(batch, 1, SLICE_BYTES):
                 ids, offsets = encoder.encode(part.column(1).to_pylist())
@@ -252,7 +361,7 @@ def decode(encoded: DataFrame, rank_file: str, id_col: str = "doc_id", ids_col:
     at = others.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = Vocabulary(shared.value, "").bytes_of.__getitem__
+        token = vocabulary(shared.value, "").bytes_of.__getitem__
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

@@ -237,6 +237,25 @@ def test_bpe_of_odd_texts(monkeypatch, library):
         assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets)] == [library.encode_ordinary(t or "") for t in part]
 
 
+def test_bpe_words_are_replayed_together(monkeypatch, library):
+    # One pair after the other, in Python, cost most of the CPU seconds; only words beyond SHORT may need it.
+    with open(RANKS, "rb") as f:
+        lines = f.read()
+    assert bpe.vocabulary(lines, public_tokenizers.PATTERN) is bpe.vocabulary(lines, public_tokenizers.PATTERN)
+    rng = random.Random(7)
+    words = sorted({"".join(rng.choice("aeinorst hé中") for _ in range(rng.randint(1, 40))).encode() for _ in range(2000)})
+    own = [library.encode_single_token(w) if w in library._mergeable_ranks else library._core_bpe.encode_single_piece(w) for w in words]
+    own = [x if isinstance(x, list) else [x] for x in own]
+    for short, windows in ((96, 8), (96, 1), (20, 3), (0, 8)):
+        monkeypatch.setattr(bpe, "SHORT", short)
+        monkeypatch.setattr(bpe, "WINDOWS", windows)
+        vocab = bpe.Vocabulary(lines, public_tokenizers.PATTERN)
+        if short > max(map(len, words)):
+            monkeypatch.setattr(vocab, "pair_rank", None)
+        ids, offsets = bpe.replay(words, vocab)
+        assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets)] == own
+
+
 def test_lower_rank_that_a_merge_brings_up_goes_first():
     # ab is c's elder: merging (b, c) makes (a, bc) = abc, which has a lower rank than the merge itself.
     ranks = {bytes([i]): i for i in range(256)} | {b"abc": 300, b"bc": 310, b"dabc": 320}
@@ -246,3 +265,8 @@ def test_lower_rank_that_a_merge_brings_up_goes_first():
     own = tiktoken.Encoding("t", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
     ids, offsets = bpe.replay(words, vocab)
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(offsets)] == [own.encode_ordinary(w.decode()) for w in words]
+
+
+def test_lower_rank_goes_first_in_long_words_too(monkeypatch):
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    test_lower_rank_that_a_merge_brings_up_goes_first()

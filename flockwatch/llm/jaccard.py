@@ -20,8 +20,9 @@ Then pairs across components are counted by shared keys, and those with enough
 are verified.  Keys whose groups would still list many pairs are left out of
 the counts: a linked pair either has half of the keys it must share elsewhere,
 or shares more than half of them among such keys.  Documents with so many of
-them form families, by a prefix of these keys, rarest first.  Members of a
-family with an equal smallest shingle hash are compared in blocks.  Families
+them form families, by a prefix of these keys, rarest first.  A member with
+too many shingles that no other member has links with none and leaves.
+Members of a family with an equal smallest shingle hash are compared in blocks.  Families
 that still hold several components are dealt in blocks of which every two
 meet, save blocks of one component.  A task intersects all sets of its blocks
 at once, and only a spanning forest between components leaves it.
@@ -55,6 +56,7 @@ SEEDS = 6                   # universes tried before a document is indexed by ev
 CENTRED = 8                 # documents in a group above which centres come first
 SPLIT = 2048                # pairs across components in a group above which its documents are compared in blocks
 BLOCK = 256                 # documents of a block
+SLOT = 1 << 20              # shingles of a family that are counted in one place
 BROADCAST_ROWS = 200_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -419,9 +421,9 @@ def _families(hot: DataFrame, skipped: DataFrame) -> DataFrame:
     shared = materialize(prefix.join(least, "key"), "jaccard-shared")
     # Every document starts at the smallest node it shares a key with, so few labels are left to be joined.
     labels = materialize(shared.groupBy("node").agg(F.min("least").alias("label")), "jaccard-labels")
-    rows = shared.join(labels, "node").select("key", "label").distinct()
-    first = rows.groupBy("key").agg(F.min("label").alias("a"))
-    edges = rows.join(first, "key").where(F.col("a") < F.col("label")).select("a", F.col("label").alias("b")).distinct()
+    # The keys of a document tie their smallest nodes together.
+    own = F.min("least").over(Window.partitionBy("node"))
+    edges = (shared.select(own.alias("a"), F.col("least").alias("b")).where(F.col("a") < F.col("b")).distinct())
     comps = components(edges).withColumnRenamed("node", "label")
     return materialize(labels.join(comps, "label", "left")
                        .select("node", F.coalesce("comp", "label").alias("family")), "jaccard-families")
@@ -497,10 +499,99 @@ def _open_keys(groups: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def _members(hot: DataFrame, skipped: DataFrame, verifier: _Verifier) -> DataFrame:
-    """(node, family, s) of the families."""
+    """(node, family, s) of the families' members that may link."""
     family = _families(hot, skipped)
-    return materialize(family.join(verifier.sets(family.select("node")), "node").select("node", "family", "s"),
-                       "jaccard-members")
+    return _sharing(materialize(family.join(verifier.sets(family.select("node")), "node").select("node", "family", "s"),
+                                "jaccard-members"))
+
+
+def private_shingles(members: DataFrame) -> DataFrame:
+    """(node, own): shingles that no other member (node, family, s) of the family has; nodes without any may be missing.
+
+    A family's shingles are dealt by their hash into places of about ``SLOT``,
+    so a large family is counted by many tasks.  A node is in one family.
+    """
+    def deal(batches):
+        for b in batches:
+            nodes, families, slots = (b.column(i).to_numpy() for i in range(3))
+            out = []
+            for i, s in enumerate(b.column(3)):
+                s = np.array(s.values)
+                at = (s.view(np.uint64) >> np.uint64(32)) % np.uint64(slots[i])
+                s = s[np.argsort(at, kind="stable")]
+                used, n = np.unique(at, return_counts=True)
+                out += [(families[i], int(u), nodes[i], x) for u, x in zip(used, np.split(s, np.cumsum(n)[:-1]))]
+                if len(out) >= 4096:
+                    yield batch(out)
+                    out = []
+            if out:
+                yield batch(out)
+
+    def batch(out):
+        family, slot, node, parts = zip(*out)
+        return pa.RecordBatch.from_arrays([pa.array(family, pa.int64()), pa.array(slot, pa.int64()), pa.array(node, pa.int64()),
+                                           pa.array(parts, pa.list_(pa.int64()))], ["family", "slot", "node", "s"])
+
+    def count(batches):
+        at, places = None, _Private()
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            for i, (node, s) in enumerate(zip(b.column(2).to_pylist(), b.column(3))):
+                if keys[i] != at:
+                    yield from places.end()
+                    at, places = keys[i], _Private()
+                places.add(node, np.array(s.values))
+        yield from places.end()
+
+    sizes = members.groupBy("family").agg(F.ceil(F.sum(F.size("s")) / SLOT).alias("slots"))
+    dealt = (members.join(sizes, "family").select("node", "family", "slots", "s")
+             .mapInArrow(deal, "family long, slot long, node long, s array<long>"))
+    counted = (dealt.repartition("family", "slot").sortWithinPartitions("family", "slot")
+               .mapInArrow(count, "node long, own long"))
+    return counted.groupBy("node").agg(F.sum("own").alias("own"))
+
+
+class _Private:
+    """Distinct shingles of one place, each with its node, or with several."""
+
+    def __init__(self):
+        self.s, self.node, self.once = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.new, self.held = [], 0
+
+    def add(self, node: int, s: np.ndarray) -> None:
+        self.new.append((node, s))
+        self.held += len(s)
+        if self.held > SLOT:
+            self._fold()
+
+    def _fold(self) -> None:
+        s = np.concatenate((self.s, *(x for _, x in self.new)))
+        node = np.concatenate((self.node, *(np.full(len(x), n, np.int64) for n, x in self.new)))
+        once = np.concatenate((self.once, np.ones(self.held, bool)))
+        self.s, first, times = np.unique(s, return_index=True, return_counts=True)
+        self.node, self.once = node[first], once[first] & (times == 1)
+        self.new, self.held = [], 0
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._fold()
+        node, own = np.unique(self.node[self.once], return_counts=True)
+        if len(node):
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(own.astype(np.int64))], ["node", "own"])
+
+
+def _sharing(members: DataFrame) -> DataFrame:
+    """The members (node, family, s) that share enough shingles with the rest of the family to link with any of it.
+
+    A linked pair has 4/9 of both sizes in common.  Private shingles are never
+    common, and the partner is as large as the family's smallest set at least,
+    and as 4/5 of this one.
+    """
+    n, least = F.size("s"), members.groupBy("family").agg(F.min(F.size("s")).alias("least"))
+    partner = F.greatest(F.col("least"), F.ceil(NUM * n / DEN))
+    kept = (members.join(private_shingles(members), "node", "left").join(least, "family")
+            .where((NUM + DEN) * (n - F.coalesce("own", F.lit(0))) >= NUM * (n + partner)))
+    return materialize(kept.select("node", "family", "s"), "jaccard-members")
 
 
 def linked_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

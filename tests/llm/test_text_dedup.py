@@ -1,5 +1,6 @@
 """Line, suffix, chunk and Jaccard deduplication against plain versions, on rows with every odd case."""
 
+import collections
 import random
 
 import numpy as np
@@ -108,6 +109,51 @@ def test_jaccard_edges_of_a_family_grow_with_its_size(spark, monkeypatch, n):
     assert max(asked) <= 6 * n      # every document may link with a few centres
 
 
+def test_jaccard_passage_in_many_documents_is_not_compared_in_pairs(spark, monkeypatch):
+    # Documents that share a passage and hold much of their own cannot link; every two of them used to meet.
+    n, rng = 160, np.random.default_rng(5)
+    passage = [f"p{x}" for x in range(90)]
+    rows = [(i, " ".join(passage + [f"w{i}x{j}" for j in range(60)])) for i in range(n)]
+    rows += [(n + i, " ".join([*passage, f"y{i}", *(f"z{j}" for j in range(20))])) for i in range(4)]
+    rng.shuffle(rows)
+    rows = [(int(i), t) for i, t in rows]
+    met = []
+
+    def counted(rows):
+        met.append(rows.count())
+        return block_links(rows)
+
+    block_links = jaccard._block_links
+    monkeypatch.setattr(jaccard, "_block_links", counted)
+    monkeypatch.setattr(jaccard, "SPLIT", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SLOT", 500)
+    got = jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert rows_of(got.select("doc_id", "n_shingles", "component_id")) == sorted(brute.jaccard(rows), key=repr)
+    assert met and max(met) < n
+
+
+def test_private_shingles_of_families(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 3, sorted(set(rng.integers(-2**63, 2**63, 30).tolist() + rng.choice(1 << 40, 20).tolist()
+                                  + list(range(i % 7, 40))))) for i in range(90)]
+    held = collections.Counter((f, x) for _, f, s in rows for x in s)
+    want = {i: k for i, f, s in rows if (k := sum(held[f, x] == 1 for x in s))}
+    for slot in (1 << 20, 100):
+        monkeypatch.setattr(jaccard, "SLOT", slot)
+        members = spark.createDataFrame(rows, "node long, family long, s array<long>").repartition(3)
+        assert {r["node"]: r["own"] for r in jaccard.private_shingles(members).collect()} == want
+
+
+def test_private_shingles_are_folded_in_pieces(monkeypatch):
+    monkeypatch.setattr(jaccard, "SLOT", 5)
+    places = jaccard._Private()
+    for node, s in ((1, [1, 2, 3]), (2, [3, 4, 9]), (3, [1, 5]), (4, [4, 6, 7, 8])):
+        places.add(node, np.array(s))
+    found = {n: k for b in places.end() for n, k in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert found == {1: 1, 2: 1, 3: 1, 4: 3}
+
+
 @pytest.mark.parametrize("n", [*range(4, 60), 90, 200, 700])
 def test_linked_sets_share_enough_keys(n):
     """Pigeonhole: sets at the threshold share a key, and as many as the count asks for."""

@@ -56,6 +56,7 @@ SEEDS = 6                   # universes tried before a document is indexed by ev
 CENTRED = 8                 # documents in a group above which centres come first
 SPLIT = 2048                # pairs across components in a group above which its documents are compared in blocks
 BLOCK = 256                 # documents of a block
+KEY_ROWS = 50_000           # index rows of an Arrow batch; the JVM keeps the buffers of its largest batches
 SLOT = 1 << 20              # shingles of a family that are counted in one place
 BROADCAST_ROWS = 200_000
 
@@ -253,7 +254,7 @@ def key_rows(docs: DataFrame, text_col: str) -> DataFrame:
                 nodes.append(np.full(len(k), node, np.int64))
                 infos.append(info)
                 held += len(k)
-                if held > 200_000:
+                if held > KEY_ROWS:
                     yield _batch(keys, nodes, infos)
                     keys, nodes, infos, held = [], [], [], 0
             if held:

@@ -39,7 +39,8 @@ EPOCHS = 5
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 FOLDS = 5
 RUN = 1 << 16               # words hashed at once
-SLICE = 1 << 21             # bytes of text scored at once
+SLICE = 1 << 20             # bytes of text scored at once
+KNOWN = 50_000              # words whose hashes a task remembers
 
 _WORD = re.compile(r"\w+")
 
@@ -48,7 +49,7 @@ class _Hashes(dict):
     """Word to hash; emptied when it holds too many words, so memory stays bounded."""
 
     def __missing__(self, word):
-        if len(self) >= 100_000:
+        if len(self) >= KNOWN:
             self.clear()
         h = self[word] = (zlib.crc32(word.encode()) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
         return h
@@ -111,6 +112,11 @@ class Ftrl:
         self.z[at] += g - sigma * w
         self.n[at] = n + g * g
 
+    def kept(self) -> np.ndarray:
+        """Coordinates whose weight may not be zero, and the bias; no copy of the state is made for it."""
+        bias = len(self.z) - 1
+        return np.append(np.flatnonzero((self.z[:-1] > L1) | (self.z[:-1] < -L1)), bias)
+
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The model: (coordinate, weight), weights that are not zero; empty without training rows."""
@@ -146,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for _ in range(EPOCHS):
             for i in np.argsort(np.array(order, np.int64), kind="stable"):
                 model.learn(np.concatenate((ats[i], bias)), labels_[i])
-        at = np.flatnonzero((np.abs(model.z) > L1) | (np.arange(len(model.z)) == bias[0])) if order else np.zeros(0, int)
+        at = model.kept() if order else np.zeros(0, int)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(model.weights(at))],
                                          ["coordinate", "weight"])
 
@@ -165,9 +171,12 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text") -> DataFram
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, weight = sent.value
-        dense = np.zeros((1 << BITS) + 1, np.float32)
-        dense[at] = weight
-        bias = float(dense[-1])
+        # Few coordinates have a weight, so a flag for each will do, and the weights are looked up.
+        order = np.argsort(at)
+        at, weight = at[order], weight[order].astype(np.float32)
+        known = np.zeros(1 << BITS, bool)
+        known[at[:-1]] = weight[:-1] != 0
+        bias = float(weight[-1]) if len(at) else 0.0
         hashes = _Hashes()
         for b in batches:
             for part in slices(b, where, SLICE):
@@ -175,8 +184,8 @@ def score(docs: DataFrame, model: DataFrame, text_col: str = "text") -> DataFram
                 if len(at):
                     for i, t in enumerate(part.column(where)):
                         f = features(t.as_py() or "", hashes)
-                        f = np.unique(f[dense[f] != 0])
-                        scores[i] = _sigmoid(float(dense[f].sum()) + bias)
+                        f = np.unique(f[known[f]])
+                        scores[i] = _sigmoid(float(weight[np.searchsorted(at, f)].sum()) + bias)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], schema=None,
                                                  names=[*part.schema.names, "score"])
 

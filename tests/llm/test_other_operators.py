@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -367,3 +368,15 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF_SMALL}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_toxicity_model_is_read_without_copies_of_its_state():
+    # Copies of the state, as large as itself, made the peak of the pipeline's Python workers.
+    model = toxicity.Ftrl()
+    model.z[[5, 9, 70, 1 << 20, -1]] = 7.0, -5.5, 5.0, -9.0, 0.5
+    tracemalloc.start()
+    got = model.kept()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [5, 9, 1 << 20, len(model.z) - 1]
+    assert peak < model.z.nbytes // 2
